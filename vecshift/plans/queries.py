@@ -151,3 +151,358 @@ def q_split_label_counts(spark, sf_dir):
     return (coded.join(splits, "row_id")
             .groupBy("split", "label", "target")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- vectors
+from ..functions.text import tokens as _tokens  # noqa: E402
+from ..functions.text import with_prompt as _with_prompt  # noqa: E402
+from ..functions.vector import argmax_prefix, dot, scale  # noqa: E402
+from ..operators.cluster import assign_nearest, collect_centers, group_centroids  # noqa: E402
+from ..operators.encode import HashEncoder, encode_text  # noqa: E402
+from ..operators.fit import fit_adapter  # noqa: E402
+from ..operators.metrics import (best_by, contingency, num_classes, per_row_ms,  # noqa: E402
+                                 speedup, v_measure)
+from ..operators.ordering import key_rank, with_batch_id  # noqa: E402
+from ..operators.project import analytic_teacher_model  # noqa: E402
+from ..operators.vectors import (alignment_report, batch_losses, embedding_stats,  # noqa: E402
+                                 epoch_loss, mse_loss, normalize_vectors, pair_embeddings, to_long)
+from .oracle import PROMPT, analytic_w, emb_long_cte, hash_encode_cte  # noqa: E402
+
+DIM = 64  # dimension of the fixture vectors
+
+
+def embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+def with_teacher(spark, df, col="embedding", out="teacher"):
+    """Fixture teacher: the analytic map applied to the vectors (double precision)."""
+    model = analytic_teacher_model(DIM)
+    return df.withColumn(out, model.project_col(spark, col, as_float=False))
+
+
+TEACHER_CTE = f"""
+t AS (
+  SELECT e.vec_id, o.i, sum({analytic_w('o.i', 'e.pos')} * e.x) + 0.25 AS y
+  FROM e CROSS JOIN range({DIM}) AS o(i) GROUP BY ALL
+)"""
+
+
+@query("l2_normalize", f"""
+WITH {emb_long_cte()},
+s AS (SELECT vec_id, pos, x * 3 AS x FROM e),
+nrm AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-12) AS nr FROM s GROUP BY vec_id)
+SELECT s.vec_id, s.pos, round(s.x / nrm.nr, 6) AS value FROM s JOIN nrm USING (vec_id)
+""")
+def q_l2_normalize(spark, sf_dir):
+    emb = embeddings(spark, sf_dir).select("vec_id", scale("embedding", 3.0).alias("embedding"))
+    return to_long(normalize_vectors(emb, as_float=False), "vec_id", "embedding")
+
+
+@query("affine_project", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE}
+SELECT vec_id, i AS pos, round(y, 6) AS value FROM t
+""")
+def q_affine_project(spark, sf_dir):
+    emb = with_teacher(spark, embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    return to_long(emb, "vec_id", "teacher")
+
+
+@query("affine_project_jvm", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE}
+SELECT vec_id, i AS pos, round(y, 6) AS value FROM t
+""")
+def q_affine_project_jvm(spark, sf_dir):
+    model = analytic_teacher_model(DIM)
+    emb = model.transform(embeddings(spark, sf_dir).select("vec_id", "embedding"), "embedding",
+                          "teacher", mode="jvm")
+    return to_long(emb, "vec_id", "teacher")
+
+
+@query("mse_loss", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE},
+r AS (SELECT t.vec_id, avg((e.x - t.y) * (e.x - t.y)) AS m FROM t JOIN e ON e.vec_id = t.vec_id AND e.pos = t.i
+      GROUP BY t.vec_id)
+SELECT round(avg(m), 6) AS mse, CAST(count(*) AS BIGINT) AS n_rows FROM r
+""")
+def q_mse_loss(spark, sf_dir):
+    emb = with_teacher(spark, embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    return mse_loss(emb, "embedding", "teacher").select(F.round("mse", 6).alias("mse"), "n_rows")
+
+
+@query("batch_losses", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE},
+r AS (SELECT t.vec_id, avg((e.x - t.y) * (e.x - t.y)) AS m FROM t JOIN e ON e.vec_id = t.vec_id AND e.pos = t.i
+      GROUP BY t.vec_id),
+k AS (SELECT m, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, round(avg(m), 6) AS loss, CAST(count(*) AS BIGINT) AS n
+FROM k GROUP BY batch_id
+""")
+def q_batch_losses(spark, sf_dir):
+    emb = with_teacher(spark, embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    ranked = with_batch_id(key_rank(emb, "vec_id", rank_col="rank"), 64)
+    return batch_losses(ranked, "embedding", "teacher").select("batch_id", F.round("loss", 6).alias("loss"), "n")
+
+
+@query("epoch_loss", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE},
+r AS (SELECT t.vec_id, avg((e.x - t.y) * (e.x - t.y)) AS m FROM t JOIN e ON e.vec_id = t.vec_id AND e.pos = t.i
+      GROUP BY t.vec_id),
+k AS (SELECT m, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r),
+bl AS (SELECT avg(m) AS loss, count(*) AS n FROM k GROUP BY batch_id)
+SELECT round(sum(loss * n) / sum(n), 6) AS loss FROM bl
+""")
+def q_epoch_loss(spark, sf_dir):
+    emb = with_teacher(spark, embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    ranked = with_batch_id(key_rank(emb, "vec_id", rank_col="rank"), 64)
+    return epoch_loss(batch_losses(ranked, "embedding", "teacher")).select(F.round("loss", 6).alias("loss"))
+
+
+ARGMAX_CTE = f"""
+{emb_long_cte()},
+am AS (
+  SELECT vec_id, label, CAST(min(pos) AS BIGINT) AS cluster FROM (
+    SELECT vec_id, label, pos, x, max(x) OVER (PARTITION BY vec_id) AS mx FROM e WHERE pos < 10
+  ) WHERE x = mx GROUP BY vec_id, label
+)"""
+
+
+def fixed_clusters(spark, sf_dir):
+    emb = embeddings(spark, sf_dir)
+    return emb.select("vec_id", F.col("label").cast("long").alias("label"),
+                      argmax_prefix("embedding", 10).cast("long").alias("cluster"))
+
+
+@query("contingency", f"""
+WITH {ARGMAX_CTE}
+SELECT CAST(label AS BIGINT) AS label, cluster, CAST(count(*) AS BIGINT) AS n FROM am GROUP BY ALL
+""")
+def q_contingency(spark, sf_dir):
+    return contingency(fixed_clusters(spark, sf_dir), "label", "cluster")
+
+
+V_SQL = """
+cont AS (SELECT label, cluster, CAST(count(*) AS DOUBLE) AS n FROM am GROUP BY ALL),
+tot AS (SELECT sum(n) AS nn, sum(n * ln(n)) AS s_ij FROM cont),
+sa AS (SELECT sum(a * ln(a)) AS s_a FROM (SELECT sum(n) AS a FROM cont GROUP BY label)),
+sb AS (SELECT sum(b * ln(b)) AS s_b FROM (SELECT sum(n) AS b FROM cont GROUP BY cluster)),
+m AS (
+  SELECT ln(nn) + (s_ij - s_a - s_b) / nn AS mi, ln(nn) - s_a / nn AS hc, ln(nn) - s_b / nn AS hk
+  FROM tot, sa, sb
+),
+hc AS (
+  SELECT CASE WHEN abs(hc) < 1e-15 THEN 1.0 ELSE least(1.0, greatest(0.0, mi / hc)) END AS h,
+         CASE WHEN abs(hk) < 1e-15 THEN 1.0 ELSE least(1.0, greatest(0.0, mi / hk)) END AS c
+  FROM m
+)
+SELECT round(h, 6) AS homogeneity, round(c, 6) AS completeness,
+       round(CASE WHEN h + c = 0 THEN 0.0 ELSE 2 * h * c / (h + c) END, 6) AS v_measure
+FROM hc
+"""
+
+
+@query("v_measure", f"WITH {ARGMAX_CTE},{V_SQL}")
+def q_v_measure(spark, sf_dir):
+    v = v_measure(fixed_clusters(spark, sf_dir), "label", "cluster")
+    return v.select(*[F.round(c, 6).alias(c) for c in ("homogeneity", "completeness", "v_measure")])
+
+
+@query("nearest_centroid", f"""
+WITH {emb_long_cte()},
+cen AS (SELECT label, pos, avg(x) AS cx FROM e GROUP BY label, pos),
+d AS (
+  SELECT e.vec_id, cen.label AS c, sum((e.x - cen.cx) * (e.x - cen.cx)) AS dist
+  FROM e JOIN cen ON e.pos = cen.pos GROUP BY e.vec_id, cen.label
+)
+SELECT vec_id, CAST(arg_min(c, (dist, c)) AS BIGINT) AS cluster FROM d GROUP BY vec_id
+""")
+def q_nearest_centroid(spark, sf_dir):
+    emb = embeddings(spark, sf_dir)
+    ids, centers = collect_centers(group_centroids(emb, "label"), "label")
+    return assign_nearest(emb.select("vec_id", "embedding"), centers, ids=ids).select("vec_id", "cluster")
+
+
+@query("pair_embeddings", f"""
+WITH {emb_long_cte()}, {TEACHER_CTE}
+SELECT e.vec_id AS row_id, CAST(any_value(e.label) AS BIGINT) AS label, CAST(count(*) AS INTEGER) AS base_dim,
+       CAST(count(*) AS INTEGER) AS teacher_dim, round(sum(e.x * t.y), 6) AS dot
+FROM e JOIN t ON e.vec_id = t.vec_id AND e.pos = t.i GROUP BY e.vec_id
+""")
+def q_pair_embeddings(spark, sf_dir):
+    emb = embeddings(spark, sf_dir).withColumnRenamed("vec_id", "row_id")
+    teacher = with_teacher(spark, emb.select("row_id", "embedding"), out="t").select(
+        "row_id", F.col("t").alias("embedding"))
+    labels = emb.select("row_id", F.col("label").cast("long").alias("label"))
+    pairs = pair_embeddings(emb.select("row_id", "embedding"), teacher, labels)
+    return pairs.select("row_id", "label", F.size("base").alias("base_dim"), F.size("teacher").alias("teacher_dim"),
+                        F.round(dot("base", "teacher"), 6).alias("dot"))
+
+
+@query("validate_alignment", f"""
+WITH {clean_cte()},
+{hash_encode_cte(None, DIM)},
+tk AS (SELECT DISTINCT id FROM enc),
+tt AS (SELECT row_id FROM c),
+j AS (SELECT e.vec_id AS b, tt.row_id AS t FROM embeddings e FULL OUTER JOIN tt ON e.vec_id = tt.row_id)
+SELECT CAST(count(b) AS BIGINT) AS n_base, CAST(count(t) AS BIGINT) AS n_teacher,
+       CAST(NULL AS BIGINT) AS n_labels,
+       CAST(sum(CASE WHEN b IS NOT NULL AND t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS base_only,
+       CAST(sum(CASE WHEN t IS NOT NULL AND b IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS teacher_only,
+       (SELECT min(len(embedding)) FROM embeddings) AS base_dim_min,
+       (SELECT max(len(embedding)) FROM embeddings) AS base_dim_max,
+       {DIM} AS teacher_dim_min, {DIM} AS teacher_dim_max
+FROM j
+""")
+def q_validate_alignment(spark, sf_dir):
+    """Embeddings (keyed by vec_id) against hash-encoded documents (keyed by row_id): misaligned."""
+    base = embeddings(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
+    teacher = encode_text(cleaned_documents(spark, sf_dir).select("row_id", "text"), HashEncoder(DIM))
+    return alignment_report(base, teacher.select("row_id", "embedding"))
+
+
+@query("embedding_stats", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max
+FROM embeddings
+""")
+def q_embedding_stats(spark, sf_dir):
+    return embedding_stats(embeddings(spark, sf_dir))
+
+
+@query("num_classes", f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+{bounds_cte('n')},
+r AS (SELECT vec_id, label, {seeded_rank_sql('vec_id')} AS rank FROM embeddings),
+s AS (SELECT {split_case()} AS split, label FROM r, b)
+SELECT split, CAST(count(DISTINCT label) AS BIGINT) AS n_classes, CAST(count(*) AS BIGINT) AS n_rows
+FROM s GROUP BY split
+""")
+def q_num_classes(spark, sf_dir):
+    emb = embeddings(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "label")
+    splits = assign_split(emb)
+    return num_classes(emb.join(splits, "row_id"), "label", ["split"])
+
+
+@query("best_epoch", """
+SELECT event_type, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS value
+FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type
+""")
+def q_best_epoch(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return best_by(ev, "value", "event_id", "max", ["event_type"])
+
+
+@query("best_epoch_min", """
+SELECT event_type, arg_min(event_id, (value, event_id)) AS event_id, min(value) AS value
+FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type
+""")
+def q_best_epoch_min(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return best_by(ev, "value", "event_id", "min", ["event_type"])
+
+
+@query("latency_stats", """
+WITH t AS (
+  SELECT user_id,
+         sum(CASE WHEN event_type = 'view' THEN value END) AS base_seconds,
+         sum(CASE WHEN event_type = 'purchase' THEN value END) AS teacher_seconds,
+         sum(CASE WHEN event_type = 'click' THEN value END) AS adapter_seconds,
+         count(CASE WHEN event_type = 'click' THEN 1 END) AS n_rows
+  FROM events GROUP BY user_id
+)
+SELECT user_id, CAST(n_rows AS BIGINT) AS n_rows, round(base_seconds, 6) AS base_seconds,
+       round(teacher_seconds, 6) AS teacher_seconds, round(adapter_seconds, 6) AS adapter_seconds,
+       round(CASE WHEN n_rows > 0 THEN adapter_seconds / n_rows * 1e3 END, 6) AS adapter_ms_per_row,
+       round(CASE WHEN adapter_seconds > 0 THEN teacher_seconds / adapter_seconds END, 6) AS latency_speedup,
+       round(CASE WHEN base_seconds + adapter_seconds > 0
+                  THEN teacher_seconds / (base_seconds + adapter_seconds) END, 6) AS end_to_end_speedup
+FROM t
+""")
+def q_latency_stats(spark, sf_dir):
+    """Timings table from events: view = base encode, purchase = teacher, click = adapter."""
+    ev = table(spark, sf_dir, "events")
+    t = ev.groupBy("user_id").agg(
+        F.sum(F.when(F.col("event_type") == "view", F.col("value"))).alias("base_seconds"),
+        F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("teacher_seconds"),
+        F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("adapter_seconds"),
+        F.count(F.when(F.col("event_type") == "click", 1)).cast("long").alias("n_rows"))
+    r = lambda c: F.round(c, 6)
+    return t.select(
+        "user_id", "n_rows", r(F.col("base_seconds")).alias("base_seconds"),
+        r(F.col("teacher_seconds")).alias("teacher_seconds"), r(F.col("adapter_seconds")).alias("adapter_seconds"),
+        r(per_row_ms(F.col("adapter_seconds"), F.col("n_rows"))).alias("adapter_ms_per_row"),
+        r(speedup(F.col("teacher_seconds"), F.col("adapter_seconds"))).alias("latency_speedup"),
+        r(speedup(F.col("teacher_seconds"), F.col("base_seconds") + F.col("adapter_seconds")))
+        .alias("end_to_end_speedup"))
+
+
+@query("synthetic_teacher_fit", f"""
+SELECT CAST(o.i AS INTEGER) AS out_idx, CAST(j.j AS INTEGER) AS in_idx, round({analytic_w('o.i', 'j.j')}, 4) AS weight
+FROM range({DIM}) AS o(i) CROSS JOIN range({DIM}) AS j(j)
+UNION ALL
+SELECT CAST(o.i AS INTEGER) AS out_idx, -1 AS in_idx, 0.25 AS weight FROM range({DIM}) AS o(i)
+""")
+def q_synthetic_teacher_fit(spark, sf_dir):
+    """Fit on (embedding, analytic teacher): the recovered map is the analytic one."""
+    emb = with_teacher(spark, embeddings(spark, sf_dir).select("embedding"))
+    model, _ = fit_adapter(emb, "embedding", "teacher", solver="normal")
+    w = model.to_frame(spark)
+    weights = w.select("out_idx", F.posexplode("weights").alias("in_idx", "weight"))
+    bias = w.select("out_idx", F.lit(-1).alias("in_idx"), F.col("bias").alias("weight"))
+    out = weights.unionByName(bias)
+    return out.select("out_idx", "in_idx", (F.round(F.col("weight"), 4) + F.lit(0.0)).alias("weight"))
+
+
+def _encoded_long(spark, sf_dir, prompt):
+    docs = cleaned_documents(spark, sf_dir).select("row_id", "text")
+    enc = encode_text(docs, HashEncoder(DIM), prompt=prompt)
+    long = enc.select(F.col("row_id").alias("id"), F.posexplode("embedding").alias("bucket", "v"))
+    return long.where(F.col("v") != 0).select(
+        "id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("hash_encode_base", f"""
+WITH {clean_cte()},
+{hash_encode_cte(None, DIM)}
+SELECT id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM enc
+""")
+def q_hash_encode_base(spark, sf_dir):
+    return _encoded_long(spark, sf_dir, None)
+
+
+@query("hash_encode_instruct", f"""
+WITH {clean_cte()},
+{hash_encode_cte(PROMPT, DIM)}
+SELECT id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM enc
+""")
+def q_hash_encode_instruct(spark, sf_dir):
+    return _encoded_long(spark, sf_dir, PROMPT)
+
+
+PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
+TOKENS_SQL = f"list_filter(string_split_regex({PROMPT_SQL} || text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+
+
+@query("prompt_concat", f"""
+WITH {clean_cte()}
+SELECT row_id, md5({PROMPT_SQL} || text) AS prompted_md5, CAST(length({PROMPT_SQL} || text) AS INTEGER) AS n_chars
+FROM c
+""")
+def q_prompt_concat(spark, sf_dir):
+    docs = cleaned_documents(spark, sf_dir)
+    p = _with_prompt("text", PROMPT)
+    return docs.select("row_id", F.md5(p).alias("prompted_md5"), F.length(p).alias("n_chars"))
+
+
+@query("truncate_tokens", f"""
+WITH {clean_cte()},
+t AS (SELECT row_id, {TOKENS_SQL} AS toks FROM c)
+SELECT row_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_slice(toks, 1, 3000)) AS INTEGER) AS n_kept,
+       md5(array_to_string(list_slice(toks, 1, 3000), ' ')) AS kept_md5
+FROM t
+""")
+def q_truncate_tokens(spark, sf_dir):
+    docs = cleaned_documents(spark, sf_dir)
+    toks = _tokens(_with_prompt("text", PROMPT))
+    kept = F.slice(toks, 1, 3000)
+    return docs.select("row_id", F.size(toks).alias("n_tokens"), F.size(kept).alias("n_kept"),
+                       F.md5(F.array_join(kept, " ")).alias("kept_md5"))
