@@ -110,3 +110,18 @@ def epoch_batches(df: DataFrame, batch_size: int, epoch: int, seed: int = 42,
     """Per-epoch reshuffled batches (W6): seeded rank with seed ``'<seed>:<epoch>'``."""
     ranked = seeded_rank(df, id_col, seed=f"{seed}:{epoch}", rank_col="_epoch_rank")
     return with_batch_id(ranked, batch_size, "_epoch_rank").drop("_epoch_rank")
+
+
+def sorted_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
+                partitions: int | None = None) -> DataFrame:
+    """0-based rank by any orderable, unique ``order_cols`` (strings included).
+
+    Range partitioning gives partitions that are ordered ranges of the key; a
+    reliable checkpoint then pins every row to its partition, which becomes the
+    bucket of :func:`global_rank` (at most ``partitions`` buckets).
+    """
+    spark = df.sparkSession
+    parts = partitions or spark.sparkContext.defaultParallelism
+    staged = df.repartitionByRange(parts, *order_cols).withColumn("_part", F.spark_partition_id())
+    staged = staged.checkpoint(eager=True)
+    return global_rank(staged, order_cols, ["_part"], rank_col).drop("_part")

@@ -506,3 +506,162 @@ def q_truncate_tokens(spark, sf_dir):
     kept = F.slice(toks, 1, 3000)
     return docs.select("row_id", F.size(toks).alias("n_tokens"), F.size(kept).alias("n_kept"),
                        F.md5(F.array_join(kept, " ")).alias("kept_md5"))
+
+
+# ---------------------------------------------------------------- sources, sinks, cache, streaming
+from ..functions.text import fingerprint_long, row_fingerprint  # noqa: E402
+from ..operators.labels import decode_labels  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources.corpus import (load_splits_from_column, read_corpus_csv, read_corpus_jsonl,  # noqa: E402
+                              write_corpus_csv, write_corpus_jsonl)
+from ..sources.metadata import cache_probe, content_fingerprint, uncached_rows  # noqa: E402
+from ..sources.vectors import (read_json_vectors, read_npy_embeddings, write_json_vectors,  # noqa: E402
+                               write_npy_shards)
+from ..streaming.encode_stream import encode_stream, run_to_table, stream_corpus  # noqa: E402
+from .oracle import NULL_LIST  # noqa: E402
+
+REQUESTED_SPLITS = ["src2", "none", "src0"]
+
+
+@query("union_splits", """
+WITH r AS (SELECT * FROM (VALUES ('src2', 0), ('none', 1), ('src0', 2)) AS t(split, split_ordinal)),
+u AS (SELECT d.doc_id, d.source AS split, r.split_ordinal, d.text FROM documents d JOIN r ON d.source = r.split)
+SELECT CAST(row_number() OVER (ORDER BY split_ordinal, doc_id) - 1 AS BIGINT) AS row_id, split,
+       CAST(split_ordinal AS INTEGER) AS split_ordinal, doc_id, md5(text) AS text_md5
+FROM u
+""")
+def q_union_splits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    u = load_splits_from_column(docs, "source", REQUESTED_SPLITS)
+    ranked = key_rank(u, "doc_id", rank_col="row_id", prefix_cols=["split_ordinal"], bucket_source=docs)
+    return ranked.select("row_id", "split", "split_ordinal", "doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("csv_roundtrip", f"""
+SELECT doc_id, CASE WHEN text IN ({NULL_LIST}) THEN NULL ELSE text END AS text, lang FROM documents
+""")
+def q_csv_roundtrip(spark, sf_dir):
+    from ..functions.text import null_if_token
+    path = scratch_path(spark, "csv")
+    write_corpus_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    back = read_corpus_csv(spark, path, "doc_id LONG, text STRING, lang STRING")
+    return back.select("doc_id", null_if_token("text").alias("text"), "lang")
+
+
+@query("jsonl_roundtrip", """
+SELECT doc_id, text, lang, source, n_chars FROM documents
+""")
+def q_jsonl_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "jsonl")
+    write_corpus_jsonl(table(spark, sf_dir, "documents"), path)
+    return read_corpus_jsonl(spark, path, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG") \
+        .select("doc_id", "text", "lang", "source", "n_chars")
+
+
+VEC_LONG_SQL = f"""
+WITH {emb_long_cte()},
+r AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id FROM embeddings)
+SELECT r.row_id, e.pos, round(e.x, 6) AS value FROM e JOIN r USING (vec_id)
+"""
+
+
+@query("npy_scan", VEC_LONG_SQL)
+def q_npy_scan(spark, sf_dir):
+    path = scratch_path(spark, "npy")
+    write_npy_shards(embeddings(spark, sf_dir), path, "vec_id")
+    return to_long(read_npy_embeddings(spark, path), "row_id", "embedding")
+
+
+@query("json_vector_scan", VEC_LONG_SQL)
+def q_json_vector_scan(spark, sf_dir):
+    path = scratch_path(spark, "json")
+    emb = embeddings(spark, sf_dir).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("name"),
+                                           "embedding")
+    write_json_vectors(emb, path, "name")
+    return to_long(read_json_vectors(spark, path), "row_id", "embedding")
+
+
+@query("row_fingerprint", f"""
+WITH {clean_cte()}
+SELECT row_id, md5(text) AS fingerprint FROM c
+""")
+def q_row_fingerprint(spark, sf_dir):
+    return cleaned_documents(spark, sf_dir).select("row_id", row_fingerprint("text").alias("fingerprint"))
+
+
+@query("uncached_rows", f"""
+WITH {clean_cte()},
+cache AS (
+  SELECT DISTINCT md5(d.text) AS fingerprint FROM documents d JOIN labels l USING (doc_id)
+  WHERE d.text IS NOT NULL AND d.text NOT IN ({NULL_LIST})
+)
+SELECT row_id, md5(text) AS fingerprint FROM c WHERE md5(text) NOT IN (SELECT fingerprint FROM cache)
+""")
+def q_uncached_rows(spark, sf_dir):
+    """Rows still to encode when the labelled documents are already in the vector cache."""
+    from ..functions.text import null_if_token
+    docs = cleaned_documents(spark, sf_dir).select("row_id", row_fingerprint("text").alias("fingerprint"))
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    cache = labelled.select(null_if_token("text").alias("text")).where(F.col("text").isNotNull()) \
+        .select(row_fingerprint("text").alias("fingerprint"), F.lit(PROMPT).alias("instruction"),
+                F.lit("hash-md5-64").alias("model"))
+    req = docs.withColumn("instruction", F.lit(PROMPT)).withColumn("model", F.lit("hash-md5-64"))
+    return uncached_rows(req, cache, ["fingerprint", "instruction", "model"]).select("row_id", "fingerprint")
+
+
+@query("cache_hit", f"""
+WITH {clean_cte(target="source")},
+req AS (
+  SELECT target AS source, count(*) AS num_samples,
+         bit_xor(('0x' || substr(md5(text), 1, 15))::BIGINT) AS content_hash
+  FROM c GROUP BY target
+),
+st AS (
+  SELECT source, count(*) AS num_samples, bit_xor(('0x' || substr(md5(text), 1, 15))::BIGINT) AS content_hash
+  FROM documents GROUP BY source
+)
+SELECT req.source, CAST(req.num_samples AS BIGINT) AS num_samples,
+       coalesce(req.num_samples = st.num_samples, false) AS hit_loose,
+       coalesce(req.num_samples = st.num_samples AND req.content_hash = st.content_hash, false) AS hit_strict
+FROM req LEFT JOIN st ON req.source = st.source
+""")
+def q_cache_hit(spark, sf_dir):
+    """Per source: is the cleaned corpus already covered by a record made from the raw table?"""
+    req = content_fingerprint(cleaned_documents(spark, sf_dir, target="source"), "text", ["target"]) \
+        .withColumnRenamed("target", "source").withColumn("instruction", F.lit(PROMPT))
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.groupBy("source").agg(F.count(F.lit(1)).cast("long").alias("num_samples"),
+                                        F.bit_xor(fingerprint_long("text")).alias("content_hash")) \
+        .withColumn("instruction", F.lit(PROMPT))
+    loose = cache_probe(req, stored, ["source", "instruction", "num_samples"]).select(
+        "source", "num_samples", F.col("hit").alias("hit_loose"))
+    strict = cache_probe(req, stored, ["source", "instruction", "num_samples", "content_hash"]).select(
+        "source", F.col("hit").alias("hit_strict"))
+    return loose.join(strict, "source")
+
+
+@query("decode_labels", f"""
+WITH {clean_cte()},
+{codes_cte()}
+SELECT c.row_id, coalesce(codes.label, -1) AS label, codes.value AS value FROM c LEFT JOIN codes ON c.target = codes.value
+""")
+def q_decode_labels(spark, sf_dir):
+    coded, codes = factorize(cleaned_documents(spark, sf_dir))
+    return decode_labels(coded.select("row_id", "label"), codes).select("row_id", "label", "value")
+
+
+@query("stream_hash_encode", f"""
+WITH c AS (
+  SELECT doc_id AS row_id, text FROM documents WHERE text IS NOT NULL AND text NOT IN ({NULL_LIST})
+),
+{hash_encode_cte(PROMPT, DIM)}
+SELECT id AS doc_id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM enc
+""")
+def q_stream_hash_encode(spark, sf_dir):
+    """The documents file as a stream: null rule, prompt, encode — processed by a checkpointed query."""
+    stream = stream_corpus(spark, sf_dir, "doc_id LONG, text STRING", glob="documents.parquet")
+    out = scratch_path(spark, "stream-out")
+    run_to_table(encode_stream(stream, HashEncoder(DIM), prompt=PROMPT), out, scratch_path(spark, "stream-ckpt"))
+    enc = spark.read.parquet(out)
+    long = enc.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
+    return long.where(F.col("v") != 0).select("doc_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
