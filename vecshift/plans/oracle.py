@@ -32,7 +32,7 @@ def clean_cte(target: str = "lang", source: str = "documents", order: str = "doc
   SELECT min({order}) AS {order} FROM {name}_raw WHERE text IS NOT NULL GROUP BY text
 ),
 {name} AS (
-  SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS row_id, {order}, text, target
+  SELECT CAST(rank() OVER (ORDER BY {order}) - 1 AS BIGINT) AS row_id, {order}, text, target
   FROM {name}_raw WHERE {order} IN (SELECT {order} FROM {name}_first)
 )"""
 
@@ -57,7 +57,7 @@ def bounds_cte(n_source: str, train: float = 0.7, val: float = 0.2, test: float
 
 
 def seeded_rank_sql(id_col: str, seed: str = "42") -> str:
-    return (f"CAST(row_number() OVER (ORDER BY md5('{seed}:' || CAST({id_col} AS VARCHAR)), {id_col}) - 1"
+    return (f"CAST(rank() OVER (ORDER BY md5('{seed}:' || CAST({id_col} AS VARCHAR)), {id_col}) - 1"
             " AS BIGINT)")
 
 
@@ -69,7 +69,7 @@ def split_case(rank: str = "rank", b: str = "b") -> str:
 def codes_cte(src: str = "c", name: str = "codes") -> str:
     return f"""
 {name} AS (
-  SELECT target AS value, CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS BIGINT) AS label
+  SELECT target AS value, CAST(rank() OVER (ORDER BY min(row_id)) - 1 AS BIGINT) AS label
   FROM {src} WHERE target IS NOT NULL GROUP BY target
 )"""
 

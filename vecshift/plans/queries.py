@@ -119,7 +119,7 @@ def q_assign_split(spark, sf_dir):
 
 
 @query("assign_split_small", f"""
-WITH c AS (SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS row_id FROM region),
+WITH c AS (SELECT CAST(rank() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS row_id FROM region),
 n AS (SELECT count(*) AS n FROM c),
 {bounds_cte('n')},
 r AS (SELECT row_id, {seeded_rank_sql('row_id')} AS rank FROM c)
@@ -234,7 +234,7 @@ def q_mse_loss(spark, sf_dir):
 WITH {emb_long_cte()}, {TEACHER_CTE},
 r AS (SELECT t.vec_id, avg((e.x - t.y) * (e.x - t.y)) AS m FROM t JOIN e ON e.vec_id = t.vec_id AND e.pos = t.i
       GROUP BY t.vec_id),
-k AS (SELECT m, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r)
+k AS (SELECT m, (rank() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, round(avg(m), 6) AS loss, CAST(count(*) AS BIGINT) AS n
 FROM k GROUP BY batch_id
 """)
@@ -248,7 +248,7 @@ def q_batch_losses(spark, sf_dir):
 WITH {emb_long_cte()}, {TEACHER_CTE},
 r AS (SELECT t.vec_id, avg((e.x - t.y) * (e.x - t.y)) AS m FROM t JOIN e ON e.vec_id = t.vec_id AND e.pos = t.i
       GROUP BY t.vec_id),
-k AS (SELECT m, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r),
+k AS (SELECT m, (rank() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM r),
 bl AS (SELECT avg(m) AS loss, count(*) AS n FROM k GROUP BY batch_id)
 SELECT round(sum(loss * n) / sum(n), 6) AS loss FROM bl
 """)
@@ -526,7 +526,7 @@ REQUESTED_SPLITS = ["src2", "none", "src0"]
 @query("union_splits", """
 WITH r AS (SELECT * FROM (VALUES ('src2', 0), ('none', 1), ('src0', 2)) AS t(split, split_ordinal)),
 u AS (SELECT d.doc_id, d.source AS split, r.split_ordinal, d.text FROM documents d JOIN r ON d.source = r.split)
-SELECT CAST(row_number() OVER (ORDER BY split_ordinal, doc_id) - 1 AS BIGINT) AS row_id, split,
+SELECT CAST(rank() OVER (ORDER BY split_ordinal, doc_id) - 1 AS BIGINT) AS row_id, split,
        CAST(split_ordinal AS INTEGER) AS split_ordinal, doc_id, md5(text) AS text_md5
 FROM u
 """)
@@ -560,7 +560,7 @@ def q_jsonl_roundtrip(spark, sf_dir):
 
 VEC_LONG_SQL = f"""
 WITH {emb_long_cte()},
-r AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id FROM embeddings)
+r AS (SELECT vec_id, CAST(rank() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id FROM embeddings)
 SELECT r.row_id, e.pos, round(e.x, 6) AS value FROM e JOIN r USING (vec_id)
 """
 
@@ -665,3 +665,138 @@ def q_stream_hash_encode(spark, sf_dir):
     enc = spark.read.parquet(out)
     long = enc.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
     return long.where(F.col("v") != 0).select("doc_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+# ---------------------------------------------------------------- model fitting and pipelines (rows-only checks)
+from ..operators.cluster import kmeans_best  # noqa: E402
+from ..operators.evaluate import evaluate_adapter  # noqa: E402
+from ..operators.fit import gd_epochs, gram_stats  # noqa: E402
+from ..operators.labels import factor_codes  # noqa: E402
+from ..sources.metadata import file_fingerprint  # noqa: E402
+from ..sources.vectors import synthetic_pairs  # noqa: E402
+from .infer import infer_corpus  # noqa: E402
+from .preprocess import preprocess_corpus  # noqa: E402
+from .train import TrainConfig, train_pipeline  # noqa: E402
+
+
+def encoded_pairs(spark, sf_dir):
+    """(row_id, base, teacher, label): documents encoded without and with the prompt, target = lang."""
+    corpus = cleaned_documents(spark, sf_dir)
+    coded, _ = factorize(corpus)
+    enc = HashEncoder(DIM)
+    base = encode_text(coded.select("row_id", "text", "label"), enc, out="base")
+    return encode_text(base, enc, prompt=PROMPT, out="teacher").drop("text")
+
+
+@query("kmeans_best")
+def q_kmeans_best(spark, sf_dir):
+    """Best of 10 seeded k-means fits (k = classes) on the encoded documents."""
+    pairs = encoded_pairs(spark, sf_dir)
+    k = pairs.select("label").distinct().count()
+    preds, _ = kmeans_best(pairs.select("row_id", "label", F.col("base").alias("embedding")), k, seed=42)
+    return preds.select("row_id", "label", "cluster")
+
+
+@query("kmeans_v_measure")
+def q_kmeans_v_measure(spark, sf_dir):
+    pairs = encoded_pairs(spark, sf_dir)
+    k = pairs.select("label").distinct().count()
+    preds, info = kmeans_best(pairs.select("label", F.col("teacher").alias("embedding")), k, seed=42)
+    v = v_measure(preds, "label", "cluster")
+    return v.select(F.lit(k).alias("k"), F.lit(info["cost"]).alias("cost"), "homogeneity", "completeness",
+                    "v_measure")
+
+
+@query("evaluate_adapter")
+def q_evaluate_adapter(spark, sf_dir):
+    """Fit on the train split, then loss and V-measures on val (long metrics rows)."""
+    pairs = encoded_pairs(spark, sf_dir)
+    splits = assign_split(pairs.select("row_id"))
+    data = pairs.join(splits.select("row_id", "split"), "row_id")
+    model, _ = fit_adapter(data.where(F.col("split") == "train"), "base", "teacher", l2=1e-8)
+    metrics = evaluate_adapter(data.where(F.col("split") == "val"), model, "val")
+    return spark.createDataFrame([(k, v) for k, v in metrics.items()], "metric STRING, value DOUBLE")
+
+
+@query("fit_gd")
+def q_fit_gd(spark, sf_dir):
+    """Ten epochs of Adam (lr 1e-3, batch 64) from the one-pass statistics of the train split."""
+    pairs = encoded_pairs(spark, sf_dir)
+    splits = assign_split(pairs.select("row_id"))
+    train = pairs.join(splits.where(F.col("split") == "train").select("row_id"), "row_id")
+    stats = gram_stats(train, "base", "teacher")
+    rows = [(e, float(loss), float(lr)) for e, _, loss, lr in
+            gd_epochs(stats, 10, 64, {"name": "adam", "lr": 1e-3}, {"name": "cosine", "T_max": 10})]
+    return spark.createDataFrame(rows, "epoch INT, train_loss DOUBLE, lr DOUBLE")
+
+
+@query("train_pipeline")
+def q_train_pipeline(spark, sf_dir):
+    """Whole train pipeline on the encoded documents; returns its metrics table."""
+    pairs = encoded_pairs(spark, sf_dir)
+    base = pairs.select("row_id", F.col("base").alias("embedding"))
+    teacher = pairs.select("row_id", F.col("teacher").alias("embedding"))
+    labels = pairs.select("row_id", "label")
+    res = train_pipeline(spark, base, teacher, labels, TrainConfig(solver="normal", l2=1e-8),
+                         out_dir=scratch_path(spark, "train"))
+    return res.metrics.select("stage", "epoch", "metric", "value")
+
+
+@query("preprocess_corpus", f"""
+WITH {clean_cte()},
+h AS (SELECT * FROM c WHERE row_id < 2000),
+{codes_cte(src="h")}
+SELECT h.row_id, coalesce(codes.label, -1) AS label, {DIM} AS base_dim, {DIM} AS instruct_dim
+FROM h LEFT JOIN codes ON h.target = codes.value
+""")
+def q_preprocess_corpus(spark, sf_dir):
+    """Preprocess the documents (target = lang, head 2000); read back labels and vector dims."""
+    out = scratch_path(spark, "preprocess")
+    docs = table(spark, sf_dir, "documents")
+    res = preprocess_corpus(spark, docs, out, HashEncoder(DIM), PROMPT, "text", "lang", order_col="doc_id",
+                            max_samples=2000)
+    emb = res["embeddings"]
+    base = spark.read.parquet(f"{emb}/base").select("row_id", F.size("embedding").alias("base_dim"))
+    inst = spark.read.parquet(f"{emb}/instruct").select("row_id", F.size("embedding").alias("instruct_dim"))
+    labels = spark.read.parquet(f"{emb}/labels")
+    return labels.join(base, "row_id").join(inst, "row_id").select("row_id", "label", "base_dim", "instruct_dim")
+
+
+@query("infer_corpus", f"""
+WITH c AS (
+  SELECT CAST(rank() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS row_id, text
+  FROM conversations WHERE text IS NOT NULL AND text NOT IN ({NULL_LIST})
+),
+{hash_encode_cte(None, DIM)}
+SELECT id AS row_id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM enc
+""")
+def q_infer_corpus(spark, sf_dir):
+    """Conversations as an inference CSV: train a small adapter, run inference, check the base vectors."""
+    pairs = encoded_pairs(spark, sf_dir)
+    model, _ = fit_adapter(pairs, "base", "teacher", l2=1e-8)
+    ckpt = model.save(spark, scratch_path(spark, "adapter"))
+    csv = scratch_path(spark, "conversations-csv")
+    conv = table(spark, sf_dir, "conversations")
+    write_corpus_csv(conv.orderBy("conv_id", "turn").select("conv_id", "turn", "role", "text"), csv)
+    out = scratch_path(spark, "infer")
+    infer_corpus(spark, csv, out, ckpt, HashEncoder(DIM), PROMPT, "text")
+    base = spark.read.parquet(f"{out}/base")
+    long = base.select("row_id", F.posexplode("embedding").alias("bucket", "v"))
+    return long.where(F.col("v") != 0).select("row_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("synthetic_pairs")
+def q_synthetic_pairs(spark, sf_dir):
+    """Seeded synthetic linear pairs keyed by the embedding ids (dims 64 → 64)."""
+    ids = embeddings(spark, sf_dir).select(F.col("vec_id").alias("row_id"))
+    pairs = synthetic_pairs(ids, DIM, DIM, seed=42)
+    return pairs.select("row_id", F.size("base").alias("base_dim"), F.size("target").alias("target_dim"),
+                        F.round(F.col("base")[0].cast("double"), 6).alias("base0"))
+
+
+@query("file_fingerprint")
+def q_file_fingerprint(spark, sf_dir):
+    """MD5 of a written corpus CSV folder (parts hashed, then hashed in path order)."""
+    path = scratch_path(spark, "fp-csv")
+    write_corpus_csv(table(spark, sf_dir, "documents").orderBy("doc_id").select("doc_id", "text"), path)
+    return spark.createDataFrame([(file_fingerprint(spark, path),)], "file_hash STRING")
