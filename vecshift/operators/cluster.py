@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -53,9 +55,14 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
         if len(vectors) == 0:
             return pd.Series([], dtype="int64")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        # exact distances (not the expanded form) so ties resolve like a direct computation
-        d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) if c.shape[0] * x.shape[1] <= 65536 \
-            else (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + c2[None, :]
+        if c.shape[0] <= 256:
+            # exact differences, one centre at a time (batch × d memory), so ties resolve exactly
+            d = np.empty((x.shape[0], c.shape[0]))
+            for j in range(c.shape[0]):
+                diff = x - c[j]
+                d[:, j] = np.einsum("ij,ij->i", diff, diff)
+        else:
+            d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + c2[None, :]
         idx = np.argmin(d, axis=1)
         return pd.Series(idx if lookup is None else lookup[idx]).astype("int64")
 
@@ -63,25 +70,29 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
 
 
 def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
-                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster") -> tuple[DataFrame, dict]:
+                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster",
+                parallel: int = 4) -> tuple[DataFrame, dict]:
     """k-means fitted ``n_init`` times (seeds ``seed..seed+n_init-1``); lowest cost kept (M5).
 
     The input is persisted once for all restarts. Returns the assignments and
-    ``{"k", "cost", "seed"}`` of the kept fit.
+    ``{"k", "cost", "seed", "input"}`` of the kept fit (``input`` is the
+    persisted feature table; unpersist it when the assignments are used).
     """
     data = df.withColumn("_features", array_to_vector(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
+
+    def fit(i):
         km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_features",
                     predictionCol=out)
         model = km.fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost, seed + i)
-    model, cost, used = best
+        return model.summary.trainingCost, seed + i, model
+
+    # the restarts are independent jobs: submit them together and let the scheduler share the slots
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    cost, used, model = min(fits, key=lambda f: (f[0], f[1]))
     # assignments stay lazy over the persisted input (a lost cache block is recomputed)
     preds = model.transform(data).drop("_features").withColumn(out, F.col(out).cast("long"))
-    return preds, {"k": k, "cost": float(cost), "seed": used}
+    return preds, {"k": k, "cost": float(cost), "seed": used, "input": data}
 
 
 def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
@@ -92,5 +103,7 @@ def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "em
     k, n = int(stats["k"]), int(stats["n"])
     if k <= 1 or n < k:
         return None
-    preds, _ = kmeans_best(df.select(label_col, vec_col), k, vec_col, seed, n_init)
-    return float(v_measure(preds, label_col, "cluster").first()["v_measure"])
+    preds, info = kmeans_best(df.select(label_col, vec_col), k, vec_col, seed, n_init)
+    v = float(v_measure(preds, label_col, "cluster").first()["v_measure"])
+    info["input"].unpersist()
+    return v

@@ -703,7 +703,7 @@ def q_kmeans_v_measure(spark, sf_dir):
     k = pairs.select("label").distinct().count()
     preds, info = kmeans_best(pairs.select("label", F.col("teacher").alias("embedding")), k, seed=42)
     v = v_measure(preds, "label", "cluster")
-    return v.select(F.lit(k).alias("k"), F.lit(info["cost"]).alias("cost"), "homogeneity", "completeness",
+    return v.select(F.lit(k).alias("k"), F.round(F.lit(info["cost"]), 6).alias("cost"), "homogeneity", "completeness",
                     "v_measure")
 
 
