@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -71,23 +72,30 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
 
 def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
                 max_iter: int = 300, tol: float = 1e-4, out: str = "cluster",
-                parallel: int = 4) -> tuple[DataFrame, dict]:
+                parallel: int | None = None, bytes_per_partition: int = 64 * 1024 * 1024) -> tuple[DataFrame, dict]:
     """k-means fitted ``n_init`` times (seeds ``seed..seed+n_init-1``); lowest cost kept (M5).
 
-    The input is persisted once for all restarts. Returns the assignments and
-    ``{"k", "cost", "seed", "input"}`` of the kept fit (``input`` is the
-    persisted feature table; unpersist it when the assignments are used).
+    The input is persisted once for all restarts and read through as many
+    partitions as its size needs (each k-means iteration is a job, so tiny
+    inputs should not pay for idle tasks; large ones keep full parallelism).
+    The restarts are independent jobs submitted together. Returns the
+    assignments and ``{"k", "cost", "seed", "input"}`` of the kept fit
+    (``input`` is the persisted feature table; unpersist it when done).
     """
     data = df.withColumn("_features", array_to_vector(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    n, d = int(stats["n"]), int(stats["d"] or 1)
+    parts = max(1, math.ceil(n * d * 8 / bytes_per_partition))
+    fit_data = data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data
+    workers = parallel or n_init
 
     def fit(i):
         km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_features",
                     predictionCol=out)
-        model = km.fit(data)
+        model = km.fit(fit_data)
         return model.summary.trainingCost, seed + i, model
 
-    # the restarts are independent jobs: submit them together and let the scheduler share the slots
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, workers))) as pool:
         fits = list(pool.map(fit, range(n_init)))
     cost, used, model = min(fits, key=lambda f: (f[0], f[1]))
     # assignments stay lazy over the persisted input (a lost cache block is recomputed)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import with_prompt
 
-_WS = re.compile(r"[ \t\n\r\f]+")
+_TOKEN = re.compile(r"[^ \t\n\r\f]+")
 
 
 class Encoder:
@@ -51,7 +51,7 @@ class HashEncoder(Encoder):
         self.max_tokens = max_tokens
         self.normalize = normalize
         self.name = f"hash-md5-{self.dim}"
-        self._cache: dict[str, tuple[int, float]] = {}
+        self._cache: dict[str, int] = {}
 
     def __getstate__(self):
         return {"dim": self.dim, "max_tokens": self.max_tokens, "normalize": self.normalize,
@@ -61,32 +61,32 @@ class HashEncoder(Encoder):
         self.__dict__.update(state)
         self._cache = {}
 
-    def _code(self, token: str) -> tuple[int, float]:
-        hit = self._cache.get(token)
-        if hit is None:
-            h = hashlib.md5(token.encode("utf-8")).hexdigest()
-            hit = (int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) < 8 else -1.0)
-            if len(self._cache) > 2_000_000:
-                self._cache.clear()
-            self._cache[token] = hit
-        return hit
+    def _code(self, token: str) -> int:
+        """``bucket * 2 + (1 if the sign is negative)`` for a token (cached per worker)."""
+        h = hashlib.md5(token.encode("utf-8")).hexdigest()
+        code = (int(h[:8], 16) % self.dim) * 2 + (0 if int(h[8], 16) < 8 else 1)
+        if len(self._cache) > 4_000_000:
+            self._cache.clear()
+        self._cache[token] = code
+        return code
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        rows, buckets, signs = [], [], []
+        cache, code_of = self._cache, self._code
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        codes: list[int] = []
         for i, text in enumerate(texts):
             if text is None:
                 continue
-            toks = [t for t in _WS.split(text.lower()) if t]
+            toks = _TOKEN.findall(text.lower())
             if self.max_tokens is not None:
                 toks = toks[: self.max_tokens]
-            for t in toks:
-                b, s = self._code(t)
-                rows.append(i)
-                buckets.append(b)
-                signs.append(s)
-        if rows:
-            np.add.at(out, (np.asarray(rows), np.asarray(buckets)), np.asarray(signs))
+            lengths[i] = len(toks)
+            codes.extend([cache[t] if t in cache else code_of(t) for t in toks])
+        c = np.fromiter(codes, dtype=np.int64, count=len(codes))
+        rows = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+        signs = 1.0 - 2.0 * (c & 1)
+        flat = np.bincount(rows * self.dim + (c >> 1), weights=signs, minlength=len(texts) * self.dim)
+        out = flat.reshape(len(texts), self.dim)
         if self.normalize:
             norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
             out = out / np.maximum(norms, 1e-12)

@@ -15,6 +15,7 @@ from ..operators.clean import clean_corpus, head_rows
 from ..operators.labels import factorize, label_mapping_json
 from ..operators.ordering import seeded_rank
 from ..operators.split import assign_split
+from ..session import materialize
 from .oracle import (bounds_cte, clean_cte, codes_cte, register, seeded_rank_sql, split_case)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str, target: str = "lang") -> DataFrame:
+    """The cleaned corpus, written once as a parquet table (it feeds several jobs)."""
     docs = table(spark, sf_dir, "documents")
-    return clean_corpus(docs, "text", target, order_col="doc_id")
+    return materialize(clean_corpus(docs, "text", target, order_col="doc_id"), "corpus")
 
 
 # ---------------------------------------------------------------- cleaning
@@ -685,7 +687,7 @@ def encoded_pairs(spark, sf_dir):
     coded, _ = factorize(corpus)
     enc = HashEncoder(DIM)
     base = encode_text(coded.select("row_id", "text", "label"), enc, out="base")
-    return encode_text(base, enc, prompt=PROMPT, out="teacher").drop("text")
+    return materialize(encode_text(base, enc, prompt=PROMPT, out="teacher").drop("text"), "pairs")
 
 
 @query("kmeans_best")

@@ -76,3 +76,15 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return path
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage (later jobs and lost executors restart from the files,
+    not from the upstream shuffles) while keeping column pruning and filter
+    pushdown for every later reader.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
