@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import null_if_token
+from ..session import materialize
 from .ordering import key_rank
 
 
@@ -49,7 +50,9 @@ def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None =
     if dropna:
         out = out.where(F.col("text").isNotNull())
     if deduplicate:
-        out = dedup_first(out, "text", "_order")
+        # written once: the per-bucket count of the rank then scans one column
+        # instead of repeating the de-duplication shuffle
+        out = materialize(dedup_first(out, "text", "_order"), "dedup")
     if not dropna:
         # a kept missing text is written out as the string 'nan'
         out = out.withColumn("text", F.coalesce(F.col("text"), F.lit("nan")))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 65536
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000  # rows one window task sorts (full rows)
 
 
 def global_rank(df: DataFrame, order_cols: list, bucket_cols: list[str],
