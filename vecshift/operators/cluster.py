@@ -67,13 +67,18 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
         idx = np.argmin(d, axis=1)
         return pd.Series(idx if lookup is None else lookup[idx]).astype("int64")
 
-    return df.withColumn(out, _nearest(F.col(vec_col)))
+    return df.withColumn(out, _nearest.asNondeterministic()(F.col(vec_col)))
 
 
 def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
-                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster",
+                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster", engine: str = "fused",
                 parallel: int | None = None, bytes_per_partition: int = 64 * 1024 * 1024) -> tuple[DataFrame, dict]:
-    """k-means fitted ``n_init`` times (seeds ``seed..seed+n_init-1``); lowest cost kept (M5).
+    """k-means fitted ``n_init`` times; lowest cost kept (M5).
+
+    ``engine="fused"`` (default) runs all restarts in the same passes over the
+    data (:mod:`vecshift.operators.kmeans`) and assigns with broadcast centres.
+    ``engine="mllib"`` fits MLlib ``KMeans`` once per seed
+    (``seed..seed+n_init-1``), as described below.
 
     The input is persisted once for all restarts and read through as many
     partitions as its size needs (each k-means iteration is a job, so tiny
@@ -82,6 +87,13 @@ def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 4
     assignments and ``{"k", "cost", "seed", "input"}`` of the kept fit
     (``input`` is the persisted feature table; unpersist it when done).
     """
+    if engine == "fused":
+        from .kmeans import fused_kmeans
+        centers, info = fused_kmeans(df, k, vec_col, seed, n_init, max_iter, tol, bytes_per_partition)
+        info.update(seed=seed, input=None)
+        return assign_nearest(df, centers, vec_col, out), info
+    if engine != "mllib":
+        raise ValueError(f"Unsupported k-means engine: {engine}")
     data = df.withColumn("_features", array_to_vector(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 1)
@@ -113,5 +125,6 @@ def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "em
         return None
     preds, info = kmeans_best(df.select(label_col, vec_col), k, vec_col, seed, n_init)
     v = float(v_measure(preds, label_col, "cluster").first()["v_measure"])
-    info["input"].unpersist()
+    if info.get("input") is not None:
+        info["input"].unpersist()
     return v

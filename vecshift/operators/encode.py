@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import with_prompt
+from ..session import ensure_parallelism
 
 _TOKEN = re.compile(r"[^ \t\n\r\f]+")
 
@@ -106,4 +107,7 @@ def encode_text(df: DataFrame, encoder: Encoder, text_col: str = "text", prompt:
             vecs = model.encode(texts.tolist())
             yield pd.Series(list(vecs.astype(dtype)))
 
-    return df.withColumn(out, _encode(with_prompt(text_col, prompt)))
+    # non-deterministic for the optimiser only: keeps Catalyst from copying the
+    # (expensive) call into inferred filters, e.g. below an explode
+    enc = _encode.asNondeterministic()
+    return ensure_parallelism(df).withColumn(out, enc(with_prompt(text_col, prompt)))

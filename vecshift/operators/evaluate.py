@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -39,11 +40,14 @@ def evaluate_adapter(df: DataFrame, model: AdapterModel, stage: str, seed: int =
         out = {f"{stage}_loss": loss}
         k, n = class_count(projected, label_col)
         if k > 1 and n >= k:
-            out[f"{stage}_v_measure_pred"] = kmeans_v_measure(
-                projected.select(label_col, F.col("adapted").alias("embedding")), label_col, "embedding",
-                seed, n_init)
-            out[f"{stage}_v_measure_teacher"] = teacher_v if teacher_v is not None else teacher_v_measure(
-                projected, seed, n_init, label_col, teacher_col)
+            pred_in = projected.select(label_col, F.col("adapted").alias("embedding"))
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                # the two sets of restarts are independent jobs: run them side by side
+                pred = pool.submit(kmeans_v_measure, pred_in, label_col, "embedding", seed, n_init)
+                teach = None if teacher_v is not None else pool.submit(
+                    teacher_v_measure, projected, seed, n_init, label_col, teacher_col)
+                out[f"{stage}_v_measure_pred"] = pred.result()
+                out[f"{stage}_v_measure_teacher"] = teacher_v if teach is None else teach.result()
         return out
     finally:
         projected.unpersist()

@@ -1,0 +1,190 @@
+"""Best-of-n k-means with all restarts fused into each pass over the data (M5).
+
+MLlib fits one model per call, one job per iteration, so ``n_init`` restarts
+cost ``n_init`` × iterations jobs. Here every pass serves all restarts at once:
+
+* seeding (k-means++): ``k`` passes; each picks, per restart, one row by
+  weighted reservoir sampling (key = log(u)/D², largest wins) — each partition
+  proposes its best row per restart, a ``max_by`` aggregate keeps one;
+* Lloyd steps: each partition assigns its rows for every restart with BLAS and
+  emits per (restart, cluster) the vector sum, count and cost; a JVM
+  aggregate (``Summarizer.sum``) adds them up;
+* the restart with the lowest final cost is kept.
+
+Only restarts × k × d numbers reach the driver per pass, whatever the row
+count. Random draws are keyed by (seed, restart, step, partition), so a rerun
+over the same input partitions gives the same model.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+DIRECT_COLLECT_BYTES = 64 * 1024 * 1024
+
+
+def _stack(series: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+
+
+def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+    return np.maximum(d, 0.0)
+
+
+def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, step: int, seed: int,
+               restarts: int) -> list[np.ndarray]:
+    """One k-means++ step for every restart: a new centre each, drawn ∝ D² (uniform at step 0)."""
+    spark = data.sparkSession
+    bc = spark.sparkContext.broadcast(chosen)
+
+    def propose(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        cur = bc.value
+        best_key = np.full(restarts, -np.inf)
+        best_vec: list = [None] * restarts
+        rng = np.random.default_rng([seed, step, pid])
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = _stack(pdf[vec_col])
+            u = rng.random((restarts, x.shape[0]))
+            for r in range(restarts):
+                if cur is None:
+                    w = np.ones(x.shape[0])
+                else:
+                    w = _sq_dists(x, cur[r]).min(axis=1)
+                with np.errstate(divide="ignore"):
+                    key = np.where(w > 0, np.log(u[r]) / np.where(w > 0, w, 1.0), -np.inf)
+                i = int(np.argmax(key))
+                if key[i] > best_key[r] or best_vec[r] is None:
+                    best_key[r], best_vec[r] = key[i], x[i]
+        rows = [(r, float(best_key[r]), best_vec[r].tolist()) for r in range(restarts) if best_vec[r] is not None]
+        if rows:
+            yield pd.DataFrame(rows, columns=["r", "key", "vec"])
+
+    picked = (data.select(vec_col).mapInPandas(propose, "r INT, key DOUBLE, vec ARRAY<DOUBLE>")
+              .groupBy("r").agg(F.max_by("vec", "key").alias("vec")).collect())
+    bc.unpersist()
+    new = {row["r"]: np.asarray(row["vec"], dtype=np.float64) for row in picked}
+    out = []
+    for r in range(restarts):
+        prev = np.empty((0, len(new[r]))) if chosen is None else chosen[r]
+        out.append(np.vstack([prev, new[r][None, :]]))
+    return out
+
+
+def _lloyd_pass(data: DataFrame, vec_col: str, centers: list[np.ndarray], active: list[int]):
+    """Per active restart and cluster: vector sum, count and cost of the assigned rows."""
+    spark = data.sparkSession
+    bc = spark.sparkContext.broadcast([centers[r] for r in active])
+    k = centers[0].shape[0]
+
+    def partial(batches):
+        cs = bc.value
+        sums = counts = costs = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = _stack(pdf[vec_col])
+            if sums is None:
+                sums = np.zeros((len(cs), k, x.shape[1]))
+                counts = np.zeros((len(cs), k))
+                costs = np.zeros((len(cs), k))
+            for j, c in enumerate(cs):
+                d = _sq_dists(x, c)
+                lab = d.argmin(axis=1)
+                onehot = np.zeros((x.shape[0], k))
+                onehot[np.arange(x.shape[0]), lab] = 1.0
+                sums[j] += onehot.T @ x
+                counts[j] += onehot.sum(axis=0)
+                costs[j] += onehot.T @ d[np.arange(x.shape[0]), lab]
+        if sums is None:
+            return
+        rows = [(j, c, sums[j, c].tolist(), float(counts[j, c]), float(costs[j, c]))
+                for j in range(len(cs)) for c in range(k)]
+        yield pd.DataFrame(rows, columns=["j", "c", "s", "n", "cost"])
+
+    d = centers[0].shape[1]
+    partials = data.select(vec_col).mapInPandas(partial, "j INT, c INT, s ARRAY<DOUBLE>, n DOUBLE, cost DOUBLE")
+    if data.rdd.getNumPartitions() * len(active) * k * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
+        agg = partials.collect()   # few partitions: the partials themselves are model-sized
+    else:
+        agg = (partials.groupBy("j", "c")
+               .agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"),
+                    F.sum("cost").alias("cost"))
+               .select("j", "c", vector_to_array("s").alias("s"), "n", "cost").collect())
+    bc.unpersist()
+    sums = np.zeros((len(active), k, d))
+    counts = np.zeros((len(active), k))
+    costs = np.zeros(len(active))
+    for row in agg:
+        sums[row["j"], row["c"]] += row["s"]
+        counts[row["j"], row["c"]] += row["n"]
+        costs[row["j"]] += row["cost"]
+    return sums, counts, costs
+
+
+def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
+                 max_iter: int = 300, tol: float = 1e-4,
+                 bytes_per_partition: int = 64 * 1024 * 1024) -> tuple[np.ndarray, dict]:
+    """Centres of the best of ``n_init`` k-means++/Lloyd runs and ``{"cost", "restart", "iterations"}``.
+
+    ``tol`` is relative to the mean feature variance (centre shift², summed
+    over centres, at or below ``tol · mean var`` stops a restart).
+    """
+    cached = df.select(F.col(vec_col).cast("array<double>").alias(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cached
+    try:
+        stats = data.select(array_to_vector(vec_col).alias("v")).agg(
+            Summarizer.metrics("variance", "count").summary(F.col("v")).alias("s")).first()["s"]
+        n = int(stats["count"])
+        if n < k:
+            raise ValueError(f"n_samples={n} should be >= n_clusters={k}")
+        var = np.asarray(stats["variance"].toArray())
+        tol_abs = tol * float(var.mean()) if var.size else 0.0
+        d = var.size
+        parts = max(1, math.ceil(n * d * 8 / bytes_per_partition))
+        if parts < data.rdd.getNumPartitions():
+            data = data.coalesce(parts)
+
+        centers = None
+        for step in range(k):
+            centers = _seed_pass(data, vec_col, centers, step, seed, n_init)
+
+        active = list(range(n_init))
+        costs = np.full(n_init, np.inf)
+        iters = np.zeros(n_init, dtype=int)
+        for _ in range(max_iter):
+            if not active:
+                break
+            sums, counts, cost = _lloyd_pass(data, vec_col, centers, active)
+            still = []
+            for j, r in enumerate(active):
+                new = centers[r].copy()
+                nz = counts[j] > 0
+                new[nz] = sums[j][nz] / counts[j][nz][:, None]   # an empty cluster keeps its centre
+                shift = float(((new - centers[r]) ** 2).sum())
+                centers[r] = new
+                costs[r] = cost[j]
+                iters[r] += 1
+                if shift > tol_abs:
+                    still.append(r)
+            active = still
+        # exact cost of every restart with its final centres
+        _, _, final = _lloyd_pass(data, vec_col, centers, list(range(n_init)))
+        best = int(np.lexsort((np.arange(n_init), final))[0])
+        return centers[best], {"cost": float(final[best]), "restart": best, "iterations": int(iters[best]),
+                               "k": k}
+    finally:
+        cached.unpersist()

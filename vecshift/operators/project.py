@@ -63,7 +63,8 @@ class AdapterModel:
                 y += b
             return pd.Series(list(y.astype(dtype)))
 
-        return _project(F.col(col) if isinstance(col, str) else col)
+        # evaluated once per row: never duplicated into inferred filters
+        return _project.asNondeterministic()(F.col(col) if isinstance(col, str) else col)
 
     def project_jvm_col(self, col) -> Column:
         """Same map as higher-order SQL functions with inlined weights (small maps)."""

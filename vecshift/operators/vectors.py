@@ -17,7 +17,9 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str | None = N
 def to_long(df: DataFrame, id_col: str, vec_col: str, digits: int | None = 6,
             pos_col: str = "pos", value_col: str = "value") -> DataFrame:
     """``(id, pos, value)`` rows of a vector column, pos 0-based."""
-    out = df.select(id_col, F.posexplode(vec_col).alias(pos_col, value_col))
+    # the outer form infers no size filter on the vector (which could re-run a UDF below it)
+    out = df.select(id_col, F.posexplode_outer(vec_col).alias(pos_col, value_col)) \
+        .where(F.col(pos_col).isNotNull())
     v = F.col(value_col).cast("double")
     return out.withColumn(value_col, F.round(v, digits) if digits is not None else v)
 

@@ -88,3 +88,18 @@ def materialize(df, name: str = "table"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df, factor: int = 2):
+    """Spread rows over at least ``factor`` × task slots before a CPU-heavy Python stage.
+
+    A no-op when the frame already has that many partitions (the usual case on a
+    cluster); small inputs read from few files get a round-robin repartition so
+    every core takes part.
+    """
+    if df.isStreaming:
+        return df
+    want = factor * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
