@@ -23,6 +23,8 @@ from ..functions.text import with_prompt
 from ..session import ensure_parallelism
 
 _TOKEN = re.compile(r"[^ \t\n\r\f]+")
+# token → code caches, one per dimension, kept for the life of a (reused) Python worker
+_CODE_CACHES: dict[int, dict[str, int]] = {}
 
 
 class Encoder:
@@ -60,7 +62,7 @@ class HashEncoder(Encoder):
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._cache = {}
+        self._cache = _CODE_CACHES.setdefault(self.dim, {})
 
     def _code(self, token: str) -> int:
         """``bucket * 2 + (1 if the sign is negative)`` for a token (cached per worker)."""
