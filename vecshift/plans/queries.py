@@ -802,3 +802,44 @@ def q_file_fingerprint(spark, sf_dir):
     path = scratch_path(spark, "fp-csv")
     write_corpus_csv(table(spark, sf_dir, "documents").orderBy("doc_id").select("doc_id", "text"), path)
     return spark.createDataFrame([(file_fingerprint(spark, path),)], "file_hash STRING")
+
+
+# ---------------------------------------------------------------- batches and path stems
+from ..functions.text import path_stem  # noqa: E402
+from ..operators.ordering import epoch_batches  # noqa: E402
+
+
+@query("batch_ids", """
+SELECT vec_id, CAST(rank() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS rank,
+       CAST((rank() OVER (ORDER BY vec_id) - 1) // 64 AS BIGINT) AS batch_id
+FROM embeddings
+""")
+def q_batch_ids(spark, sf_dir):
+    """Fixed-size batches of 64 in row order."""
+    ranked = key_rank(embeddings(spark, sf_dir).select("vec_id"), "vec_id", rank_col="rank")
+    return with_batch_id(ranked, 64).select("vec_id", "rank", "batch_id")
+
+
+@query("epoch_batches", """
+SELECT CAST(e.epoch AS INTEGER) AS epoch, v.vec_id,
+       CAST((rank() OVER (PARTITION BY e.epoch ORDER BY md5('42:' || e.epoch || ':' || CAST(v.vec_id AS VARCHAR)),
+                                                  v.vec_id) - 1) // 64 AS BIGINT) AS batch_id
+FROM embeddings v CROSS JOIN (VALUES (0), (1), (2)) AS e(epoch)
+""")
+def q_epoch_batches(spark, sf_dir):
+    """Per-epoch reshuffled batches of 64 for three epochs."""
+    ids = embeddings(spark, sf_dir).select("vec_id")
+    out = None
+    for epoch in range(3):
+        b = epoch_batches(ids, 64, epoch, seed=42, id_col="vec_id").select(
+            F.lit(epoch).alias("epoch"), "vec_id", "batch_id")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query("path_stem", r"""
+SELECT page_id, regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS stem FROM pages
+""")
+def q_path_stem(spark, sf_dir):
+    """Run-name stems of page URLs."""
+    return table(spark, sf_dir, "pages").select("page_id", path_stem("url").alias("stem"))
