@@ -97,8 +97,13 @@ class HashEncoder(Encoder):
 
 
 def encode_text(df: DataFrame, encoder: Encoder, text_col: str = "text", prompt: str | None = None,
-                out: str = "embedding", as_float: bool = True) -> DataFrame:
-    """Add ``out`` = encoder(prompt + text)."""
+                out: str = "embedding", as_float: bool = True, spread: bool = True) -> DataFrame:
+    """Add ``out`` = encoder(prompt + text).
+
+    ``spread`` spreads a small input over all task slots first
+    (:func:`~vecshift.session.ensure_parallelism`); pass False when adding a
+    second encoding to a frame that was already spread.
+    """
     elem = T.FloatType() if as_float else T.DoubleType()
     dtype = np.float32 if as_float else np.float64
 
@@ -112,4 +117,4 @@ def encode_text(df: DataFrame, encoder: Encoder, text_col: str = "text", prompt:
     # non-deterministic for the optimiser only: keeps Catalyst from copying the
     # (expensive) call into inferred filters, e.g. below an explode
     enc = _encode.asNondeterministic()
-    return ensure_parallelism(df).withColumn(out, enc(with_prompt(text_col, prompt)))
+    return (ensure_parallelism(df) if spread else df).withColumn(out, enc(with_prompt(text_col, prompt)))

@@ -58,9 +58,9 @@ def gram_stats(df: DataFrame, x_col: str = "base", y_col: str = "teacher", bias:
     spark = df.sparkSession
     data = df.select(F.col(x_col).cast("array<double>").alias("x"), F.col(y_col).cast("array<double>").alias("y"))
     # one partial per task slot keeps the shuffled partials independent of the row count
+    # (coalesce never adds partitions, so a smaller input keeps its own)
     limit = max_partials or spark.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() > limit:
-        data = data.coalesce(limit)
+    data = data.coalesce(limit)
 
     def partials(batches):
         g = c = None

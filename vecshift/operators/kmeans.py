@@ -42,7 +42,7 @@ def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, step: int, seed: int,
-               restarts: int) -> list[np.ndarray]:
+               restarts: int, d: int) -> list[np.ndarray]:
     """One k-means++ step for every restart: a new centre each, drawn ∝ D² (uniform at step 0)."""
     spark = data.sparkSession
     bc = spark.sparkContext.broadcast(chosen)
@@ -73,10 +73,18 @@ def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, s
         if rows:
             yield pd.DataFrame(rows, columns=["r", "key", "vec"])
 
-    picked = (data.select(vec_col).mapInPandas(propose, "r INT, key DOUBLE, vec ARRAY<DOUBLE>")
-              .groupBy("r").agg(F.max_by("vec", "key").alias("vec")).collect())
+    proposals = data.select(vec_col).mapInPandas(propose, "r INT, key DOUBLE, vec ARRAY<DOUBLE>")
+    if data.rdd.getNumPartitions() * restarts * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
+        # one proposal per (partition, restart): model-sized, keep the largest key per restart here
+        best: dict = {}
+        for row in proposals.collect():
+            if row["r"] not in best or row["key"] > best[row["r"]][0]:
+                best[row["r"]] = (row["key"], row["vec"])
+        new = {r: np.asarray(v, dtype=np.float64) for r, (_, v) in best.items()}
+    else:
+        picked = proposals.groupBy("r").agg(F.max_by("vec", "key").alias("vec")).collect()
+        new = {row["r"]: np.asarray(row["vec"], dtype=np.float64) for row in picked}
     bc.unpersist()
-    new = {row["r"]: np.asarray(row["vec"], dtype=np.float64) for row in picked}
     out = []
     for r in range(restarts):
         prev = np.empty((0, len(new[r]))) if chosen is None else chosen[r]
@@ -155,12 +163,11 @@ def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int =
         tol_abs = tol * float(var.mean()) if var.size else 0.0
         d = var.size
         parts = max(1, math.ceil(n * d * 8 / bytes_per_partition))
-        if parts < data.rdd.getNumPartitions():
-            data = data.coalesce(parts)
+        data = data.coalesce(parts)   # never adds partitions
 
         centers = None
         for step in range(k):
-            centers = _seed_pass(data, vec_col, centers, step, seed, n_init)
+            centers = _seed_pass(data, vec_col, centers, step, seed, n_init, d)
 
         active = list(range(n_init))
         costs = np.full(n_init, np.inf)

@@ -687,7 +687,7 @@ def encoded_pairs(spark, sf_dir):
     coded, _ = factorize(corpus)
     enc = HashEncoder(DIM)
     base = encode_text(coded.select("row_id", "text", "label"), enc, out="base")
-    return materialize(encode_text(base, enc, prompt=PROMPT, out="teacher").drop("text"), "pairs")
+    return materialize(encode_text(base, enc, prompt=PROMPT, out="teacher", spread=False).drop("text"), "pairs")
 
 
 @query("kmeans_best")
@@ -746,17 +746,17 @@ def q_train_pipeline(spark, sf_dir):
 
 @query("preprocess_corpus", f"""
 WITH {clean_cte()},
-h AS (SELECT * FROM c WHERE row_id < 2000),
+h AS (SELECT * FROM c),
 {codes_cte(src="h")}
 SELECT h.row_id, coalesce(codes.label, -1) AS label, {DIM} AS base_dim, {DIM} AS instruct_dim
 FROM h LEFT JOIN codes ON h.target = codes.value
 """)
 def q_preprocess_corpus(spark, sf_dir):
-    """Preprocess the documents (target = lang, head 2000); read back labels and vector dims."""
+    """Preprocess the whole documents table (target = lang); read back labels and vector dims."""
     out = scratch_path(spark, "preprocess")
     docs = table(spark, sf_dir, "documents")
     res = preprocess_corpus(spark, docs, out, HashEncoder(DIM), PROMPT, "text", "lang", order_col="doc_id",
-                            max_samples=2000)
+                            max_samples=None)
     emb = res["embeddings"]
     base = spark.read.parquet(f"{emb}/base").select("row_id", F.size("embedding").alias("base_dim"))
     inst = spark.read.parquet(f"{emb}/instruct").select("row_id", F.size("embedding").alias("instruct_dim"))

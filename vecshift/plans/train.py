@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -64,49 +65,61 @@ def train_pipeline(spark: SparkSession, base: DataFrame, teacher: DataFrame, lab
     val = data.where(F.col("split") == "val")
     test = data.where(F.col("split") == "test")
 
+    if cfg.solver not in ("normal", "gd"):
+        raise ValueError(f"Unsupported solver: {cfg.solver}")
     log = MetricLog(spark, out_dir)
     log.log_params(**{k: v for k, v in cfg.__dict__.items()})
-    stats = gram_stats(train, "base", "teacher", cfg.bias)
-    val_teacher_v = teacher_v_measure(val, cfg.seed, cfg.n_init)
-
-    models: dict[int, AdapterModel] = {}
-
-    def evaluate_epoch(epoch: int, theta) -> None:
-        model = theta_to_model(theta, cfg.bias, {"solver": cfg.solver, "epoch": epoch})
-        models[epoch] = model
-        for name, value in evaluate_adapter(val, model, "val", cfg.seed, cfg.n_init, val_teacher_v).items():
-            log.log(name, value, "val", epoch)
-
-    if cfg.solver == "normal":
-        theta = solve_normal(stats, cfg.l2, cfg.dropout)
-        log.log("train_loss", stats.loss(theta), "train", 0)
-        evaluate_epoch(0, theta)
-        last = 0
-    elif cfg.solver == "gd":
-        last = cfg.epochs - 1
-        for epoch, theta, loss, lr in gd_epochs(stats, cfg.epochs, cfg.batch_size, cfg.optimizer,
-                                                cfg.scheduler, cfg.seed, cfg.l2, cfg.dropout):
-            log.log("train_loss", loss, "train", epoch)
-            log.log("lr", lr, "train", epoch)
-            if epoch % max(1, cfg.eval_every) == 0 or epoch == last:
-                evaluate_epoch(epoch, theta)
-    else:
-        raise ValueError(f"Unsupported solver: {cfg.solver}")
-
-    best_rows = best_epoch(log.frame(), cfg.monitor, cfg.mode).collect()
-    chosen = int(best_rows[0]["epoch"]) if best_rows else last
-    model = models.get(chosen, models[max(models)])
+    # The k-means fits are independent jobs over small model-sized state: the
+    # teacher scores depend only on the data, so they run while the adapter is
+    # fitted, and (with one candidate model) val and test are scored together.
+    pool = ThreadPoolExecutor(max_workers=4)
+    try:
+        teacher_v = {st: pool.submit(teacher_v_measure, part, cfg.seed, cfg.n_init)
+                     for st, part in (("val", val), ("test", test))}
+        stats = gram_stats(train, "base", "teacher", cfg.bias)
+
+        def score(part: DataFrame, model: AdapterModel, stage: str) -> dict:
+            return evaluate_adapter(part, model, stage, cfg.seed, cfg.n_init, teacher_v[stage].result())
+
+        models: dict[int, AdapterModel] = {}
+        test_future = None
+        if cfg.solver == "normal":
+            theta = solve_normal(stats, cfg.l2, cfg.dropout)
+            log.log("train_loss", stats.loss(theta), "train", 0)
+            models[0] = theta_to_model(theta, cfg.bias, {"solver": cfg.solver, "epoch": 0})
+            test_future = pool.submit(score, test, models[0], "test")
+            for name, value in score(val, models[0], "val").items():
+                log.log(name, value, "val", 0)
+            last = 0
+        else:
+            last = cfg.epochs - 1
+            for epoch, theta, loss, lr in gd_epochs(stats, cfg.epochs, cfg.batch_size, cfg.optimizer,
+                                                    cfg.scheduler, cfg.seed, cfg.l2, cfg.dropout):
+                log.log("train_loss", loss, "train", epoch)
+                log.log("lr", lr, "train", epoch)
+                if epoch % max(1, cfg.eval_every) == 0 or epoch == last:
+                    models[epoch] = theta_to_model(theta, cfg.bias, {"solver": cfg.solver, "epoch": epoch})
+                    for name, value in score(val, models[epoch], "val").items():
+                        log.log(name, value, "val", epoch)
+
+        best_rows = best_epoch(log.frame(), cfg.monitor, cfg.mode).collect()
+        chosen = int(best_rows[0]["epoch"]) if best_rows else last
+        model = models.get(chosen, models[max(models)])
+        if test_future is None:
+            test_future = pool.submit(score, test, model, "test")
+        test_metrics = test_future.result()
+    finally:
+        pool.shutdown(wait=True)
+    for name, value in test_metrics.items():
+        log.log(name, value, "test", chosen)
 
+    # timed alone, after the concurrent scoring jobs are done
     total, per_row, n_val = measure_projection(val, model)
     log.log("adapter_latency_sec", total, "latency")
     log.log("adapter_latency_ms_per_sample", None if per_row is None else per_row * 1e3, "latency")
     if teacher_latency_sec:
         log.log("teacher_instruct_latency_sec", teacher_latency_sec, "latency")
         log.log("latency_speedup", teacher_latency_sec / total if total else None, "latency")
-
-    test_metrics = evaluate_adapter(test, model, "test", cfg.seed, cfg.n_init)
-    for name, value in test_metrics.items():
-        log.log(name, value, "test", chosen)
     gap = quality_gap_value(test_metrics.get("test_v_measure_teacher"), test_metrics.get("test_v_measure_pred"))
     log.log("test_quality_gap", gap, "test", chosen)
 

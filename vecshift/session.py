@@ -90,16 +90,36 @@ def materialize(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
-def ensure_parallelism(df, factor: int = 2):
-    """Spread rows over at least ``factor`` × task slots before a CPU-heavy Python stage.
+def input_bytes(df) -> int | None:
+    """Bytes the plan of ``df`` reads: Catalyst's size of its leaf relations; no job runs.
 
-    A no-op when the frame already has that many partitions (the usual case on a
-    cluster); small inputs read from few files get a round-robin repartition so
-    every core takes part.
+    Leaf sizes come from file sizes (or cached sizes), unlike the estimate of
+    the root, which joins inflate by orders of magnitude. (Asking
+    ``df.rdd.getNumPartitions()`` instead would run every shuffle stage under
+    AQE once just to count partitions, and the real action would run them again.)
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
+        return None
+
+
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def ensure_parallelism(df, factor: int = 2, small_bytes: int = SMALL_INPUT_BYTES):
+    """Spread a small input over ``factor`` × task slots before a CPU-heavy Python stage.
+
+    Small inputs (≤ ``small_bytes`` read) often come from one file or one row
+    group, so one task would do all the work: they get a round-robin
+    repartition, which is cheap at that size and stays deterministic on retry.
+    Large inputs keep the partitioning of their scan or shuffle (no extra
+    shuffle of the full data).
     """
     if df.isStreaming:
         return df
-    want = factor * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    size = input_bytes(df)
+    if size is None or size > small_bytes:
+        return df
+    return df.repartition(factor * df.sparkSession.sparkContext.defaultParallelism)
