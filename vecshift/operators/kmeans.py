@@ -162,7 +162,12 @@ def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int =
         var = np.asarray(stats["variance"].toArray())
         tol_abs = tol * float(var.mean()) if var.size else 0.0
         d = var.size
-        parts = max(1, math.ceil(n * d * 8 / bytes_per_partition))
+        # Each pass emits restarts × k × d partial sums per task, so the task
+        # count is capped by the cluster (2 per slot), not by the data: the
+        # partials stay cluster-sized however many rows there are. Small
+        # inputs use fewer tasks (one per ``bytes_per_partition``).
+        slots = data.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, min(math.ceil(n * d * 8 / bytes_per_partition), 2 * slots))
         data = data.coalesce(parts)   # never adds partitions
 
         centers = None

@@ -47,11 +47,20 @@ def decode_labels(df: DataFrame, codes: DataFrame, label_col: str = "label",
     return df.join(c, df[label_col] == c["_code"], "left").drop("_code")
 
 
-def label_mapping_json(codes: DataFrame) -> DataFrame:
+MAX_MAPPING_ENTRIES = 1_000_000
+
+
+def label_mapping_json(codes: DataFrame, max_entries: int = MAX_MAPPING_ENTRIES) -> DataFrame:
     """One-row ``mapping`` JSON object ``{"0": value, …}``.
 
-    The dictionary has one entry per class; only use it for class-sized tables.
+    The object is one value, built by one task, so the code table is counted
+    first and refused beyond ``max_entries`` (the ``(label, value)`` table
+    itself is the form for larger dictionaries).
     """
+    n = codes.count()
+    if n > max_entries:
+        raise ValueError(f"{n} codes exceed {max_entries} for a single JSON mapping; "
+                         "write the (label, value) table instead")
     entries = F.array_sort(F.collect_list(F.struct(F.col("label").alias("k"), F.col("value").alias("v"))))
     as_str = F.transform(entries, lambda e: F.struct(e["k"].cast("string").alias("k"), e["v"].alias("v")))
     return codes.agg(F.to_json(F.map_from_entries(as_str)).alias("mapping"))

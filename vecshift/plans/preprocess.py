@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import clean_corpus, head_rows
 from ..operators.encode import Encoder, encode_text
-from ..operators.labels import factorize, label_mapping_json
+from ..operators.labels import encode_labels, factor_codes, label_mapping_json
 from ..sources.corpus import load_split_files, write_corpus_csv, write_corpus_jsonl
 from ..sources.metadata import (PREPROCESS_SCHEMA, content_fingerprint, preprocess_metadata, read_metadata,
                                 write_metadata)
@@ -72,9 +72,10 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     write_embeddings(encode_text(cleaned.select("row_id", "text"), encoder, prompt=instruction), emb_dir, "instruct")
     instruct_s = time.perf_counter() - t0
 
-    coded, codes = factorize(cleaned)
-    coded.select("row_id", "label").write.mode("overwrite").parquet(f"{emb_dir}/labels")
-    codes.write.mode("overwrite").parquet(f"{emb_dir}/label_mapping")
+    # the code table is written once; labels and the JSON mapping read it back
+    factor_codes(cleaned).write.mode("overwrite").parquet(f"{emb_dir}/label_mapping")
+    codes = spark.read.parquet(f"{emb_dir}/label_mapping")
+    encode_labels(cleaned, codes).select("row_id", "label").write.mode("overwrite").parquet(f"{emb_dir}/labels")
     label_mapping_json(codes).coalesce(1).write.mode("overwrite").text(f"{emb_dir}/label_mapping_json")
 
     dim = spark.read.parquet(f"{emb_dir}/base").agg(F.max(F.size("embedding"))).first()[0]
