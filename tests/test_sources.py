@@ -102,3 +102,12 @@ def test_synthetic_pairs_partition_independent(spark):
     a = {r.row_id: tuple(r.target) for r in synthetic_pairs(ids, 8, 4).collect()}
     b = {r.row_id: tuple(r.target) for r in synthetic_pairs(ids.repartition(5), 8, 4).collect()}
     assert a == b and len(next(iter(a.values()))) == 4
+
+
+def test_shard_writers_refuse_non_posix_paths(spark):
+    from vecshift.sources.vectors import write_json_vectors, write_npy_shards
+    df = spark.createDataFrame([(0, [1.0, 2.0])], "id LONG, embedding ARRAY<DOUBLE>")
+    with pytest.raises(ValueError):
+        write_npy_shards(df, "hdfs://nn/x", "id")
+    with pytest.raises(ValueError):
+        write_json_vectors(df, "s3a://bucket/x", "id")

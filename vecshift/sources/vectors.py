@@ -31,6 +31,14 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _posix_folder(path: str) -> str:
+    """Local form of a ``file:`` or plain path; other schemes cannot be written with ``os`` calls."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path}: .npy/JSON shards are written through a POSIX mount of the shared folder; "
+                         "use write_embeddings (parquet) for object stores and HDFS")
+    return local_path(path)
+
+
 def _file_offsets(per_file: DataFrame) -> DataFrame:
     """Running row offset per file in file-name order; one row per file."""
     w = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +53,7 @@ def write_npy_shards(df: DataFrame, path: str, order_col: str, vec_col: str = "e
     """
     spark = df.sparkSession
     shards = shards or spark.sparkContext.defaultParallelism
-    target = local_path(path)
+    target = _posix_folder(path)
     data = df.select(order_col, vec_col).repartitionByRange(shards, order_col).sortWithinPartitions(order_col)
 
     def write(batches):
@@ -95,7 +103,7 @@ def read_npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_json_vectors(df: DataFrame, path: str, name_col: str, vec_col: str = "embedding") -> str:
     """One ``{"embedding": [...]}`` file per row, named ``<name>.json`` (fixture writer for S7)."""
-    target = local_path(path)
+    target = _posix_folder(path)
 
     def write(batches):
         os.makedirs(target, exist_ok=True)
