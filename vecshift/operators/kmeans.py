@@ -32,6 +32,25 @@ from pyspark.sql import functions as F
 DIRECT_COLLECT_BYTES = 64 * 1024 * 1024
 
 
+CLOSURE_BYTES = 1024 * 1024
+
+
+class _Centres:
+    """Centres for the tasks of one pass: inside the task closure when small, else a broadcast."""
+
+    def __init__(self, spark, value, nbytes: int):
+        self._bc = spark.sparkContext.broadcast(value) if nbytes > CLOSURE_BYTES else None
+        self._value = None if self._bc is not None else value
+
+    @property
+    def value(self):
+        return self._bc.value if self._bc is not None else self._value
+
+    def release(self) -> None:
+        if self._bc is not None:
+            self._bc.unpersist()
+
+
 def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
@@ -42,10 +61,10 @@ def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, step: int, seed: int,
-               restarts: int, d: int) -> list[np.ndarray]:
+               restarts: int, d: int, nparts: int) -> list[np.ndarray]:
     """One k-means++ step for every restart: a new centre each, drawn ∝ D² (uniform at step 0)."""
     spark = data.sparkSession
-    bc = spark.sparkContext.broadcast(chosen)
+    bc = _Centres(spark, chosen, 0 if chosen is None else sum(c.nbytes for c in chosen))
 
     def propose(batches):
         from pyspark import TaskContext
@@ -74,7 +93,7 @@ def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, s
             yield pd.DataFrame(rows, columns=["r", "key", "vec"])
 
     proposals = data.select(vec_col).mapInPandas(propose, "r INT, key DOUBLE, vec ARRAY<DOUBLE>")
-    if data.rdd.getNumPartitions() * restarts * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
+    if nparts * restarts * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
         # one proposal per (partition, restart): model-sized, keep the largest key per restart here
         best: dict = {}
         for row in proposals.collect():
@@ -84,7 +103,7 @@ def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, s
     else:
         picked = proposals.groupBy("r").agg(F.max_by("vec", "key").alias("vec")).collect()
         new = {row["r"]: np.asarray(row["vec"], dtype=np.float64) for row in picked}
-    bc.unpersist()
+    bc.release()
     out = []
     for r in range(restarts):
         prev = np.empty((0, len(new[r]))) if chosen is None else chosen[r]
@@ -92,10 +111,10 @@ def _seed_pass(data: DataFrame, vec_col: str, chosen: list[np.ndarray] | None, s
     return out
 
 
-def _lloyd_pass(data: DataFrame, vec_col: str, centers: list[np.ndarray], active: list[int]):
+def _lloyd_pass(data: DataFrame, vec_col: str, centers: list[np.ndarray], active: list[int], nparts: int):
     """Per active restart and cluster: vector sum, count and cost of the assigned rows."""
     spark = data.sparkSession
-    bc = spark.sparkContext.broadcast([centers[r] for r in active])
+    bc = _Centres(spark, [centers[r] for r in active], sum(centers[r].nbytes for r in active))
     k = centers[0].shape[0]
 
     def partial(batches):
@@ -125,14 +144,14 @@ def _lloyd_pass(data: DataFrame, vec_col: str, centers: list[np.ndarray], active
 
     d = centers[0].shape[1]
     partials = data.select(vec_col).mapInPandas(partial, "j INT, c INT, s ARRAY<DOUBLE>, n DOUBLE, cost DOUBLE")
-    if data.rdd.getNumPartitions() * len(active) * k * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
+    if nparts * len(active) * k * (d + 2) * 8 <= DIRECT_COLLECT_BYTES:
         agg = partials.collect()   # few partitions: the partials themselves are model-sized
     else:
         agg = (partials.groupBy("j", "c")
                .agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"),
                     F.sum("cost").alias("cost"))
                .select("j", "c", vector_to_array("s").alias("s"), "n", "cost").collect())
-    bc.unpersist()
+    bc.release()
     sums = np.zeros((len(active), k, d))
     counts = np.zeros((len(active), k))
     costs = np.zeros(len(active))
@@ -169,10 +188,11 @@ def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int =
         slots = data.sparkSession.sparkContext.defaultParallelism
         parts = max(1, min(math.ceil(n * d * 8 / bytes_per_partition), 2 * slots))
         data = data.coalesce(parts)   # never adds partitions
+        nparts = data.rdd.getNumPartitions()   # over the cached table: no job
 
         centers = None
         for step in range(k):
-            centers = _seed_pass(data, vec_col, centers, step, seed, n_init, d)
+            centers = _seed_pass(data, vec_col, centers, step, seed, n_init, d, nparts)
 
         active = list(range(n_init))
         costs = np.full(n_init, np.inf)
@@ -180,7 +200,7 @@ def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int =
         for _ in range(max_iter):
             if not active:
                 break
-            sums, counts, cost = _lloyd_pass(data, vec_col, centers, active)
+            sums, counts, cost = _lloyd_pass(data, vec_col, centers, active, nparts)
             still = []
             for j, r in enumerate(active):
                 new = centers[r].copy()
@@ -194,7 +214,7 @@ def fused_kmeans(df: DataFrame, k: int, vec_col: str = "embedding", seed: int =
                     still.append(r)
             active = still
         # exact cost of every restart with its final centres
-        _, _, final = _lloyd_pass(data, vec_col, centers, list(range(n_init)))
+        _, _, final = _lloyd_pass(data, vec_col, centers, list(range(n_init)), nparts)
         best = int(np.lexsort((np.arange(n_init), final))[0])
         return centers[best], {"cost": float(final[best]), "restart": best, "iterations": int(iters[best]),
                                "k": k}
