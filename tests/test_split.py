@@ -66,3 +66,12 @@ def test_key_rank_many_buckets(spark):
     df = spark.range(5000).select((F.col("id") * 7 + 3).alias("k"))
     got = key_rank(df, "k", rank_col="r", rows_per_bucket=100).orderBy("k").collect()
     assert [r.r for r in got] == list(range(5000))
+
+
+def test_key_rank_one_bucket_equals_many(spark):
+    from vecshift.operators.ordering import key_rank
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3001).alias("k"))
+    one = key_rank(df, "k", rank_col="r").orderBy("k").collect()
+    many = key_rank(df, "k", rank_col="r", rows_per_bucket=200).orderBy("k").collect()
+    assert [(r.k, r.r) for r in one] == [(r.k, r.r) for r in many]
+    assert [r.r for r in one] == list(range(3000))

@@ -94,6 +94,11 @@ def key_rank(df: DataFrame, key: str, rank_col: str = "row_id", prefix_cols: lis
     prefix_cols = list(prefix_cols or [])
     bounds = key_boundaries(bucket_source if bucket_source is not None else df.select(key), key,
                             rows_per_bucket)
+    if not bounds and not prefix_cols:
+        # one bucket (at most ``rows_per_bucket`` rows): its offset is 0, so the
+        # count table and its join are skipped; the bound on rows is the same
+        w = Window.partitionBy(F.lit(0)).orderBy(key)
+        return df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
     keyed = with_key_bucket(df, key, bounds)
     ranked = global_rank(keyed, prefix_cols + [key], prefix_cols + ["_key_b"], rank_col)
     return ranked.drop("_key_b")
