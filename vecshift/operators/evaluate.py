@@ -27,10 +27,13 @@ def teacher_v_measure(df: DataFrame, seed: int = 42, n_init: int = 10, label_col
 
 
 def evaluate_adapter(df: DataFrame, model: AdapterModel, stage: str, seed: int = 42, n_init: int = 10,
-                     teacher_v: float | None = None, label_col: str = "label", base_col: str = "base",
+                     teacher_v=None, label_col: str = "label", base_col: str = "base",
                      teacher_col: str = "teacher") -> dict[str, float | None]:
     """``{stage}_loss``, ``{stage}_v_measure_pred`` and ``{stage}_v_measure_teacher`` (M6).
 
+    ``teacher_v`` is the teacher's score when already known: a float, or a
+    future that is only waited for after the adapter's own fit, so both fits
+    overlap. None computes it here, next to the adapter's fit.
     The V-measures are skipped (absent) with ≤ 1 class or fewer rows than classes.
     """
     projected = model.transform(df.select(label_col, base_col, teacher_col), base_col, "adapted") \
@@ -47,7 +50,11 @@ def evaluate_adapter(df: DataFrame, model: AdapterModel, stage: str, seed: int =
                 teach = None if teacher_v is not None else pool.submit(
                     teacher_v_measure, projected, seed, n_init, label_col, teacher_col)
                 out[f"{stage}_v_measure_pred"] = pred.result()
-                out[f"{stage}_v_measure_teacher"] = teacher_v if teach is None else teach.result()
+                if teach is not None:
+                    out[f"{stage}_v_measure_teacher"] = teach.result()
+                else:
+                    out[f"{stage}_v_measure_teacher"] = (teacher_v.result() if hasattr(teacher_v, "result")
+                                                         else teacher_v)
         return out
     finally:
         projected.unpersist()

@@ -79,7 +79,8 @@ def train_pipeline(spark: SparkSession, base: DataFrame, teacher: DataFrame, lab
         stats = gram_stats(train, "base", "teacher", cfg.bias)
 
         def score(part: DataFrame, model: AdapterModel, stage: str) -> dict:
-            return evaluate_adapter(part, model, stage, cfg.seed, cfg.n_init, teacher_v[stage].result())
+            # the teacher's future is resolved after the adapter's fit: the two run side by side
+            return evaluate_adapter(part, model, stage, cfg.seed, cfg.n_init, teacher_v[stage])
 
         models: dict[int, AdapterModel] = {}
         test_future = None
