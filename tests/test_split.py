@@ -75,3 +75,13 @@ def test_key_rank_one_bucket_equals_many(spark):
     many = key_rank(df, "k", rank_col="r", rows_per_bucket=200).orderBy("k").collect()
     assert [(r.k, r.r) for r in one] == [(r.k, r.r) for r in many]
     assert [r.r for r in one] == list(range(3000))
+
+
+def test_seeded_rank_paths_agree(spark):
+    from vecshift.operators.ordering import seeded_rank
+    df = spark.range(2000).withColumnRenamed("id", "row_id")
+    direct = {r.row_id: r.rank for r in seeded_rank(df, seed=3, n=2000).collect()}
+    bucketed = {r.row_id: r.rank for r in seeded_rank(df, seed=3).collect()}
+    few = {r.row_id: r.rank for r in seeded_rank(df, seed=3, hex_digits=1).collect()}
+    assert direct == bucketed == few
+    assert sorted(direct.values()) == list(range(2000))

@@ -44,16 +44,25 @@ def hash_order_key(id_col: str, seed: int | str) -> Column:
 
 
 def seeded_rank(df: DataFrame, id_col: str = "row_id", seed: int | str = 42,
-                rank_col: str = "rank", shuffle: bool = True, hex_digits: int = 4) -> DataFrame:
+                rank_col: str = "rank", shuffle: bool = True, hex_digits: int | None = None,
+                n: int | None = None) -> DataFrame:
     """Seeded permutation as a 0-based rank.
 
     Order is ``(md5('<seed>:<id>'), id)``; ``shuffle=False`` ranks by the id.
     Hash buckets are uniform, so no bucket is hot even if ids are clustered.
+    With a known row count ``n``, at most ``ROWS_PER_BUCKET`` rows are numbered
+    in one window, and larger inputs get just enough leading hex digits for
+    about ``ROWS_PER_BUCKET`` rows per bucket (at most 4 digits, 65,536 buckets).
     """
     if not shuffle:
         return key_rank(df, id_col, rank_col=rank_col)
-    keyed = (df.withColumn("_order_h", hash_order_key(id_col, seed))
-             .withColumn("_order_b", F.conv(F.substring("_order_h", 1, hex_digits), 16, 10).cast("int")))
+    keyed = df.withColumn("_order_h", hash_order_key(id_col, seed))
+    if n is not None and n <= ROWS_PER_BUCKET:
+        w = Window.partitionBy(F.lit(0)).orderBy("_order_h", id_col)
+        return keyed.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long")).drop("_order_h")
+    if hex_digits is None:
+        hex_digits = 4 if n is None else max(1, min(4, math.ceil(math.log(n / ROWS_PER_BUCKET, 16))))
+    keyed = keyed.withColumn("_order_b", F.conv(F.substring("_order_h", 1, hex_digits), 16, 10).cast("int"))
     return global_rank(keyed, ["_order_h", id_col], ["_order_b"], rank_col).drop("_order_h", "_order_b")
 
 
