@@ -46,3 +46,11 @@ def test_adapter_save_load(spark, tmp_path):
     assert np.array_equal(back.weights, m.weights) and np.array_equal(back.bias, m.bias)
     with pytest.raises(FileNotFoundError):
         AdapterModel.load(spark, str(tmp_path / "missing"))
+
+
+def test_jvm_projection_refuses_large_maps(spark):
+    import pytest
+    from vecshift.operators.project import AdapterModel
+    big = AdapterModel.identity(512)
+    with pytest.raises(ValueError):
+        big.project_jvm_col("embedding")

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..functions.vector import affine
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+# the JVM form inlines every weight as a literal of the plan: small maps only
+MAX_JVM_WEIGHTS = 65_536
 
 
 class AdapterModel:
@@ -68,6 +70,9 @@ class AdapterModel:
 
     def project_jvm_col(self, col) -> Column:
         """Same map as higher-order SQL functions with inlined weights (small maps)."""
+        if self.weights.size > MAX_JVM_WEIGHTS:
+            raise ValueError(f"{self.weights.size} weights are too many to inline in a plan "
+                             f"(limit {MAX_JVM_WEIGHTS}); use mode='arrow'")
         return affine(col, self.weights.tolist(), None if self.bias is None else self.bias.tolist())
 
     def transform(self, df: DataFrame, input_col: str = "embedding", output_col: str = "adapted",
