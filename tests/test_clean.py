@@ -44,3 +44,15 @@ def test_head_rows_and_columns(spark):
     assert head_rows(df, 3).count() == 3 and head_rows(df, None).count() == 10
     with pytest.raises(ValueError, match="Column 'text' not in"):
         require_columns(df, ["text"])
+
+
+def test_clean_corpus_bucketed_path_equals_single_bucket(spark):
+    from conftest import SF_MID
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    one = clean_corpus(docs, "text", "lang", order_col="doc_id")
+    many = clean_corpus(docs, "text", "lang", order_col="doc_id", rows_per_bucket=50)
+    cols = ["row_id", "doc_id", "text", "target"]
+    a = [tuple(r) for r in one.select(*cols).orderBy("row_id").collect()]
+    b = [tuple(r) for r in many.select(*cols).orderBy("row_id").collect()]
+    assert a == b
+    assert [r[0] for r in a] == list(range(len(a)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_if_token
 from ..session import materialize
-from .ordering import key_rank
+from .ordering import ROWS_PER_BUCKET, key_boundaries, key_rank
 
 
 def require_columns(df: DataFrame, columns: list[str], source: str = "input") -> None:
@@ -34,7 +34,7 @@ def dedup_first(df: DataFrame, key: str = "text", order_col: str = "row_id") ->
 def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None = "target",
                  order_col: str = "row_id", dropna: bool = True, deduplicate: bool = True,
                  pandas_nulls: bool = True, bucket_source: DataFrame | None = None,
-                 row_id_col: str = "row_id") -> DataFrame:
+                 row_id_col: str = "row_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Drop null text, keep the first copy of each text, select/rename, number rows.
 
     Output: ``row_id`` (dense, 0-based, in ``order_col`` order), ``order_col``
@@ -49,15 +49,18 @@ def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None =
     out = df.select(*sel)
     if dropna:
         out = out.where(F.col("text").isNotNull())
+    src = (bucket_source if bucket_source is not None else df).select(F.col(order_col).alias("_order"))
+    bounds = key_boundaries(src, "_order", rows_per_bucket)
     if deduplicate:
-        # written once: the per-bucket count of the rank then scans one column
-        # instead of repeating the de-duplication shuffle
-        out = materialize(dedup_first(out, "text", "_order"), "dedup")
+        out = dedup_first(out, "text", "_order")
+        if bounds:
+            # several rank buckets read it twice (per-bucket counts, then the
+            # numbering): written once instead of repeating the shuffle
+            out = materialize(out, "dedup")
     if not dropna:
         # a kept missing text is written out as the string 'nan'
         out = out.withColumn("text", F.coalesce(F.col("text"), F.lit("nan")))
-    src = (bucket_source if bucket_source is not None else df).select(F.col(order_col).alias("_order"))
-    ranked = key_rank(out, "_order", rank_col=row_id_col, bucket_source=src)
+    ranked = key_rank(out, "_order", rank_col=row_id_col, boundaries=bounds)
     keep = [row_id_col] + ([] if order_col == row_id_col else [F.col("_order").alias(order_col)])
     return ranked.select(*keep, "text", *(["target"] if target_col else []))
 

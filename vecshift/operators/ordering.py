@@ -93,16 +93,18 @@ def with_key_bucket(df: DataFrame, key: str, boundaries: list[float], out: str =
 
 
 def key_rank(df: DataFrame, key: str, rank_col: str = "row_id", prefix_cols: list[str] | None = None,
-             bucket_source: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+             bucket_source: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+             boundaries: list[float] | None = None) -> DataFrame:
     """0-based dense rank by ``(*prefix_cols, key)`` (W1), ``key`` unique within a prefix.
 
     Bucket boundaries come from ``bucket_source`` (default ``df``): passing the
     raw table before a filter keeps the sketch a cheap one-column scan, and the
-    buckets stay monotone after any filter.
+    buckets stay monotone after any filter. ``boundaries`` passes ones already
+    computed by :func:`key_boundaries`.
     """
     prefix_cols = list(prefix_cols or [])
-    bounds = key_boundaries(bucket_source if bucket_source is not None else df.select(key), key,
-                            rows_per_bucket)
+    bounds = boundaries if boundaries is not None else key_boundaries(
+        bucket_source if bucket_source is not None else df.select(key), key, rows_per_bucket)
     if not bounds and not prefix_cols:
         # one bucket (at most ``rows_per_bucket`` rows): its offset is 0, so the
         # count table and its join are skipped; the bound on rows is the same
