@@ -111,3 +111,21 @@ def test_shard_writers_refuse_non_posix_paths(spark):
         write_npy_shards(df, "hdfs://nn/x", "id")
     with pytest.raises(ValueError):
         write_json_vectors(df, "s3a://bucket/x", "id")
+
+
+def test_file_fingerprint_matches_hashlib(spark):
+    import hashlib
+    import pathlib
+    from vecshift.sources.metadata import file_fingerprint
+    base = pathlib.Path(local_path(scratch_path(spark, "fingerprint")))
+    base.mkdir(parents=True)
+    one = base / "a.csv"
+    one.write_bytes(b"text,target\n\"x, y\",1\n" * 1000)
+    assert file_fingerprint(spark, str(one)) == hashlib.md5(one.read_bytes()).hexdigest()
+    folder = base / "parts"
+    folder.mkdir()
+    parts = [b"p0" * 10, b"p1" * 20, b"p2"]
+    for i, b in enumerate(parts):
+        (folder / f"part-{i}.csv").write_bytes(b)
+    want = hashlib.md5("".join(hashlib.md5(b).hexdigest() for b in parts).encode()).hexdigest()
+    assert file_fingerprint(spark, str(folder)) == want

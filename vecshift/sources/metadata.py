@@ -73,10 +73,37 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> dict | None:
     return rows[0].asDict() if rows else None
 
 
+def _md5_streamed(batches):
+    """MD5 of each listed file, read in 8 MB chunks (no file is held whole in memory)."""
+    import hashlib
+
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for p in pdf["path"]:
+            h = hashlib.md5()
+            with open(local_path(p), "rb") as fh:
+                for chunk in iter(lambda: fh.read(8 << 20), b""):
+                    h.update(chunk)
+            out.append(h.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "h": out})
+
+
 def file_fingerprint(spark: SparkSession, path: str) -> str:
-    """MD5 hex of a file's bytes; for a folder of parts, MD5 over the sorted part hashes."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path"), F.md5("content").alias("h"))
+    """MD5 hex of a file's bytes; for a folder of parts, MD5 over the sorted part hashes.
+
+    Each file is hashed by one task. On a POSIX path (local or a shared mount)
+    the task streams the file in chunks, so size is no limit; other schemes
+    read it through ``binaryFile`` (one value per file, under 2 GB).
+    """
+    listing = spark.read.format("binaryFile").load(path)
+    if "://" in path and not path.startswith("file:"):
+        files = listing.select(F.col("path"), F.md5("content").alias("h"))
+    else:
+        # the listing reads no content; one file per row, hashed where the row lands
+        paths = listing.select("path")
+        files = paths.repartition(max(1, spark.sparkContext.defaultParallelism)) \
+            .mapInPandas(_md5_streamed, "path STRING, h STRING")
     rows = files.orderBy("path").collect()  # one row per file
     if not rows:
         raise FileNotFoundError(path)
