@@ -53,6 +53,18 @@ def test_gd_solver_pipeline(spark):
                                      optimizer={"name": "sgd", "lr": 0.1, "momentum": 0.9}))
     epochs = {r.epoch for r in res.metrics.where("metric = 'val_loss'").collect()}
     assert epochs == {0, 2} and res.best_epoch in epochs
+    rows = res.metrics.collect()
+    names = {r.metric for r in rows}
+    assert {"test_loss", "test_v_measure_pred", "test_v_measure_teacher", "adapter_latency_sec"} <= names
+    assert {r.epoch for r in rows if r.stage == "test"} == {res.best_epoch}
+
+
+def test_unknown_solver_is_rejected(spark):
+    import pytest
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    base = emb.select(F.col("vec_id").alias("row_id"), "embedding")
+    with pytest.raises(ValueError):
+        train_pipeline(spark, base, base, None, TrainConfig(solver="lbfgs"), validate=False)
 
 
 def test_stream_encode(spark):
