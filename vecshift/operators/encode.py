@@ -103,6 +103,11 @@ def encode_text(df: DataFrame, encoder: Encoder, text_col: str = "text", prompt:
     ``spread`` spreads a small input over all task slots first
     (:func:`~vecshift.session.ensure_parallelism`); pass False when adding a
     second encoding to a frame that was already spread.
+
+    Filter and limit *before* calling this: the encoder column is marked
+    non-deterministic so Catalyst never copies the expensive call into an
+    inferred filter, and for the same reason a filter written after it is not
+    pushed below it (every row would be encoded first).
     """
     elem = T.FloatType() if as_float else T.DoubleType()
     dtype = np.float32 if as_float else np.float64
