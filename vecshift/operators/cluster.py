@@ -55,7 +55,7 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
         c, c2, lookup = bc.value
         if len(vectors) == 0:
             return pd.Series([], dtype="int64")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        x = np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
         if c.shape[0] <= 256:
             # exact differences, one centre at a time (batch × d memory), so ties resolve exactly
             d = np.empty((x.shape[0], c.shape[0]))

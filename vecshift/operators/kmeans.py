@@ -52,7 +52,7 @@ class _Centres:
 
 
 def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+    return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
 def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -59,7 +59,7 @@ class AdapterModel:
             w, b = bc.value
             if len(vectors) == 0:
                 return pd.Series([], dtype=object)
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+            x = np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
             y = x @ w.T
             if b is not None:
                 y += b
