@@ -29,3 +29,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify_quality
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import apply_rules, fit_forest
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_language
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_language(docs).select("doc_id", "held_out", "lang_pred", "score")
