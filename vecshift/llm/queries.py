@@ -43,3 +43,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_language
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_language(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_html
+    return extract_html(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
