@@ -55,3 +55,15 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data, summary
+    return summary(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
