@@ -67,3 +67,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data, summary
     return summary(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start_word", "n_words", "similarity")
