@@ -33,6 +33,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small, whole_text, words
+from .common import fresh, small, whole_text, words
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 8, 8
@@ -146,6 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the rows that leak a benchmark item."""
-    leaks = materialize(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_")).distinct(), "leaks")
-    marked = docs.withColumn("hash_", F.xxhash64(whole_text("text")))
-    return marked.join(small(leaks), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("digest_")), "left_anti").drop("hash_")
+    other_id, other_digest = fresh(docs, "id_"), fresh(docs, "digest_")
+    found = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.xxhash64(whole_text("text")) == F.col(other_digest))
+    return docs.join(small(materialize(found, "leaks")), same, "left_anti")

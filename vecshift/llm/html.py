@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import fresh, whole_text
 
 #: A comment, a declaration, or a tag with its attributes; at the end of the page a tag may be cut off.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -225,9 +225,8 @@ def extract_html(pages: DataFrame, html_col: str = "html", rules: Rules = Rules(
         for html in col:
             yield pd.DataFrame([main_text(h, rules) for h in html], columns=["text", "n_blocks_kept", "n_blocks"])
 
-    new = ["text", "n_chars", "n_blocks_kept", "n_blocks"]
-    out = pages.withColumn("extracted_", extract(whole_text(html_col)))
-    out = out.drop(*(c for c in new if c in pages.columns))
-    found = {c: F.col(f"extracted_.{c}") for c in ("text", "n_blocks_kept", "n_blocks")}
+    at = fresh(pages, "extracted_")
+    out = pages.withColumn(at, extract(whole_text(html_col))).drop("text", "n_chars", "n_blocks_kept", "n_blocks")
+    found = {c: F.col(f"{at}.{c}") for c in ("text", "n_blocks_kept", "n_blocks")}
     return out.withColumns({"text": found["text"], "n_chars": F.length(found["text"]).cast("long"),
-                            "n_blocks_kept": found["n_blocks_kept"], "n_blocks": found["n_blocks"]}).drop("extracted_")
+                            "n_blocks_kept": found["n_blocks_kept"], "n_blocks": found["n_blocks"]}).drop(at)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import fresh, whole_text
 
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
@@ -207,8 +207,9 @@ def predict_language(docs: DataFrame, net: Network, text_col: str = "text", bloc
             yield pd.DataFrame({"lang_pred": [model.languages[k] if u else "und" for k, u in zip(top, usable)],
                                 "score": np.where(usable, np.clip(mean.max(1), 0, 1), 0.0)})
 
-    out = docs.drop("lang_pred", "score").withColumn("predicted_", predict(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("predicted_.lang_pred"), "score": F.col("predicted_.score")}).drop("predicted_")
+    found = fresh(docs, "predicted_")
+    out = docs.drop("lang_pred", "score").withColumn(found, predict(F.col(text_col)))
+    return out.withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score")}).drop(found)
 
 
 def identify_language(docs: DataFrame, **fit: object) -> DataFrame:

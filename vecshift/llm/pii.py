@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import let, small, whole_text
+from .common import fresh, let, small, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's forms. Possessive, since none ever needs to give back, and begun only where a longer match
@@ -152,26 +152,27 @@ def discover(found: DataFrame, rounds: int = 2, support: int = 3, least: float =
     return best.select("doc_id", "digest", "start", "end", F.col("best.k").alias("kind"))
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2,
-                       support: int = 3, least: float = 0.7) -> DataFrame:
-    """``docs`` with ``base`` (base entities) and ``spans`` (these and what the patterns add), sorted arrays of structs.
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, support: int = 3,
+                       least: float = 0.7, base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """``docs`` with ``base_col`` (base entities) and ``spans_col`` (these and what the patterns add), sorted arrays of structs.
 
     Null texts count as empty. Rows with equal id and text get equal spans. Columns of ``docs`` by the names
     of the new ones are replaced. An empty table gives an empty result.
     """
     text = whole_text(text_col)
     digest = F.xxhash64(text)
-    clean = docs.drop("base", "spans")
-    mine = clean.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), text.alias("text_")).withColumn("base", base_spans(F.col("text_")))
+    mine = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), text.alias("text_")).withColumn("base", base_spans(F.col("text_")))
     found = materialize(occurrences(mine), "pii-tokens")
     more = discover(found, rounds, support, least)
     rank = reduce(lambda c, k: F.when(F.col("kind") == k[1], k[0]).otherwise(c), enumerate(KINDS), F.lit(len(KINDS)))
     span = F.struct(F.col("start").cast("int").alias("start"), rank.cast("int").alias("rank"), F.col("end").cast("int").alias("end"), "kind").cast(SPAN)
-    added = materialize(more.groupBy(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_")).agg(F.collect_list(span).alias("added_")), "pii-added")
-    out = clean.withColumn("base", base_spans(text)).withColumn("hash_", digest)
-    out = out.join(small(added), F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("digest_")), "left")
-    spans = F.array_sort(F.concat(F.col("base"), F.coalesce(F.col("added_"), F.array().cast(f"array<{SPAN}>"))))
-    return out.withColumn("spans", spans).drop("id_", "digest_", "added_", "hash_")
+    other_id, other_digest, other = fresh(docs, "id_"), fresh(docs, "digest_"), fresh(docs, "added_")
+    added = more.groupBy(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest)).agg(F.collect_list(span).alias(other))
+    added = materialize(added, "pii-added")
+    out = docs.drop(base_col, spans_col).withColumn(base_col, base_spans(text))
+    out = out.join(small(added), F.col(id_col).eqNullSafe(F.col(other_id)) & (digest == F.col(other_digest)), "left")
+    spans = F.array_sort(F.concat(F.col(base_col), F.coalesce(F.col(other), F.array().cast(f"array<{SPAN}>"))))
+    return out.withColumn(spans_col, spans).drop(other_id, other_digest, other)
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -180,8 +181,8 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """``found`` with every span of its text replaced by ``[KIND]``, overlapping spans by that of the first; without ``base`` and ``spans``."""
+def redact(found: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """``found`` with every span of its text replaced by ``[KIND]``, overlapping spans by that of the first."""
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -189,5 +190,5 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(head).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("base", "spans")
+    clean = F.aggregate(spans_col, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans_col) > 0, clean).otherwise(text))

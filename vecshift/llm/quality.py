@@ -191,8 +191,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
     return fit_rows(found, np.array([r["label"] for r in rows]), (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1, higher: label 1 likelier). Null texts count as empty."""
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality_score") -> DataFrame:
+    """``docs`` with the column ``out`` (0 to 1, higher: label 1 likelier). Null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS doubles, whatever the input
 
     @F.pandas_udf("double")
@@ -201,7 +201,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for t in texts:
             yield pd.Series(m.score([indicators(x) for x in t]), dtype="float64")
 
-    return docs.withColumn("quality_score", score(whole_text(text_col)))
+    return docs.withColumn(out, score(whole_text(text_col)))
 
 
 def not_held_out(remainder: int = 0, folds: int = 5, id_col: str = "doc_id") -> Column:
@@ -216,6 +216,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     Columns of ``docs`` by the names of the new ones are replaced.
     """
     model = fit_quality(docs, labels, allowed=not_held_out(), **fit)
-    scored = score_quality(docs, model).withColumnRenamed("quality_score", "score_")
     held = F.coalesce(~not_held_out(), F.lit(False))
-    return scored.drop("held_out", "score", "predicted").withColumns({"held_out": held, "score": F.col("score_"), "predicted": (F.col("score_") >= threshold).cast("int")}).drop("score_")
+    scored = score_quality(docs, model, out="score")
+    return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small, whole_text
+from .common import fresh, small, whole_text
 from .components import connected_components
 
 BITS = 64
@@ -205,15 +205,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_co
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the near-duplicates of a document of smaller id; of rows that repeat an id one stays.
 
-    Rows of a null id stay only where no row of their group has an id.
+    Null ids count as one id. If any of its rows is in a group with an id, none of them stays.
     """
-    found = materialize(near_duplicates(docs, **options).select(F.col("doc_id").alias("id_"), "component_id"), "simhash-found")
-    gone = materialize(found.filter("id_ != component_id").select("id_").distinct(), "simhash-gone")
-    again = materialize(found.filter("id_ = component_id").groupBy("id_").count().filter("count > 1").select("id_"), "simhash-again")
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("id_"), "left_anti")
+    mine = fresh(docs, "id_")
+    found = materialize(near_duplicates(docs, **options).select(F.col("doc_id").alias(mine), "component_id"), "simhash-found")
+    gone = materialize(found.filter(F.col(mine) != F.col("component_id")).select(mine).distinct(), "simhash-gone")
+    unnamed = found.filter(F.col(mine).isNull() & F.col("component_id").isNotNull()).limit(1).count()
+    again = found.filter(F.col(mine).eqNullSafe(F.col("component_id"))).groupBy(mine).count().filter("count > 1").select(mine)
+    again = materialize(again, "simhash-again")
+    kept = docs.join(small(gone), docs["doc_id"] == F.col(mine), "left_anti")
+    if unnamed:
+        kept = kept.filter("doc_id is not null")
     n_again = again.count()
     if not n_again:
         return kept
-    repeated = small(again, n_again)
-    single = kept.join(repeated, kept["doc_id"] == F.col("id_"), "left_anti")
-    return single.unionByName(kept.join(repeated, kept["doc_id"] == F.col("id_"), "left_semi").dropDuplicates(["doc_id"]))
+    repeated, same = small(again, n_again), docs["doc_id"].eqNullSafe(F.col(mine))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
