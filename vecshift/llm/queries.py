@@ -74,3 +74,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")

@@ -167,14 +167,11 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts count 0 of each. ``vocabulary`` is a path that every worker can read. Repeated rows
     get equal counts; other columns are not read. No shuffle: a batch's distinct pre-tokens share a trie.
     """
-    id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_chars bigint, n_pre_tokens bigint, n_tokens bigint")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = _vocabulary(vocabulary)
-        for b in batches:
-            found = _batch_counts(list(b["text"]), v)
-            yield pd.DataFrame({"doc_id": b["doc_id"].values, "n_chars": b["text"].str.len().values.astype("int64"),
-                                "n_pre_tokens": [n for n, _ in found], "n_tokens": [k for _, k in found]})
+        for t in texts:
+            found = _batch_counts(list(t), v)
+            yield pd.DataFrame({"n_chars": [len(x) for x in t], "n_pre_tokens": [n for n, _ in found], "n_tokens": [k for _, k in found]}, dtype="int64")
 
-    text = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return text.mapInPandas(count, f"doc_id {id_type}, n_chars bigint, n_pre_tokens bigint, n_tokens bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), count(whole_text(text_col)).alias("c")).select("doc_id", "c.*")
