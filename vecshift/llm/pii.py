@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base entities (e-mail, IP address, payment card, telephone) come from their own forms. They are the seeds:
-the words around each occurrence and the shape of the token make lexical patterns ("card number is <16
+the words around each occurrence and the shape of the token (an at sign, or how many digits) make lexical patterns ("card number is <12-19
 digits>"), and all other tokens that look like identifiers are instances of the patterns around them. Spark
 scores the graph of patterns and instances in rounds: a pattern is worth the share of its distinct instances
 that are known, an instance the joint odds of its good patterns. What good patterns then hold is found as
@@ -114,8 +114,9 @@ def occurrences(rows: DataFrame) -> DataFrame:
                          _words_of(F.col("m.before"), True).alias("left"), _words_of(F.col("m.after"), False).alias("right"))
     found = found.filter(F.length("instance") > 0).withColumn("end", F.col("start") + F.length("instance"))
     cover = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    shape = F.regexp_replace(F.regexp_replace("instance", r"[\p{L}]+", "a"), "[0-9]+", "9")
-    shape = F.concat_ws("/", F.substring(shape, 1, 24), F.length(_digits(F.col("instance"))).cast("string"))
+    n = F.length(_digits(F.col("instance")))
+    size = F.when(n < 5, "1-4").when(n < 9, "5-8").when(n < 12, "9-11").when(n < 20, "12-19").otherwise("20+")
+    shape = F.when(F.col("instance").contains("@"), "@").otherwise(F.concat(F.when(F.col("instance").rlike(r"\p{L}"), "a").otherwise(""), size))
     near = F.concat_ws(" ", F.slice("left", F.greatest(F.size("left") - 1, F.lit(1)), F.lit(2)))
     one = F.coalesce(F.element_at(F.when(F.size("left") > 0, F.col("left")), -1), F.lit(""))
     after = F.coalesce(F.get("right", F.lit(0)), F.lit(""))
