@@ -42,7 +42,7 @@ def test_dedup_hot_key(spark):
 def test_head_rows_and_columns(spark):
     df = spark.range(10).withColumnRenamed("id", "row_id")
     assert head_rows(df, 3).count() == 3 and head_rows(df, None).count() == 10
-    with pytest.raises(ValueError, match="Column 'text' not in"):
+    with pytest.raises(ValueError, match="lacks the column 'text'"):
         require_columns(df, ["text"])
 
 

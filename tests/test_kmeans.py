@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecshift.operators import kmeans as K
-from vecshift.operators.cluster import kmeans_best
+from vecshift.operators import cluster
+from vecshift.operators.cluster import assign_nearest, kmeans_best, kmeans_v_measure
 from vecshift.operators.metrics import v_measure
 
 CENTRES = np.array([[0.0, 0.0, 0.0], [10.0, 0.0, 0.0], [0.0, 10.0, 0.0]])
@@ -13,60 +13,32 @@ CENTRES = np.array([[0.0, 0.0, 0.0], [10.0, 0.0, 0.0], [0.0, 10.0, 0.0]])
 def blobs(spark):
     """Three tight, well-separated groups of 40 points; the optimum is the group means."""
     rng = np.random.default_rng(7)
-    rows, pts, labels = [], [], []
-    for i in range(120):
-        g = i % 3
-        p = CENTRES[g] + rng.normal(scale=0.3, size=3)
-        rows.append((i, g, [float(x) for x in p]))
-        pts.append(p)
-        labels.append(g)
-    pts, labels = np.array(pts), np.array(labels)
+    labels = np.arange(120) % 3
+    pts = CENTRES[labels] + rng.normal(scale=0.3, size=(120, 3))
     best = sum(((pts[labels == g] - pts[labels == g].mean(axis=0)) ** 2).sum() for g in range(3))
+    rows = [(i, int(g), [float(x) for x in p]) for i, (g, p) in enumerate(zip(labels, pts))]
     return spark.createDataFrame(rows, "id LONG, label LONG, embedding ARRAY<DOUBLE>"), float(best)
 
 
-def _fit(df, parts=None):
-    data = df if parts is None else df.repartition(parts)
-    centres, info = K.fused_kmeans(data.select("embedding"), 3, "embedding", seed=42, n_init=10)
-    return np.array(sorted(map(tuple, np.round(centres, 8)))), info
-
-
-def test_fused_kmeans_finds_the_optimum(spark, blobs):
-    df, best_cost = blobs
-    _, info = _fit(df)
-    assert info["cost"] == pytest.approx(best_cost, rel=1e-9)
-    preds, _ = kmeans_best(df.select("label", "embedding"), 3)
-    assert v_measure(preds, "label", "cluster").first()["v_measure"] == pytest.approx(1.0)
-
-
-def test_fused_kmeans_independent_of_partitioning(spark, blobs):
+def test_best_fit_is_the_optimum_however_rows_are_dealt(spark, blobs):
     df, best_cost = blobs
-    one, _ = _fit(df, 1)
-    four, info = _fit(df, 4)
-    assert np.allclose(one, four)
-    assert info["cost"] == pytest.approx(best_cost, rel=1e-9)
+    for parts in (1, 4, 16):
+        preds, info = kmeans_best(df.repartition(parts).select("label", "embedding"), 3, n_init=4)
+        assert info["cost"] == pytest.approx(best_cost, rel=1e-6)
+        assert v_measure(preds, "label", "cluster").first()["v_measure"] == pytest.approx(1.0)
 
 
-def test_broadcast_and_aggregate_paths_agree(spark, blobs, monkeypatch):
+def test_class_limit_and_single_class(spark, blobs, monkeypatch):
     df, _ = blobs
-    direct, info = _fit(df, 4)
-    monkeypatch.setattr(K, "CLOSURE_BYTES", 0)          # centres shipped as broadcasts
-    monkeypatch.setattr(K, "DIRECT_COLLECT_BYTES", 0)   # partials summed by the JVM aggregate
-    other, info2 = _fit(df, 4)
-    assert np.allclose(direct, other)
-    assert info["cost"] == pytest.approx(info2["cost"], rel=1e-12)
-
-
-def test_too_few_rows_raises(spark):
-    df = spark.createDataFrame([([0.0, 1.0],), ([1.0, 0.0],)], "embedding ARRAY<DOUBLE>")
+    assert kmeans_v_measure(df.withColumn("label", F.lit(1))) is None
+    monkeypatch.setattr(cluster, "MAX_CLASSES", 2)
     with pytest.raises(ValueError):
-        K.fused_kmeans(df, 3)
+        kmeans_v_measure(df)
 
 
-def test_mllib_engine_agrees_on_separated_groups(spark, blobs):
-    df, best_cost = blobs
-    preds, info = kmeans_best(df.select("label", "embedding"), 3, engine="mllib", n_init=3)
-    assert info["cost"] == pytest.approx(best_cost, rel=1e-6)
-    assert v_measure(preds, "label", "cluster").first()["v_measure"] == pytest.approx(1.0)
-    info["input"].unpersist()
-    assert preds.select(F.countDistinct("cluster")).first()[0] == 3
+@pytest.mark.parametrize("k", [3, 256, 257, 600])
+def test_nearest_is_the_first_of_equals_at_any_number_of_centres(spark, blobs, k):
+    df, _ = blobs
+    centres = np.concatenate([CENTRES, CENTRES[2:], np.full((max(k - 4, 0), 3), 1e6)])[:k]
+    got = assign_nearest(df, centres).select("label", "cluster").distinct().collect()
+    assert {(r.label, r.cluster) for r in got} == {(0, 0), (1, 1), (2, 2)}

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecshift.functions.text import null_if_token
-from vecshift.plans.infer import infer_cache_hit
-from vecshift.plans.preprocess import cache_hit
 from vecshift.session import local_path, scratch_path
-from vecshift.sources.corpus import (choose_splits, read_corpus_csv, read_corpus_jsonl, write_corpus_csv,
-                                     write_corpus_jsonl)
-from vecshift.sources.metadata import INFERENCE_SCHEMA, inference_metadata, read_metadata, write_metadata
+from vecshift.sources.corpus import (choose_splits, load_split_files, read_corpus_csv, read_corpus_jsonl,
+                                     write_corpus_csv, write_corpus_jsonl)
+from vecshift.plans.preprocess import ingest_corpus
+from vecshift.sources.metadata import (INFERENCE_SCHEMA, content_fingerprint, inference_metadata, is_cached,
+                                       read_metadata, write_metadata)
 from vecshift.sources.vectors import (load_vector_folder, read_npy_embeddings, synthetic_pairs,
                                       write_npy_shards)
 
@@ -85,16 +85,46 @@ def test_metadata_cache_rules(spark, tmp_path):
     good = str(tmp_path / "good")
     write_metadata(inference_metadata(spark, meta), good)
     stored = read_metadata(spark, good, INFERENCE_SCHEMA)
-    assert infer_cache_hit(stored, "h", 3, "I", "ck", "text", "m")
-    assert not infer_cache_hit(stored, "changed", 3, "I", "ck", "text", "m")
-    assert not infer_cache_hit(stored, "h", 3, "other", "ck", "text", "m")
     assert read_metadata(spark, str(tmp_path / "missing"), INFERENCE_SCHEMA) is None
     broken = tmp_path / "broken"
     broken.mkdir()
     (broken / "part-0.json").write_text("{not json")
     assert read_metadata(spark, str(broken), INFERENCE_SCHEMA) is None
-    assert not cache_hit(None, "I", 3)
-    assert cache_hit({"instruction": "I", "num_samples": 3}, "I", 3, strict=False)
+    outputs = [str(tmp_path / "good")]
+    keyed = str(tmp_path / "keyed")
+    write_metadata(inference_metadata(spark, meta | {"cache_key": "k"}), keyed)
+    assert is_cached(spark, "k", keyed, INFERENCE_SCHEMA, outputs) and is_cached(spark, "k", f"file://{keyed}", INFERENCE_SCHEMA, [f"file://{outputs[0]}"])
+    assert not is_cached(spark, "other", keyed, INFERENCE_SCHEMA, outputs) and not is_cached(spark, "k", good, INFERENCE_SCHEMA, outputs)
+    assert not is_cached(spark, "k", keyed, INFERENCE_SCHEMA, [*outputs, str(tmp_path / "missing")])
+
+
+def test_content_fingerprint_sees_order_values_and_pairs(spark):
+    def of(*rows):
+        return content_fingerprint(spark.createDataFrame(list(rows), "row_id LONG, text STRING"), ["row_id", "text"]).first()["content_hash"]
+    base = of((0, "a"), (1, "b"), (2, None))
+    assert base == of((2, None), (0, "a"), (1, "b"))
+    assert len({base, of((0, "b"), (1, "a"), (2, None)), of((0, "a"), (1, "b"), (2, "")), of((0, "a"), (1, "b")), of((0, "a"), (1, "b"), (2, None), (2, None))}) == 5
+    alike = [content_fingerprint(spark.createDataFrame([(t,) for t in x], "text STRING"), ["text"]).first()["content_hash"] for x in (("a", "a", "x"), ("b", "b", "x"))]
+    assert alike[0] != alike[1]
+
+
+def test_forty_splits_keep_their_order_and_file_paths(spark, tmp_path):
+    paths = {}
+    for i in range(40):
+        folder = tmp_path / f"s{i:02d}"
+        folder.mkdir()
+        (folder / "b.csv").write_text(f"text,n\n\"second, of\n{i}\",{i}\n")
+        (folder / "a.csv").write_text(f"text,n\nfirst {i},{i}\n")
+        paths[f"s{i:02d}"] = f"file:{folder}" if i % 2 else str(folder)
+    wanted = [f"s{i:02d}" for i in reversed(range(40))]
+    got = load_split_files(spark, paths | {"none": "file:/no/such"}, wanted + ["none"]).orderBy("_order").collect()
+    assert [(r.split, r.text.split()[0]) for r in got] == [(n, w) for n in wanted for w in ("first", "second,")]
+    out = ingest_corpus(spark, paths, wanted, str(tmp_path / "all.csv"))
+    back = read_corpus_csv(spark, out)
+    assert [c for c in back.columns if not c.startswith("_")] == ["text", "n"]
+    assert [r.n for r in back.orderBy("_order").collect()] == [str(39 - i // 2) for i in range(80)]
+    with pytest.raises(FileNotFoundError):
+        load_split_files(spark, {"x": str(tmp_path / "none")}, ["x"])
 
 
 def test_synthetic_pairs_partition_independent(spark):

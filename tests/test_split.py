@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vecshift.operators.split import assign_split, split_bounds, split_plan, split_sizes
+from vecshift.operators.split import assign_split, cut_ranks, split_ranges, split_sizes
 
 
 @pytest.mark.parametrize("n,expected", [
@@ -9,18 +9,18 @@ from vecshift.operators.split import assign_split, split_bounds, split_plan, spl
     (87, (60, 18, 9)), (927, (648, 186, 93)), (2000, (1400, 400, 200)),
 ])
 def test_split_sizes(n, expected):
-    s = split_sizes(split_plan(n))
+    s = split_sizes(split_ranges(n))
     assert (s["train"], s["val"], s["test"]) == expected
 
 
 def test_ratio_fallbacks():
-    assert split_bounds(10, 0, 0, 0) == split_bounds(10, 0.8, 0.1, 0.1)
+    assert cut_ranks(10, 0, 0, 0) == cut_ranks(10, 0.8, 0.1, 0.1)
     # missing keys: train 0.2, val 0.1, test = rest
-    assert split_bounds(10, None, None, None) == (2, 3)
+    assert cut_ranks(10, None, None, None) == (2, 3)
 
 
 def test_all_train_ratio_moves_single_rows():
-    plan = split_plan(100, 1.0, 0.0, 0.0)
+    plan = split_ranges(100, 1.0, 0.0, 0.0)
     assert split_sizes(plan) == {"train": 98, "val": 1, "test": 1}
 
 

@@ -14,21 +14,19 @@ def require_columns(df: DataFrame, columns: list[str], source: str = "input") ->
     """Raise ``ValueError`` naming the first missing column and the source."""
     for c in columns:
         if c not in df.columns:
-            raise ValueError(f"Column '{c}' not in {source}")
+            raise ValueError(f"{source} lacks the column '{c}'; it has {', '.join(df.columns)}")
 
 
 def dedup_first(df: DataFrame, key: str = "text", order_col: str = "row_id") -> DataFrame:
-    """Keep the first row (smallest ``order_col``) of every distinct ``key`` (A1).
+    """Keep the first row (smallest ``order_col``, unique) of every distinct ``key`` (A1).
 
-    One shuffle: ``min(struct(order_col, …))`` per key is combined map-side,
-    so a key repeated in a third of all rows still leaves each map task as a
-    single row. Exact: grouping is on the key itself, not on a digest.
+    The first places come from a hash aggregate on 32-byte digests of the key (SHA-256), combined map-side, so a key
+    that a third of all rows share leaves each map task as one narrow row. The rows themselves then meet their
+    places in one semi-join on the order key: no text is sorted or compared. Null keys are one key.
     """
-    others = [c for c in df.columns if c not in (key, order_col)]
-    first = F.min(F.struct(order_col, *others)).alias("_first")
-    return (df.groupBy(key).agg(first)
-            .select(*[F.col(f"_first.{c}").alias(c) for c in [order_col] + others], key)
-            .select(*df.columns))
+    digest = F.coalesce(F.unhex(F.sha2(F.col(key).cast("binary"), 256)), F.lit(b""))
+    firsts = df.groupBy(digest.alias("_digest")).agg(F.min(order_col).alias(order_col)).select(order_col)
+    return df.join(firsts, order_col, "left_semi").select(*df.columns)
 
 
 def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None = "target",
@@ -45,7 +43,9 @@ def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None =
     text = null_if_token(text_col) if pandas_nulls else F.col(text_col).cast("string")
     sel = [F.col(order_col).alias("_order"), text.alias("text")]
     if target_col:
-        sel.append(F.col(target_col).cast("string").alias("target"))
+        # the target goes through the same reader as the text
+        target = F.col(target_col).cast("string")
+        sel.append((null_if_token(target) if pandas_nulls else target).alias("target"))
     out = df.select(*sel)
     if dropna:
         out = out.where(F.col("text").isNotNull())
@@ -53,14 +53,13 @@ def clean_corpus(df: DataFrame, text_col: str = "text", target_col: str | None =
     bounds = key_boundaries(src, "_order", rows_per_bucket)
     if deduplicate:
         out = dedup_first(out, "text", "_order")
-        if bounds:
-            # several rank buckets read it twice (per-bucket counts, then the
-            # numbering): written once instead of repeating the shuffle
-            out = materialize(out, "dedup")
+    # read twice (the ranks of the narrow order keys, then the rows): written once
+    out = materialize(out, "clean")
     if not dropna:
         # a kept missing text is written out as the string 'nan'
         out = out.withColumn("text", F.coalesce(F.col("text"), F.lit("nan")))
-    ranked = key_rank(out, "_order", rank_col=row_id_col, boundaries=bounds)
+    ids = key_rank(out.select("_order"), "_order", rank_col="_row", boundaries=bounds)
+    ranked = out.join(ids, "_order").withColumnRenamed("_row", row_id_col)
     keep = [row_id_col] + ([] if order_col == row_id_col else [F.col("_order").alias(order_col)])
     return ranked.select(*keep, "text", *(["target"] if target_col else []))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 MAX_CENTERS_BYTES = 256 * 1024 * 1024
 
 
@@ -27,14 +27,12 @@ def group_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -
 
 def collect_centers(centroids: DataFrame, id_col: str, max_centers: int = 100_000) -> tuple[list, np.ndarray]:
     """Bring a centre table to the driver after checking its size (k × d doubles)."""
-    k = centroids.count()
-    if k > max_centers:
-        raise ValueError(f"{k} centres exceed the limit of {max_centers}")
+    k, d = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    if k > max_centers or k * (d or 0) * 8 > MAX_CENTERS_BYTES:
+        raise ValueError(f"{k} centres of {d} numbers exceed the limits of {max_centers} and {MAX_CENTERS_BYTES} bytes")
     rows = centroids.orderBy(id_col).collect()
     ids = [r[id_col] for r in rows]
     centers = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    if centers.nbytes > MAX_CENTERS_BYTES:
-        raise ValueError("centre table too large to broadcast")
     return ids, centers
 
 
@@ -47,72 +45,51 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
     """
     spark = df.sparkSession
     centers = np.asarray(centers, dtype=np.float64)
-    bc = spark.sparkContext.broadcast((centers, (centers * centers).sum(axis=1),
-                                       None if ids is None else np.asarray(ids)))
+    bc = spark.sparkContext.broadcast((centers, None if ids is None else np.asarray(ids)))
 
     @F.pandas_udf(T.LongType())
     def _nearest(vectors: pd.Series) -> pd.Series:
-        c, c2, lookup = bc.value
+        c, lookup = bc.value
         if len(vectors) == 0:
             return pd.Series([], dtype="int64")
         x = np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
-        if c.shape[0] <= 256:
-            # exact differences, one centre at a time (batch × d memory), so ties resolve exactly
-            d = np.empty((x.shape[0], c.shape[0]))
-            for j in range(c.shape[0]):
-                diff = x - c[j]
-                d[:, j] = np.einsum("ij,ij->i", diff, diff)
-        else:
-            d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + c2[None, :]
-        idx = np.argmin(d, axis=1)
+        least, idx = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+        # exact differences, one centre at a time (batch × d memory whatever the number of centres): ties resolve exactly
+        for j in range(len(c)):
+            diff = x - c[j]
+            dist = np.einsum("ij,ij->i", diff, diff)
+            closer = dist < least
+            least[closer], idx[closer] = dist[closer], j
         return pd.Series(idx if lookup is None else lookup[idx]).astype("int64")
 
     return df.withColumn(out, _nearest.asNondeterministic()(F.col(vec_col)))
 
 
+#: Most classes that k-means takes as its k: centres (k × d) live on the driver and in every task.
+MAX_CLASSES = 10_000
+
+
 def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
-                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster", engine: str = "fused",
-                parallel: int | None = None, bytes_per_partition: int = 64 * 1024 * 1024) -> tuple[DataFrame, dict]:
-    """k-means fitted ``n_init`` times; lowest cost kept (M5).
-
-    ``engine="fused"`` (default) runs all restarts in the same passes over the
-    data (:mod:`vecshift.operators.kmeans`) and assigns with broadcast centres.
-    ``engine="mllib"`` fits MLlib ``KMeans`` once per seed
-    (``seed..seed+n_init-1``), as described below.
-
-    The input is persisted once for all restarts and read through as many
-    partitions as its size needs (each k-means iteration is a job, so tiny
-    inputs should not pay for idle tasks; large ones keep full parallelism).
-    The restarts are independent jobs submitted together. Returns the
-    assignments and ``{"k", "cost", "seed", "input"}`` of the kept fit
-    (``input`` is the persisted feature table; unpersist it when done).
+                max_iter: int = 300, tol: float = 1e-4, out: str = "cluster") -> tuple[DataFrame, dict]:
+    """Spark ML k-means from ``n_init`` seeds (``seed``, ``seed + 1``, ...); the lowest cost is kept (M5).
+
+    The vectors are written once and cached for all fits, which run as concurrent jobs. Returns the assignments and
+    ``{"k", "cost", "seed"}`` of the kept fit. ``k`` is checked against ``MAX_CLASSES`` first.
     """
-    if engine == "fused":
-        from .kmeans import fused_kmeans
-        centers, info = fused_kmeans(df, k, vec_col, seed, n_init, max_iter, tol, bytes_per_partition)
-        info.update(seed=seed, input=None)
-        return assign_nearest(df, centers, vec_col, out), info
-    if engine != "mllib":
-        raise ValueError(f"Unsupported k-means engine: {engine}")
-    data = df.withColumn("_features", array_to_vector(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 1)
-    parts = max(1, math.ceil(n * d * 8 / bytes_per_partition))
-    fit_data = data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data
-    workers = parallel or n_init
+    if k > MAX_CLASSES:
+        raise ValueError(f"k = {k} is over {MAX_CLASSES}: are the labels missing, so that every row is its own class?")
+    data = materialize(df.withColumn("_features", array_to_vector(vec_col)), "kmeans-input").persist()
 
     def fit(i):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_features",
-                    predictionCol=out)
-        model = km.fit(fit_data)
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_features", predictionCol=out).fit(data)
         return model.summary.trainingCost, seed + i, model
 
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, workers))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, n_init)) as pool:
         fits = list(pool.map(fit, range(n_init)))
     cost, used, model = min(fits, key=lambda f: (f[0], f[1]))
-    # assignments stay lazy over the persisted input (a lost cache block is recomputed)
+    data.unpersist()
     preds = model.transform(data).drop("_features").withColumn(out, F.col(out).cast("long"))
-    return preds, {"k": k, "cost": float(cost), "seed": used, "input": data}
+    return preds, {"k": k, "cost": float(cost), "seed": used}
 
 
 def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
@@ -123,8 +100,5 @@ def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "em
     k, n = int(stats["k"]), int(stats["n"])
     if k <= 1 or n < k:
         return None
-    preds, info = kmeans_best(df.select(label_col, vec_col), k, vec_col, seed, n_init)
-    v = float(v_measure(preds, label_col, "cluster").first()["v_measure"])
-    if info.get("input") is not None:
-        info["input"].unpersist()
-    return v
+    preds, _ = kmeans_best(df.select(label_col, vec_col), k, vec_col, seed, n_init)
+    return float(v_measure(preds, label_col, "cluster").first()["v_measure"])

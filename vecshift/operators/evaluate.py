@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .cluster import kmeans_v_measure
 from .project import AdapterModel
 from .vectors import mse_loss
@@ -36,28 +36,21 @@ def evaluate_adapter(df: DataFrame, model: AdapterModel, stage: str, seed: int =
     overlap. None computes it here, next to the adapter's fit.
     The V-measures are skipped (absent) with ≤ 1 class or fewer rows than classes.
     """
-    projected = model.transform(df.select(label_col, base_col, teacher_col), base_col, "adapted") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        loss = mse_loss(projected, "adapted", teacher_col).first()["mse"]
-        out = {f"{stage}_loss": loss}
-        k, n = class_count(projected, label_col)
-        if k > 1 and n >= k:
-            pred_in = projected.select(label_col, F.col("adapted").alias("embedding"))
-            with ThreadPoolExecutor(max_workers=2) as pool:
-                # the two sets of restarts are independent jobs: run them side by side
-                pred = pool.submit(kmeans_v_measure, pred_in, label_col, "embedding", seed, n_init)
-                teach = None if teacher_v is not None else pool.submit(
-                    teacher_v_measure, projected, seed, n_init, label_col, teacher_col)
-                out[f"{stage}_v_measure_pred"] = pred.result()
-                if teach is not None:
-                    out[f"{stage}_v_measure_teacher"] = teach.result()
-                else:
-                    out[f"{stage}_v_measure_teacher"] = (teacher_v.result() if hasattr(teacher_v, "result")
-                                                         else teacher_v)
-        return out
-    finally:
-        projected.unpersist()
+    # written once: the loss, the class count and every k-means fit read it back
+    projected = materialize(model.transform(df.select(label_col, base_col, teacher_col), base_col, "adapted"), "evaluate")
+    out = {f"{stage}_loss": mse_loss(projected, "adapted", teacher_col).first()["mse"]}
+    k, n = class_count(projected, label_col)
+    if k > 1 and n >= k:
+        pred_in = projected.select(label_col, F.col("adapted").alias("embedding"))
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            # the two sets of restarts are independent jobs: run them side by side
+            pred = pool.submit(kmeans_v_measure, pred_in, label_col, "embedding", seed, n_init)
+            teach = None if teacher_v is not None else pool.submit(
+                teacher_v_measure, projected, seed, n_init, label_col, teacher_col)
+            out[f"{stage}_v_measure_pred"] = pred.result()
+            known = teacher_v if teach is None else teach
+            out[f"{stage}_v_measure_teacher"] = known.result() if hasattr(known, "result") else known
+    return out
 
 
 def quality_gap_value(teacher_v: float | None, pred_v: float | None) -> float | None:

@@ -144,7 +144,7 @@ class _Optimizer:
     def __init__(self, name: str, lr: float = 1e-3, **kw):
         self.name = name.lower()
         if self.name not in ("adam", "adamw", "sgd"):
-            raise ValueError(f"Unsupported optimizer: {name}")
+            raise ValueError(f"no optimizer is called {name}")
         self.lr = float(lr)
         self.kw = kw
         self.t = 0
@@ -187,7 +187,7 @@ def scheduled_lr(base_lr: float, epoch: int, scheduler: dict | None) -> float:
         return eta_min + (base_lr - eta_min) * (1 + math.cos(math.pi * epoch / t_max)) / 2
     if name == "step":
         return base_lr * float(cfg.get("gamma", 0.1)) ** (epoch // int(cfg["step_size"]))
-    raise ValueError(f"Unsupported scheduler: {name}")
+    raise ValueError(f"no schedule is called {name}")
 
 
 def init_theta(d_in: int, d_out: int, bias: bool, seed: int) -> np.ndarray:
@@ -239,6 +239,6 @@ def fit_adapter(df: DataFrame, x_col: str = "base", y_col: str = "teacher", bias
         for _, theta, _, _ in gd_epochs(stats, epochs, batch_size, optimizer, scheduler, seed, l2, dropout):
             pass
     else:
-        raise ValueError(f"Unsupported solver: {solver}")
+        raise ValueError(f"solver must be normal or gd, not {solver}")
     model = theta_to_model(theta, bias, {"solver": solver, "l2": l2, "dropout": dropout})
     return model, stats

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import key_rank
 
+#: Code tables of up to this many rows are broadcast; rows meet larger ones over this many tasks a target.
+BROADCAST_CODES, SALTS = 200_000, 16
+
 
 def factor_codes(df: DataFrame, target_col: str = "target", order_col: str = "row_id") -> DataFrame:
     """``(label, value)``: dense codes of the non-null targets by first appearance (A2).
@@ -24,19 +32,23 @@ def encode_labels(df: DataFrame, codes: DataFrame, target_col: str = "target",
                   out: str = "label") -> DataFrame:
     """Attach the code of each row's target; a null target gets −1.
 
-    A plain left join: AQE turns it into a broadcast join once it has measured
-    the code table, and keeps a shuffle join if the table is large.
+    A code table that was counted as small is broadcast, so rows stay where they are. A larger one meets rows that
+    are dealt by target and salt: a target that a third of all rows have is spread over ``SALTS`` tasks.
     """
     c = codes.select(F.col("value").alias("_value"), F.col("label").alias("_code"))
-    return (df.join(c, df[target_col] == c["_value"], "left")
-            .withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("long"))
-            .drop("_value", "_code"))
+    if codes.count() <= BROADCAST_CODES:
+        joined = df.join(F.broadcast(c), df[target_col] == c["_value"], "left")
+    else:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        each = c.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(each, (F.col(target_col) == F.col("_value")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
+    return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_value", "_code")
 
 
 def factorize(df: DataFrame, target_col: str = "target", order_col: str = "row_id",
               out: str = "label") -> tuple[DataFrame, DataFrame]:
     """``(df with label, codes)`` — ``pd.factorize`` semantics on a row-ordered table."""
-    codes = factor_codes(df, target_col, order_col)
+    codes = materialize(factor_codes(df, target_col, order_col), "codes")
     return encode_labels(df, codes, target_col, out), codes
 
 
@@ -66,6 +78,19 @@ def label_mapping_json(codes: DataFrame, max_entries: int = MAX_MAPPING_ENTRIES)
     return codes.agg(F.to_json(F.map_from_entries(as_str)).alias("mapping"))
 
 
+def _npy_labels(spark, path: str, id_col: str) -> DataFrame:
+    """A one-dimensional ``.npy`` array as ``(row_id, label)`` by position; one small number a row, decoded by one task."""
+    def decode(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                arr = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.int64).ravel()
+                for at in range(0, len(arr), 1 << 20):
+                    part = arr[at:at + (1 << 20)]
+                    yield pd.DataFrame({id_col: np.arange(at, at + len(part)), "label": part})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, f"{id_col} LONG, label LONG")
+
+
 def load_labels(spark, path: str | None, rows: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Stored ``(row_id, label)`` or, when absent, each row its own class.
 
@@ -73,11 +98,14 @@ def load_labels(spark, path: str | None, rows: DataFrame, id_col: str = "row_id"
     """
     if path is None:
         return rows.select(id_col, F.col(id_col).cast("long").alias("label"))
-    labels = spark.read.parquet(path).select(id_col, F.col("label").cast("long"))
+    if path.endswith(".npy"):
+        labels = _npy_labels(spark, path, id_col)
+    else:
+        labels = spark.read.parquet(path).select(id_col, F.col("label").cast("long"))
     check = (rows.select(id_col).withColumn("_r", F.lit(1))
              .join(labels.select(id_col).withColumn("_l", F.lit(1)), id_col, "full_outer")
              .agg(F.sum(F.when(F.col("_r").isNull() | F.col("_l").isNull(), 1).otherwise(0)).alias("bad"))
              .first())
     if check["bad"]:
-        raise ValueError("Labels count does not match embedding rows")
+        raise ValueError(f"{check['bad']} ids have either a label or a vector, but not both")
     return labels

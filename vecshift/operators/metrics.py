@@ -76,7 +76,7 @@ def best_by(df: DataFrame, value_col: str, order_col: str, mode: str = "max",
     """
     mode = mode.lower()
     if mode not in ("max", "min"):
-        raise ValueError(f"Unsupported mode: {mode}")
+        raise ValueError(f"mode must be min or max, not {mode}")
     g = list(group_cols or [])
     v = F.col(value_col)
     base = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))

@@ -4,8 +4,8 @@
 task. Instead each row gets a *bucket* that is monotone in the order (leading
 hex digits of a hash, or the quantile range of a key), rows are numbered
 inside their bucket, and a running sum over the per-bucket counts gives each
-bucket's offset. The count table has one row per bucket and the number of
-buckets is bounded by construction, so broadcasting it is safe.
+bucket's offset. The count table has one row per bucket (not per row) and is
+broadcast up to a fixed number of buckets.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ ROWS_PER_BUCKET = 250_000  # rows one window task sorts (full rows)
 
 
 def global_rank(df: DataFrame, order_cols: list, bucket_cols: list[str],
-                rank_col: str = "rank") -> DataFrame:
+                rank_col: str = "rank", n_buckets: int | None = None) -> DataFrame:
     """0-based dense position by ``order_cols``.
 
-    ``bucket_cols`` must be non-decreasing in the order and have at most
-    ``MAX_BUCKETS`` distinct values; ``order_cols`` must be unique per row.
+    ``bucket_cols`` must be non-decreasing in the order; ``order_cols`` must be
+    unique per row. Offsets of more than ``MAX_BUCKETS`` buckets are not broadcast.
     """
     counts = df.groupBy(*bucket_cols).agg(F.count(F.lit(1)).alias("_bucket_rows"))
     running = Window.orderBy(*bucket_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +33,9 @@ def global_rank(df: DataFrame, order_cols: list, bucket_cols: list[str],
         *bucket_cols,
         F.coalesce(F.sum("_bucket_rows").over(running), F.lit(0)).cast("long").alias("_bucket_offset"))
     within = Window.partitionBy(*bucket_cols).orderBy(*order_cols)
-    return (df.join(F.broadcast(offsets), bucket_cols)
+    if n_buckets is None or n_buckets <= MAX_BUCKETS:
+        offsets = F.broadcast(offsets)
+    return (df.join(offsets, bucket_cols)
             .withColumn(rank_col, (F.col("_bucket_offset") + F.row_number().over(within) - 1).cast("long"))
             .drop("_bucket_offset"))
 
@@ -50,33 +52,26 @@ def seeded_rank(df: DataFrame, id_col: str = "row_id", seed: int | str = 42,
 
     Order is ``(md5('<seed>:<id>'), id)``; ``shuffle=False`` ranks by the id.
     Hash buckets are uniform, so no bucket is hot even if ids are clustered.
-    With a known row count ``n``, at most ``ROWS_PER_BUCKET`` rows are numbered
-    in one window, and larger inputs get just enough leading hex digits for
-    about ``ROWS_PER_BUCKET`` rows per bucket (at most 4 digits, 65,536 buckets).
+    A known row count ``n`` gives just enough leading hex digits for about
+    ``ROWS_PER_BUCKET`` rows per bucket (one digit, 16 buckets, at least).
     """
     if not shuffle:
         return key_rank(df, id_col, rank_col=rank_col)
     keyed = df.withColumn("_order_h", hash_order_key(id_col, seed))
-    if n is not None and n <= ROWS_PER_BUCKET:
-        w = Window.partitionBy(F.lit(0)).orderBy("_order_h", id_col)
-        return keyed.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long")).drop("_order_h")
     if hex_digits is None:
-        hex_digits = 4 if n is None else max(1, min(4, math.ceil(math.log(n / ROWS_PER_BUCKET, 16))))
-    keyed = keyed.withColumn("_order_b", F.conv(F.substring("_order_h", 1, hex_digits), 16, 10).cast("int"))
-    return global_rank(keyed, ["_order_h", id_col], ["_order_b"], rank_col).drop("_order_h", "_order_b")
+        hex_digits = 4 if n is None else max(1, math.ceil(math.log(max(n, 1) / ROWS_PER_BUCKET, 16)))
+    keyed = keyed.withColumn("_order_b", F.conv(F.substring("_order_h", 1, hex_digits), 16, 10).cast("long"))
+    return global_rank(keyed, ["_order_h", id_col], ["_order_b"], rank_col, 16 ** hex_digits).drop("_order_h", "_order_b")
 
 
-def key_boundaries(source: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = 4096) -> list[float]:
+def key_boundaries(source: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Quantile boundaries of ``key`` so each bucket holds about ``rows_per_bucket`` rows.
 
-    Computed with Spark's distributed quantile sketch; only the boundaries
-    (at most ``max_buckets``) reach the driver.
+    Computed with Spark's distributed quantile sketch; only the boundaries reach the driver, at least three, so that
+    small inputs take the same way as large ones.
     """
     n = source.count()
-    buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if buckets == 1:
-        return []
+    buckets = max(4, math.ceil(n / rows_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
     qs = source.select(F.col(key).cast("double").alias(key)).approxQuantile(key, probs, 1.0 / (10 * buckets))
     return sorted(set(q for q in qs if q is not None and not math.isnan(q)))
@@ -105,13 +100,8 @@ def key_rank(df: DataFrame, key: str, rank_col: str = "row_id", prefix_cols: lis
     prefix_cols = list(prefix_cols or [])
     bounds = boundaries if boundaries is not None else key_boundaries(
         bucket_source if bucket_source is not None else df.select(key), key, rows_per_bucket)
-    if not bounds and not prefix_cols:
-        # one bucket (at most ``rows_per_bucket`` rows): its offset is 0, so the
-        # count table and its join are skipped; the bound on rows is the same
-        w = Window.partitionBy(F.lit(0)).orderBy(key)
-        return df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
     keyed = with_key_bucket(df, key, bounds)
-    ranked = global_rank(keyed, prefix_cols + [key], prefix_cols + ["_key_b"], rank_col)
+    ranked = global_rank(keyed, prefix_cols + [key], prefix_cols + ["_key_b"], rank_col, None if prefix_cols else len(bounds) + 1)
     return ranked.drop("_key_b")
 
 

@@ -6,8 +6,8 @@ once per executor as a broadcast variable; each Arrow batch is one BLAS matmul.
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import affine
+from ..session import path_exists
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 # the JVM form inlines every weight as a literal of the plan: small maps only
@@ -45,6 +46,11 @@ class AdapterModel:
     def nbytes(self) -> int:
         return self.weights.nbytes + (0 if self.bias is None else self.bias.nbytes)
 
+    def content_hash(self) -> str:
+        """MD5 of shape, weights and bias: another map under the same path is another hash."""
+        parts = [str(self.weights.shape).encode(), self.weights.tobytes()] + ([] if self.bias is None else [b"b", self.bias.tobytes()])
+        return hashlib.md5(b"".join(parts)).hexdigest()
+
     # -------------------------------------------------------------- projection
     def project_col(self, spark: SparkSession, col, as_float: bool = True) -> Column:
         """Arrow UDF column ``W·x + b`` (one matmul per batch)."""
@@ -82,7 +88,7 @@ class AdapterModel:
             return df.withColumn(output_col, self.project_col(spark, input_col))
         if mode == "jvm":
             return df.withColumn(output_col, self.project_jvm_col(input_col))
-        raise ValueError(f"Unsupported projection mode: {mode}")
+        raise ValueError(f"mode must be arrow or jvm, not {mode}")
 
     # -------------------------------------------------------------- storage
     def to_frame(self, spark: SparkSession) -> DataFrame:
@@ -102,9 +108,8 @@ class AdapterModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "AdapterModel":
-        local = path[5:] if path.startswith("file:") else path
-        if "://" not in path and not os.path.exists(local):
-            raise FileNotFoundError(f"Adapter checkpoint not found at {path}")
+        if not path_exists(spark, f"{path}/weights"):
+            raise FileNotFoundError(f"no adapter is stored at {path}")
         rows = spark.read.parquet(f"{path}/weights").orderBy("out_idx").collect()
         params = json.loads(spark.read.text(f"{path}/params").first()[0])
         w = np.array([r["weights"] for r in rows], dtype=np.float64)
@@ -112,19 +117,6 @@ class AdapterModel:
         return cls(w, b, params)
 
 
-def save_adapter(spark: SparkSession, model: AdapterModel, path: str) -> str:
-    return model.save(spark, path)
-
-
-def load_adapter(spark: SparkSession, path: str) -> AdapterModel:
-    return AdapterModel.load(spark, path)
-
-
-def project(df: DataFrame, model: AdapterModel, input_col: str = "embedding",
-            output_col: str = "adapted", mode: str = "arrow") -> DataFrame:
-    return model.transform(df, input_col, output_col, mode)
-
-
 def analytic_teacher_model(dim: int, bias_value: float = 0.25) -> AdapterModel:
     """Fixture map ``W[i,j] = sin(i·dim + j + 1)/8``, ``b = 0.25`` (FIXTURES.md §3)."""
     i = np.arange(dim, dtype=np.float64)[:, None]

@@ -63,9 +63,9 @@ def validate_alignment(base: DataFrame, teacher: DataFrame, labels: DataFrame |
     r = alignment_report(base, teacher, labels, id_col).first().asDict()
     if r["base_only"] or r["teacher_only"] or r["base_dim_min"] != r["base_dim_max"] \
             or r["teacher_dim_min"] != r["teacher_dim_max"] or r["base_dim_max"] != r["teacher_dim_max"]:
-        raise ValueError("Base and target embeddings must have identical shapes")
+        raise ValueError(f"base and target vectors do not pair up: {r}")
     if labels is not None and r["n_labels"] != r["n_base"]:
-        raise ValueError("Labels count does not match embedding rows")
+        raise ValueError(f"{r['n_labels']} labels for {r['n_base']} vectors")
     return r
 
 
@@ -75,11 +75,6 @@ def embedding_stats(df: DataFrame, col: str = "embedding") -> DataFrame:
                   F.min(F.size(col)).alias("dim_min"), F.max(F.size(col)).alias("dim_max"))
 
 
-def with_row_mse(df: DataFrame, pred: str = "adapted", target: str = "teacher",
-                 out: str = "row_mse") -> DataFrame:
-    return df.withColumn(out, row_mse(pred, target))
-
-
 def mse_loss(df: DataFrame, pred: str = "adapted", target: str = "teacher",
              group_cols: list[str] | None = None) -> DataFrame:
     """Mean squared element error (A5); equal dims so the mean of row means."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import NULL_TOKENS
 
+# fixed value: the instruction prompt
 PROMPT = "Instruct: Identify the topic of this news article. Query: "
 
 
@@ -25,7 +26,7 @@ def clean_cte(target: str = "lang", source: str = "documents", order: str = "doc
     return f"""
 {name}_raw AS (
   SELECT {order}, CASE WHEN text IN ({NULL_LIST}) THEN NULL ELSE text END AS text,
-         CAST({target} AS VARCHAR) AS target
+         CASE WHEN CAST({target} AS VARCHAR) IN ({NULL_LIST}) THEN NULL ELSE CAST({target} AS VARCHAR) END AS target
   FROM {source}
 ),
 {name}_first AS (

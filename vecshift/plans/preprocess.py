@@ -1,70 +1,72 @@
-"""Preprocess pipeline (C1-C3): read → clean → head N → write → cache check → encode twice → codes → metadata."""
+"""Preprocess pipeline (C1-C3): ingest → clean → head N → write → cache check → encode twice → codes → metadata."""
 
 from __future__ import annotations
 
-import os
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import resolve_instruction
 from ..operators.clean import clean_corpus, head_rows
 from ..operators.encode import Encoder, encode_text
 from ..operators.labels import encode_labels, factor_codes, label_mapping_json
-from ..sources.corpus import load_split_files, write_corpus_csv, write_corpus_jsonl
-from ..sources.metadata import (PREPROCESS_SCHEMA, content_fingerprint, preprocess_metadata, read_metadata,
+from ..session import materialize, remove_path
+from ..sources.corpus import load_split_files, read_corpus_csv, write_corpus_csv, write_corpus_jsonl
+from ..sources.metadata import (PREPROCESS_SCHEMA, cache_key, content_fingerprint, is_cached, preprocess_metadata,
                                 write_metadata)
 from ..sources.vectors import write_embeddings
-from ..session import local_path
+
+OUTPUTS = ("base", "instruct", "labels", "label_mapping")
 
 
 def ingest_corpus(spark: SparkSession, split_paths: dict[str, str], requested: list[str] | None,
                   out_path: str) -> str:
-    """Union the requested split files and write one CSV."""
+    """The requested splits one after the other as one CSV of their data columns."""
     df = load_split_files(spark, split_paths, requested)
-    df = df.drop("_file", "_pos")
-    return write_corpus_csv(df, out_path)
+    own = [c for c in df.columns if c not in ("_file", "_pos", "_order", "split", "split_ordinal")]
+    # one shuffle by input order: the part files follow it, whatever the sizes of the files read
+    return write_corpus_csv(df.orderBy("_order").select(*own), out_path)
+
 
+def corpus_state(spark: SparkSession, cleaned: DataFrame, emb_dir: str, encoder: Encoder,
+                 instruction: str | None) -> tuple[str, str, int, dict | None]:
+    """``(key, content hash, rows, stored record or None)``.
 
-def cache_hit(stored: dict | None, instruction: str | None, num_samples: int, content_hash: str | None = None,
-              model: str | None = None, strict: bool = True) -> bool:
-    """Same instruction and row count (C3); ``strict`` also requires the same content and encoder."""
-    if not stored:
-        return False
-    if stored.get("instruction") != instruction or stored.get("num_samples") != num_samples:
-        return False
-    if strict:
-        return stored.get("content_hash") == content_hash and stored.get("model") == model
-    return True
+    A hit means: the same ids, texts and targets in the same places, the same instruction and encoder, and every
+    output there in full.
+    """
+    fp = content_fingerprint(cleaned, ["row_id", "text", "target"]).first()
+    n, content = int(fp["num_samples"]), fp["content_hash"]
+    key = cache_key(content, rows=n, instruction=instruction, model=encoder.name)
+    stored = is_cached(spark, key, f"{emb_dir}/metadata", PREPROCESS_SCHEMA, [f"{emb_dir}/{o}" for o in OUTPUTS])
+    return key, content, n, stored
 
 
 def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, encoder: Encoder,
                       instruction: str | None, text_col: str = "text", target_col: str = "target",
-                      order_col: str = "row_id", max_samples: int | None = 2000, dataset: str = "",
-                      strict_cache: bool = True, bucket_source: DataFrame | None = None) -> dict:
-    """Clean, keep the first ``max_samples`` rows, write CSV/JSONL, then encode base and instruct vectors.
+                      order_col: str = "row_id", max_samples: int | None = None, dataset: str = "",
+                      bucket_source: DataFrame | None = None, default_instruction: str | None = None) -> dict:
+    """Clean, write CSV/JSONL, then encode base and instruct vectors of every row (of the first ``max_samples``, if given).
 
     ``corpus`` is any table with a text, a target and an order column (for a
-    CSV read with :func:`read_corpus_csv` use ``_pos`` within one file).
-    Returns paths, the metadata dict and whether the cache was hit.
+    CSV read with :func:`read_corpus_csv` that is ``_order``). ``instruction``
+    falls back to ``default_instruction``. Returns paths, the metadata dict and
+    whether the cache was hit.
     """
+    instruction = resolve_instruction(instruction, default_instruction)
     cleaned = clean_corpus(corpus, text_col, target_col, order_col=order_col, bucket_source=bucket_source)
-    cleaned = head_rows(cleaned, max_samples).select("row_id", "text", "target") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # written once in row order; the files, the key, both encodings and the codes read it back
+    cleaned = materialize(head_rows(cleaned, max_samples).select("row_id", "text", "target"), "preprocess-input", order="row_id")
     processed = f"{out_dir}/processed"
     emb_dir = f"{out_dir}/embeddings"
+    key, content, n, stored = corpus_state(spark, cleaned, emb_dir, encoder, instruction)
+    if stored:
+        remove_path(spark, cleaned.inputFiles()[0].rsplit("/", 1)[0]) if n else None
+        return {"cached": True, "embeddings": emb_dir, "metadata": stored}
     write_corpus_csv(cleaned.orderBy("row_id").select("text", "target"), f"{processed}/corpus_clean.csv")
     write_corpus_jsonl(cleaned.orderBy("row_id").select("text", "target"), f"{processed}/corpus_clean.jsonl")
 
-    fp = content_fingerprint(cleaned).first()
-    n, content_hash = int(fp["num_samples"]), format(int(fp["content_hash"] or 0), "015x")
-    stored = read_metadata(spark, f"{emb_dir}/metadata", PREPROCESS_SCHEMA)
-    vectors_exist = all(os.path.exists(local_path(f"{emb_dir}/{k}")) for k in ("base", "instruct"))
-    if vectors_exist and cache_hit(stored, instruction, n, content_hash, encoder.name, strict_cache):
-        cleaned.unpersist()
-        return {"cached": True, "embeddings": emb_dir, "metadata": stored}
-
     t0 = time.perf_counter()
     write_embeddings(encode_text(cleaned.select("row_id", "text"), encoder), emb_dir, "base")
     base_s = time.perf_counter() - t0
@@ -75,7 +77,7 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     # the code table is written once; labels and the JSON mapping read it back
     factor_codes(cleaned).write.mode("overwrite").parquet(f"{emb_dir}/label_mapping")
     codes = spark.read.parquet(f"{emb_dir}/label_mapping")
-    encode_labels(cleaned, codes).select("row_id", "label").write.mode("overwrite").parquet(f"{emb_dir}/labels")
+    encode_labels(cleaned.select("row_id", "target"), codes).select("row_id", "label").write.mode("overwrite").parquet(f"{emb_dir}/labels")
     label_mapping_json(codes).coalesce(1).write.mode("overwrite").text(f"{emb_dir}/label_mapping_json")
 
     dim = spark.read.parquet(f"{emb_dir}/base").agg(F.max(F.size("embedding"))).first()[0]
@@ -83,9 +85,15 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
         "dataset": dataset, "instruction": instruction, "model": encoder.name, "num_samples": n,
         "embedding_dim": dim, "base_prompt": None, "instruct_prompt": instruction,
         "base_encode_seconds": base_s, "instruct_encode_seconds": instruct_s,
-        "max_samples": max_samples if max_samples is not None else n, "content_hash": content_hash,
+        "max_samples": max_samples if max_samples is not None else n, "content_hash": content, "cache_key": key,
     }
     meta_df = preprocess_metadata(spark, meta)
     write_metadata(meta_df, f"{emb_dir}/metadata")
-    cleaned.unpersist()
     return {"cached": False, "embeddings": emb_dir, "metadata": meta_df.first().asDict()}
+
+
+def preprocess_splits(spark: SparkSession, split_paths: dict[str, str], requested: list[str] | None, out_dir: str,
+                      encoder: Encoder, instruction: str | None, **options) -> dict:
+    """Ingest split files into one CSV and preprocess it (C1 → C2)."""
+    path = ingest_corpus(spark, split_paths, requested, f"{out_dir}/raw/corpus.csv")
+    return preprocess_corpus(spark, read_corpus_csv(spark, path), out_dir, encoder, instruction, order_col="_order", **options)

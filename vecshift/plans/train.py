@@ -5,10 +5,10 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cluster import MAX_CLASSES
 from ..operators.evaluate import evaluate_adapter, measure_projection, quality_gap_value, teacher_v_measure
 from ..operators.fit import gd_epochs, gram_stats, solve_normal, theta_to_model
 from ..operators.labels import load_labels
@@ -16,9 +16,12 @@ from ..operators.metrics import best_epoch
 from ..operators.project import AdapterModel
 from ..operators.split import assign_split
 from ..operators.vectors import pair_embeddings, validate_alignment
-from ..sources.metadata import MetricLog
+from ..session import materialize, path_exists
+from ..sources.metadata import PREPROCESS_SCHEMA, MetricLog, read_metadata
+from ..sources.vectors import load_vector_folder
 
 
+# fixed values: metric names are those of the logged keys below ({split}_loss, {split}_v_measure_pred, ...)
 @dataclass
 class TrainConfig:
     solver: str = "normal"            # "normal" (exact optimum) or "gd" (optimizer steps)
@@ -54,15 +57,18 @@ def train_pipeline(spark: SparkSession, base: DataFrame, teacher: DataFrame, lab
     """Fit the adapter on ``(row_id, embedding)`` base/teacher tables (+ ``(row_id, label)``)."""
     cfg = config or TrainConfig()
     if cfg.solver not in ("normal", "gd"):
-        raise ValueError(f"Unsupported solver: {cfg.solver}")
-    if validate:
-        validate_alignment(base, teacher, labels)
+        raise ValueError(f"solver must be normal or gd, not {cfg.solver}")
+    n = base.count()
     if labels is None:
+        if n > MAX_CLASSES:
+            raise ValueError(f"no labels: each of the {n} rows would be its own class, and scores take at most {MAX_CLASSES}")
         labels = load_labels(spark, None, base)
-    pairs = pair_embeddings(base, teacher, labels)
-    splits = assign_split(pairs.select("row_id"), "row_id", cfg.train_ratio, cfg.val_ratio, cfg.test_ratio,
-                          cfg.seed, cfg.shuffle)
-    data = pairs.join(splits.select("row_id", "split"), "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    if validate:
+        validate_alignment(base, teacher, labels)
+    # the split comes from the ids alone; the paired rows with it are written once and read by every later job
+    splits = assign_split(base.select("row_id"), "row_id", cfg.train_ratio, cfg.val_ratio, cfg.test_ratio,
+                          cfg.seed, cfg.shuffle, n)
+    data = materialize(pair_embeddings(base, teacher, labels).join(splits.select("row_id", "split"), "row_id"), "train-pairs")
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
     test = data.where(F.col("split") == "test")
@@ -127,6 +133,15 @@ def train_pipeline(spark: SparkSession, base: DataFrame, teacher: DataFrame, lab
     if out_dir:
         model.save(spark, f"{out_dir}/checkpoints/adapter")
     metrics = log.flush()
-    data.unpersist()
     summary = {"best_epoch": chosen, "rows": stats.n, **test_metrics, "test_quality_gap": gap}
     return TrainResult(model, metrics, chosen, summary)
+
+
+def train_from_folder(spark: SparkSession, folder: str, config: TrainConfig | None = None, out_dir: str | None = None) -> TrainResult:
+    """Train from stored vectors (C4): ``base`` and ``instruct`` folders, ``labels`` if there are any, and the record
+    beside them, whose encoding time of the instructed vectors is the teacher's latency."""
+    base, teacher = (load_vector_folder(spark, f"{folder}/{kind}") for kind in ("base", "instruct"))
+    stored = next((p for p in (f"{folder}/labels", f"{folder}/labels.npy") if path_exists(spark, p)), None)
+    labels = load_labels(spark, stored, base) if stored else None
+    meta = read_metadata(spark, f"{folder}/metadata", PREPROCESS_SCHEMA) or {}
+    return train_pipeline(spark, base, teacher, labels, config, out_dir, meta.get("instruct_encode_seconds"))

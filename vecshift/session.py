@@ -69,6 +69,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the file system that its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side file access on local paths."""
     if path.startswith("file:"):
@@ -78,14 +90,18 @@ def local_path(path: str) -> str:
     return path
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", order: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
     Cuts the lineage (later jobs and lost executors restart from the files,
     not from the upstream shuffles) while keeping column pruning and filter
-    pushdown for every later reader.
+    pushdown for every later reader. ``order`` sorts the files' rows, so that
+    filters on it skip row groups. The caller may remove the folder with
+    :func:`remove_path`; otherwise it goes with the checkpoint folder.
     """
     path = scratch_path(df.sparkSession, name)
+    if order:
+        df = df.orderBy(order)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

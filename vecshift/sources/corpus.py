@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 CSV_WRITE = {"header": "true", "escape": '"', "quote": '"',
              # keep surrounding blanks: " NA" must come back as " NA"
@@ -17,28 +19,42 @@ def _norm_path(c):
     return F.regexp_replace(c, "^file:/+", "file:/")
 
 
-def read_corpus_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def _plain(path: str) -> str:
+    """A listed file as :func:`_norm_path` gives it."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+#: ``_order`` is a file's ordinal in the high bits and the row's position in the file in the low ones.
+POS_BITS = 33
+MAX_FILES = 1 << (62 - POS_BITS)
+BROADCAST_FILES = 200_000
+
+
+def _with_order(df: DataFrame, files: list[str], first: int) -> DataFrame:
+    """``df``, just read from ``files`` (sorted), with ``_file``, ``_pos`` and ``_order``; the files' ordinals begin at ``first``."""
+    if first + len(files) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} input files")
+    spark = df.sparkSession
+    listing = spark.createDataFrame([(first + i, f) for i, f in enumerate(files)], "_file_ord LONG, _file STRING")
+    df = df.withColumn("_file", _norm_path(F.col("_metadata.file_path"))).withColumn("_pos", F.monotonically_increasing_id())
+    # a multi-line CSV file is never split: the low bits of the id follow the file
+    at = F.col("_pos").bitwiseAND(F.lit((1 << POS_BITS) - 1))
+    df = df.join(F.broadcast(listing) if len(files) <= BROADCAST_FILES else listing, "_file", "left")
+    return df.withColumn("_order", F.shiftleft("_file_ord", POS_BITS) + at).drop("_file_ord")
+
+
+def read_corpus_csv(spark: SparkSession, path: str, schema: str | None = None, first_file: int = 0) -> DataFrame:
     """CSV with a header and quoted multi-line fields.
 
-    Columns are read as strings unless a schema is given. ``_order`` is a
-    LONG that follows input order: the file's rank among the input files
-    (sorted by path, listed on the driver) in the high bits, the row's position
-    inside its scan partition in the low 33 bits — a multi-line CSV file is
-    never split, so positions follow the file. The pandas missing-value
-    strings become nulls in :func:`vecshift.operators.clean.clean_corpus`.
+    Columns are read as strings unless a schema is given. ``_order`` is a LONG that follows input order: the file's
+    ordinal among the input files (by path, listed on the driver, from ``first_file``), then the row's position. The
+    pandas missing-value strings become nulls in :func:`vecshift.operators.clean.clean_corpus`.
     """
     reader = spark.read.options(**CSV_READ)
     if schema:
         reader = reader.schema(schema)
     df = reader.csv(path)
-    files = sorted(f.replace("file:///", "file:/") for f in df.inputFiles())
-    ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord LONG, _file STRING")
-    df = df.withColumn("_file", _norm_path(F.col("_metadata.file_path"))) \
-        .withColumn("_pos", F.monotonically_increasing_id())
-    # one row per input file (a listing, not data)
-    df = df.join(F.broadcast(ordinals), "_file", "left")
-    order = F.shiftleft(F.col("_file_ord"), 33) + F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn("_order", order).drop("_file_ord")
+    return _with_order(df, sorted(_plain(f) for f in df.inputFiles()), first_file)
 
 
 def write_corpus_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -67,13 +83,16 @@ def choose_splits(available: list[str], requested: list[str] | None) -> list[str
 def load_split_files(spark: SparkSession, paths: dict[str, str], requested: list[str] | None,
                      schema: str | None = None) -> DataFrame:
     """One CSV per split name → union with ``split`` and ``split_ordinal``."""
-    available = [k for k, p in paths.items() if os.path.exists(p) or "://" in p]
+    available = [k for k, p in paths.items() if path_exists(spark, p)]
     chosen = choose_splits(available, requested)
-    # split ordinal in the top bits keeps input order across the concatenated splits
-    frames = [read_corpus_csv(spark, paths[name], schema)
-              .withColumn("split", F.lit(name)).withColumn("split_ordinal", F.lit(i))
-              .withColumn("_order", F.shiftleft(F.lit(i).cast("long"), 58) + F.col("_order"))
-              for i, name in enumerate(chosen)]
+    if not chosen:
+        raise FileNotFoundError(f"none of the split files exist: {sorted(paths.values())}")
+    frames, n_files = [], 0
+    for i, name in enumerate(chosen):
+        # one count of files over all splits keeps input order, however many splits there are
+        frame = read_corpus_csv(spark, paths[name], schema, n_files)
+        n_files += len(frame.inputFiles())
+        frames.append(frame.withColumn("split", F.lit(name)).withColumn("split_ordinal", F.lit(i)))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

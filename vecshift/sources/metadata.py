@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint_long
-from ..session import local_path
+from ..session import local_path, path_exists
 
+# fixed values: the fields of the two records and their names; the last ones are our own
 PREPROCESS_SCHEMA = (
     "dataset STRING, instruction STRING, model STRING, num_samples LONG, embedding_dim INT, "
     "base_prompt STRING, instruct_prompt STRING, base_encode_seconds DOUBLE, instruct_encode_seconds DOUBLE, "
-    "base_latency_ms DOUBLE, instruct_latency_ms DOUBLE, max_samples LONG, content_hash STRING")
+    "base_latency_ms DOUBLE, instruct_latency_ms DOUBLE, max_samples LONG, content_hash STRING, cache_key STRING")
 
 INFERENCE_SCHEMA = (
     "source_csv STRING, file_hash STRING, text_column STRING, num_samples LONG, instruction STRING, "
     "embedding_model STRING, adapter_checkpoint STRING, adapter_latency_sec DOUBLE, "
     "base_encode_seconds DOUBLE, teacher_encode_seconds DOUBLE, latency_speedup DOUBLE, "
-    "end_to_end_speedup DOUBLE")
+    "end_to_end_speedup DOUBLE, cache_key STRING")
 
 METRICS_SCHEMA = "run_id STRING, stage STRING, epoch INT, metric STRING, value DOUBLE, logged_at DOUBLE"
 
@@ -60,8 +60,7 @@ def write_metadata(df: DataFrame, path: str) -> str:
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> dict | None:
     """The stored record, or None when missing or malformed."""
-    local = local_path(path)
-    if "://" not in path and not os.path.exists(local):
+    if not path_exists(spark, path):
         return None
     try:
         df = (spark.read.schema(schema + ", _corrupt_record STRING")
@@ -75,8 +74,6 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> dict | None:
 
 def _md5_streamed(batches):
     """MD5 of each listed file, read in 8 MB chunks (no file is held whole in memory)."""
-    import hashlib
-
     import pandas as pd
     for pdf in batches:
         out = []
@@ -109,18 +106,37 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
         raise FileNotFoundError(path)
     if len(rows) == 1:
         return rows[0]["h"]
-    import hashlib
     return hashlib.md5("".join(r["h"] for r in rows).encode()).hexdigest()
 
 
-def content_fingerprint(df: DataFrame, text_col: str = "text", group_cols: list[str] | None = None) -> DataFrame:
-    """Order-independent corpus fingerprint: row count and XOR of 60-bit text hashes.
+def content_fingerprint(df: DataFrame, columns: list[str], group_cols: list[str] | None = None) -> DataFrame:
+    """``num_samples, content_hash`` of the rows' ``columns``, the same for any order of rows.
 
-    A plain aggregate (partial + final), so it costs one scan and no sort.
+    Sums of two independent 64-bit row hashes (modulo 2^61): equal rows add up instead of cancelling out, and
+    with a row id among the columns the order and every value count. One scan, no sort.
     """
-    g = list(group_cols or [])
-    return df.groupBy(*g).agg(F.count(F.lit(1)).cast("long").alias("num_samples"),
-                              F.bit_xor(fingerprint_long(text_col)).alias("content_hash"))
+    mask = F.lit((1 << 61) - 1)
+    # a null and where values end are part of a row's hash
+    row = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    sums = [F.sum(F.xxhash64(F.lit(salt), *row).bitwiseAND(mask).cast("decimal(38,0)")) % F.lit(1 << 61).cast("decimal(38,0)") for salt in (1, 2)]
+    text = F.concat_ws("-", *(F.lpad(F.hex(F.coalesce(x, F.lit(0)).cast("long")), 16, "0") for x in sums))
+    return df.groupBy(*(group_cols or [])).agg(F.count(F.lit(1)).cast("long").alias("num_samples"), F.lower(text).alias("content_hash"))
+
+
+def cache_key(content_hash: str, **settings) -> str:
+    """One key for what a run depends on: its rows and every setting."""
+    record = json.dumps({"content": content_hash, **settings}, sort_keys=True, default=str)
+    return hashlib.md5(record.encode()).hexdigest()
+
+
+def is_cached(spark: SparkSession, key: str, metadata_path: str, schema: str, outputs: list[str]) -> dict | None:
+    """The stored record if it was written under ``key`` and every output folder is complete, else None."""
+    stored = read_metadata(spark, metadata_path, schema)
+    if not stored or not all(path_exists(spark, f"{o}/_SUCCESS") for o in outputs):
+        return None
+    request = spark.createDataFrame([(key,)], "cache_key STRING")
+    known = spark.createDataFrame([(stored.get("cache_key"),)], "cache_key STRING")
+    return stored if cache_probe(request, known, ["cache_key"]).first()["hit"] else None
 
 
 def cache_probe(requests: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def read_npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.select("path", "content").mapInPandas(
         decode, "file_name STRING, pos LONG, embedding ARRAY<FLOAT>")
     if files.select("path").limit(1).count() == 0:
-        raise FileNotFoundError(f"No embedding files found in {folder}")
+        raise FileNotFoundError(f"{folder} holds no .npy file")
     per_file = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
     offsets = _file_offsets(per_file)
     # one row per file: AQE broadcasts it once measured small, else it stays a shuffle join
@@ -133,16 +133,16 @@ def read_json_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_vector_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``.npy`` shards if any, else JSON files, else ``FileNotFoundError``."""
-    local = local_path(folder)
-    if os.path.isdir(local):
-        names = os.listdir(local)
-        if any(n.endswith(".npy") for n in names):
-            return read_npy_embeddings(spark, folder)
-        if any(n.endswith(".json") for n in names):
-            return read_json_vectors(spark, folder)
-        raise FileNotFoundError(f"No embedding files found in {folder}")
-    return read_npy_embeddings(spark, folder)
+    """``.npy`` shards if any, else JSON files, else our own parquet, else ``FileNotFoundError``."""
+    files = spark.read.format("binaryFile").load(folder).select(F.lower(F.element_at(F.split("path", r"[.]"), -1)).alias("kind"))
+    kinds = {r["kind"] for r in files.filter(F.col("kind").isin("npy", "json", "parquet")).distinct().collect()}
+    if "npy" in kinds:
+        return read_npy_embeddings(spark, folder)
+    if "json" in kinds:
+        return read_json_vectors(spark, folder)
+    if "parquet" in kinds:
+        return read_embeddings(spark, folder)
+    raise FileNotFoundError(f"{folder} holds neither .npy nor .json nor parquet vectors")
 
 
 def synthetic_pairs(ids: DataFrame, input_dim: int, output_dim: int, seed: int = 42,
