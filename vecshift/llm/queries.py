@@ -80,3 +80,66 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
+WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+
+#: Every window that begins at a shared shingle or ends with its text, against every item: the result without fingerprints.
+ORACLE["op2_decontamination"] = f"""
+WITH i AS (
+  SELECT item_id, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m
+  FROM (SELECT DISTINCT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0
+),
+ic AS (
+  SELECT item_id, k, m, s, count(*) AS c
+  FROM (SELECT item_id, k, m, unnest(list_transform(range(1, m + 1), lambda j: array_to_string(list_slice(w, j, j + k - 1), ' '))) AS s FROM i)
+  GROUP BY ALL
+),
+ds AS (
+  SELECT doc_id, k, len(w) AS n, unnest(range(0, len(w) - k + 1)) AS p,
+         unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(list_slice(w, j, j + k - 1), ' '))) AS s
+  FROM (SELECT DISTINCT doc_id, {WORDS_SQL} AS w FROM documents), (SELECT DISTINCT k FROM i) WHERE len(w) >= k
+),
+h AS (
+  SELECT doc_id, item_id, k, m, c, p, s, n, least(m, n - k + 1) AS span FROM ds JOIN ic USING (s, k)
+),
+st AS (SELECT DISTINCT doc_id, item_id, least(p, n - k + 1 - span) AS start FROM h),
+x AS (
+  SELECT h.doc_id, h.item_id, st.start, k, m, span, s, c, count(*) AS d
+  FROM st JOIN h ON st.doc_id = h.doc_id AND st.item_id = h.item_id AND p >= st.start AND p < st.start + span GROUP BY ALL
+),
+y AS (
+  SELECT doc_id, item_id, start, k, m, span, CAST(sum(least(c, d)) AS DOUBLE) AS shared FROM x GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(span + k - 1 AS INTEGER) AS n_words, shared / (m + span - shared) AS similarity
+FROM y WHERE shared / (m + span - shared) >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (m + span - shared) DESC, start) = 1
+""".strip()
+
+#: Every 100-byte string of every text, as hexadecimal digits.
+ORACLE["op10_suffix_dedup"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, x, unnest(range(0, length(x) // 2, 500)) AS lo FROM t),
+y AS (SELECT doc_id, lo, length(x) // 2 AS n, substr(x, 2 * lo + 1, 1198) AS y FROM k),
+b AS (SELECT doc_id, lo, n, y, unnest(range(least(500, n - lo))) AS o FROM y),
+w AS (
+  SELECT doc_id, lo + o AS p, substr(y, 2 * o + 1, 2) AS byte, CASE WHEN lo + o + 100 <= n THEN md5(substr(y, 2 * o + 1, 200)) END AS win
+  FROM b
+),
+a AS (
+  SELECT doc_id, p, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM w
+),
+g AS (
+  SELECT doc_id, p, byte, coalesce(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM a
+),
+s AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) AS before FROM g),
+r AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_spans,
+         coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0), '') AS kept
+  FROM s GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)
+""".strip()
