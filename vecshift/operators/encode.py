@@ -1,31 +1,27 @@
 """Text → vector encoding through a pluggable encoder (P5-P10).
 
-The encoder runs inside an iterator Arrow UDF, so it is loaded once per task
-and sees whole Arrow batches; Spark partitions the corpus across executors.
-Any model with ``load()`` / ``encode(list[str]) -> ndarray`` plugs in. The
-shipped :class:`HashEncoder` is a deterministic signed feature-hashing
-encoder (no model weights are available), whose result SQL can reproduce.
+A model encoder runs inside an iterator Arrow UDF, so it is loaded once per
+task and sees whole Arrow batches; Spark partitions the corpus across
+executors. Any model with ``load()`` / ``encode(list[str]) -> ndarray`` plugs
+in. The shipped :class:`HashEncoder` is a deterministic signed feature-hashing
+encoder (no model weights are available), whose result SQL can reproduce: its
+prompt, lower-casing, tokens, truncation and hashes are JVM expressions, and
+only the sums of the token codes are taken in Arrow batches.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import with_prompt
+from ..functions.text import truncate_tokens, with_prompt
 from ..session import ensure_parallelism
 
-_TOKEN = re.compile(r"[^ \t\n\r\f]+")
-# token → code caches, one per dimension, kept for the life of a (reused) Python worker
-_CODE_CACHES: dict[int, dict[str, int]] = {}
-
 
 class Encoder:
     """Protocol: ``name``, ``dim``, ``load()`` once per worker, ``encode(texts)``."""
@@ -54,42 +50,23 @@ class HashEncoder(Encoder):
         self.max_tokens = max_tokens
         self.normalize = normalize
         self.name = f"hash-md5-{self.dim}"
-        self._cache: dict[str, int] = {}
-
-    def __getstate__(self):
-        return {"dim": self.dim, "max_tokens": self.max_tokens, "normalize": self.normalize,
-                "name": self.name}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._cache = _CODE_CACHES.setdefault(self.dim, {})
-
-    def _code(self, token: str) -> int:
-        """``bucket * 2 + (1 if the sign is negative)`` for a token (cached per worker)."""
-        h = hashlib.md5(token.encode("utf-8")).hexdigest()
-        code = (int(h[:8], 16) % self.dim) * 2 + (0 if int(h[8], 16) < 8 else 1)
-        if len(self._cache) > 4_000_000:
-            self._cache.clear()
-        self._cache[token] = code
-        return code
-
-    def encode(self, texts: list[str]) -> np.ndarray:
-        cache, code_of = self._cache, self._code
-        lengths = np.zeros(len(texts), dtype=np.int64)
-        codes: list[int] = []
-        for i, text in enumerate(texts):
-            if text is None:
-                continue
-            toks = _TOKEN.findall(text.lower())
-            if self.max_tokens is not None:
-                toks = toks[: self.max_tokens]
-            lengths[i] = len(toks)
-            codes.extend([cache[t] if t in cache else code_of(t) for t in toks])
-        c = np.fromiter(codes, dtype=np.int64, count=len(codes))
-        rows = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-        signs = 1.0 - 2.0 * (c & 1)
-        flat = np.bincount(rows * self.dim + (c >> 1), weights=signs, minlength=len(texts) * self.dim)
-        out = flat.reshape(len(texts), self.dim)
+
+    def codes(self, text) -> Column:
+        """``bucket * 2 + (1 if the sign is negative)`` of every token, in order; null texts have none."""
+        hashes = F.transform(truncate_tokens(F.lower(text), self.max_tokens), lambda t: F.md5(t.cast("binary")))
+
+        def code(h: Column) -> Column:
+            bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % self.dim
+            return (bucket * 2 + F.when(F.substring(h, 9, 1) >= "8", 1).otherwise(0)).cast("int")
+        return F.coalesce(F.transform(hashes, code), F.array().cast("array<int>"))
+
+    def sums(self, codes: list[np.ndarray]) -> np.ndarray:
+        """One vector per row from its token codes."""
+        lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+        c = np.concatenate([np.zeros(0, np.int64), *codes]).astype(np.int64)
+        rows = np.repeat(np.arange(len(codes), dtype=np.int64), lengths)
+        flat = np.bincount(rows * self.dim + (c >> 1), weights=1.0 - 2.0 * (c & 1), minlength=len(codes) * self.dim)
+        out = flat.reshape(len(codes), self.dim)
         if self.normalize:
             norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
             out = out / np.maximum(norms, 1e-12)
@@ -112,14 +89,17 @@ def encode_text(df: DataFrame, encoder: Encoder, text_col: str = "text", prompt:
     elem = T.FloatType() if as_float else T.DoubleType()
     dtype = np.float32 if as_float else np.float64
 
+    tokenised = isinstance(encoder, HashEncoder)
+
     @F.pandas_udf(T.ArrayType(elem))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder.load()
-        for texts in batches:
-            vecs = model.encode(texts.tolist())
+        for rows in batches:
+            vecs = model.sums(rows.tolist()) if tokenised else model.encode(rows.tolist())
             yield pd.Series(list(vecs.astype(dtype)))
 
     # non-deterministic for the optimiser only: keeps Catalyst from copying the
     # (expensive) call into inferred filters, e.g. below an explode
     enc = _encode.asNondeterministic()
-    return (ensure_parallelism(df) if spread else df).withColumn(out, enc(with_prompt(text_col, prompt)))
+    text = with_prompt(text_col, prompt)
+    return (ensure_parallelism(df) if spread else df).withColumn(out, enc(encoder.codes(text) if tokenised else text))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -53,15 +54,13 @@ class GramStats:
 
 
 def gram_stats(df: DataFrame, x_col: str = "base", y_col: str = "teacher", bias: bool = True,
-               max_partials: int | None = None) -> GramStats:
-    """One pass over ``(x, y)`` rows → :class:`GramStats`."""
-    spark = df.sparkSession
-    data = df.select(F.col(x_col).cast("array<double>").alias("x"), F.col(y_col).cast("array<double>").alias("y"))
-    # one partial per task slot keeps the shuffled partials independent of the row count
-    # (coalesce never adds partitions, so a smaller input keeps its own)
-    limit = max_partials or spark.sparkContext.defaultParallelism
-    data = data.coalesce(limit)
+               groups: int = 64) -> GramStats:
+    """One pass over ``(x, y)`` rows → :class:`GramStats`.
 
+    Every task of the input's own partitioning gives one partial sum. They are added up in two levels, first in
+    ``groups`` groups of tasks, so that no task adds up all partials however many tasks there are.
+    """
+    data = df.select(F.col(x_col).cast("array<double>").alias("x"), F.col(y_col).cast("array<double>").alias("y"))
     def partials(batches):
         g = c = None
         yy, n = 0.0, 0
@@ -81,13 +80,16 @@ def gram_stats(df: DataFrame, x_col: str = "base", y_col: str = "teacher", bias:
         if g is None:
             return
         p, q = g.shape[0], c.shape[1]
+        group = TaskContext.get().partitionId() % groups
         rows = [np.concatenate([g[i], c[i]]) for i in range(p)]
         tail = np.zeros(p + q)
         tail[0], tail[1] = n, yy
         rows.append(tail)
-        yield pd.DataFrame({"i": np.arange(p + 1, dtype=np.int32), "row": rows})
+        yield pd.DataFrame({"i": np.arange(p + 1, dtype=np.int32), "g": np.int32(group), "row": rows})
 
-    summed = (data.mapInPandas(partials, "i INT, row ARRAY<DOUBLE>")
+    summed = (data.mapInPandas(partials, "i INT, g INT, row ARRAY<DOUBLE>")
+              .groupBy("i", "g").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
+              .select("i", vector_to_array("v").alias("row"))
               .groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("s"))
               .select("i", vector_to_array("s").alias("row"))
               .collect())
