@@ -19,6 +19,8 @@ from vecshift.llm import html, langid, quality, rules, tokens
     ("<article><p>a &lt; b &#233;&nbsp;&eacute;</p><!-- <p>no</p> --><div class='x ad-slot'><p>buy</p></div><p>end</p>", "a < b é é\nend"),
     ("<article><p>cut off <b", "cut off"), ("<article>5 < 6 and 7 > 2<style>p{}</style></article>", "5 < 6 and 7 > 2"),
     ("<article><div hidden>x</div><aside>y</aside><form>z<input value='q'></form><p title=\"a>b\">kept</p></article>", "kept"),
+    ("<article><p>one <span class='share'>Share</span>two <button>b</button>three</p></article>", "one two three"),
+    ("<article>one<span class=ad><p>buy</p></span>two</article>", "one\ntwo"),
     ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<article><textarea><p>t</textarea><p>kept</p></article>", "kept"),
 ])
 def test_main_text(page, text):

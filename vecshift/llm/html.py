@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from string import punctuation
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,15 +36,15 @@ DROPPED = frozenset("head script style noscript template svg math canvas object
                     "title xmp noembed noframes nav footer aside form dialog menu label input datalist".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
-                   "thead tr ul caption option select button head title".split())
+                   "thead tr ul caption head title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag ends an open element of the same group, up to the nearest of the group's containers.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Words of class, id or role that mark what is no article.
-MARKS = frozenset("ad ads advert advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu "
+MARKS = frozenset("ad ads adbox adslot adunit adsense advert advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu "
                   "breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
                   "newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget "
-                  "comment comments disqus reply replies respond toolbar pagination pager copyright legal disclaimer skip contentinfo "
+                  "comment comments disqus discussion reply replies respond responses toolbar pagination pager copyright legal disclaimer skip paywall contentinfo "
                   "complementary dialog form".split())
 HEADER_MARKS = frozenset(("header", "topbar", "top"))
 #: Function words of English, French, German and Spanish (fixed values).
@@ -93,28 +94,30 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that have text, in page order, with references decoded and blanks collapsed."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether in something marked, an article, a link
-    parts: list[tuple[str, bool]] = []
+    # tag, what it is in (0: nothing marked, 1: something marked, 2: something marked inside a line), in an article, in a link
+    stack: list[tuple[str, int, bool, bool]] = []
+    parts: list[tuple[str, bool, bool, bool]] = []
     heading = False
 
     def end_block() -> None:
-        nonlocal heading
         if parts:
-            text = " ".join("".join(t for t, _ in parts).split())
+            text = " ".join("".join(t for t, *_ in parts).split())
             if text:
-                linked = len(" ".join("".join(t for t, a in parts if a).split()))
-                _, marked, in_article, _ = stack[-1] if stack else ("", False, False, False)
+                linked = len(" ".join("".join(t for t, a, *_ in parts if a).split()))
+                _, _, marked, in_article = next(x for x in parts if x[0].strip())
                 out.append(Block(text, linked, marked, in_article, heading))
             parts.clear()
 
     def pop_to(at: int) -> None:
-        if any(t in BLOCKS or m != (stack[at - 1][1] if at else False) for t, m, _, _ in stack[at:]):
+        outside = bool(at) and stack[at - 1][1] == 1
+        if any(t in BLOCKS or (m == 1) != outside for t, m, _, _ in stack[at:]):
             end_block()
         del stack[at:]
 
     def add(text: str) -> None:
-        if text:
-            parts.append((unescape(text), bool(stack and stack[-1][3])))
+        _, marked, in_article, link = stack[-1] if stack else ("", 0, False, False)
+        if text and marked != 2:
+            parts.append((unescape(text), link, marked == 1, in_article))
 
     at = 0
     while True:
@@ -152,20 +155,22 @@ def blocks(html: str) -> list[Block]:
             end_block()
             heading = tag in HEADINGS
         elif tag == "br":
-            parts.append((" ", False))
+            add(" ")
         if tag in VOID:
             continue
-        _, marked, in_article, link = stack[-1] if stack else ("", False, False, False)
-        now = marked or _marked(tag, m[3] or "", in_article)
-        if now and not marked:
-            end_block()
+        _, marked, in_article, link = stack[-1] if stack else ("", 0, False, False)
+        now = marked
+        if not marked and _marked(tag, m[3] or "", in_article):
+            now = 1 if tag in BLOCKS else 2  # inside a line its text is left out and the line goes on
+        elif marked == 2 and tag in BLOCKS:
+            now = 1
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
-        stack.append((tag, now, in_article or tag in ("article", "main") , link or tag == "a"))
+        stack.append((tag, now, in_article or tag in ("article", "main"), link or tag == "a"))
     end_block()
     return out
 
@@ -182,7 +187,7 @@ def classify(block: Block, rules: Rules) -> int | None:
     if block.heading or n < rules.length:
         return AMBIGUOUS
     found = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in found)
+    stops = sum(w.strip(punctuation) in STOP_WORDS for w in found)
     return GOOD if stops >= rules.stop_share * len(found) else AMBIGUOUS
 
 
