@@ -12,7 +12,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from vecshift.session import get_spark
+    from vecshift.session import get_spark, remove_scratch
     s = get_spark(master="local[*]", shuffle_partitions=8)
     yield s
+    remove_scratch(s)
     s.stop()

@@ -96,8 +96,8 @@ def materialize(df, name: str = "table", order: str | None = None):
     Cuts the lineage (later jobs and lost executors restart from the files,
     not from the upstream shuffles) while keeping column pruning and filter
     pushdown for every later reader. ``order`` sorts the files' rows, so that
-    filters on it skip row groups. The caller may remove the folder with
-    :func:`remove_path`; otherwise it goes with the checkpoint folder.
+    filters on it skip row groups. :func:`remove_scratch` deletes all of a
+    session's scratch tables.
     """
     path = scratch_path(df.sparkSession, name)
     if order:
@@ -106,6 +106,11 @@ def materialize(df, name: str = "table", order: str | None = None):
     return df.sparkSession.read.parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session, once nothing that was read from them is needed any more."""
+    remove_path(spark, f"{checkpoint_dir(spark).rstrip('/')}/scratch")
+
+
 def input_bytes(df) -> int | None:
     """Bytes the plan of ``df`` reads: Catalyst's size of its leaf relations; no job runs.
 
