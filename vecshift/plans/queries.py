@@ -673,7 +673,7 @@ def q_stream_hash_encode(spark, sf_dir):
 from ..operators.cluster import kmeans_best  # noqa: E402
 from ..operators.evaluate import evaluate_adapter  # noqa: E402
 from ..operators.fit import gd_epochs, gram_stats  # noqa: E402
-from ..operators.labels import factor_codes, load_labels  # noqa: E402
+from ..operators.labels import load_labels  # noqa: E402
 from ..session import local_path, remove_path  # noqa: E402
 from ..sources.metadata import (PREPROCESS_SCHEMA, MetricLog, file_fingerprint, preprocess_metadata,  # noqa: E402
                                 read_metadata, write_metadata)
