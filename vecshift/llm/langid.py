@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_text
+from .common import fresh
 
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
