@@ -9,12 +9,15 @@ the same document). The work is in five steps, none of which holds all suffixes
 2. Segments meet by anchor hash. One that stands alone is not repeated; one whose whole content stands
    earlier is repeated throughout (copies within a task's batch are settled before the shuffle). What remains is
    the first segment of each content among several under one hash.
-3. Their bytes are fetched and dealt out by hash; segments of a very frequent hash are dealt to chunks.
+3. Their bytes are fetched. A window has ``length - GRAM`` bytes beside its anchor, at least half of them on one
+   side, and equal windows have the same ones there: segments are dealt out by hash, side and the half nearest the
+   anchor, each time with the windows of that side. Who is alone there has no window in common with any; those
+   of a very frequent key are dealt to chunks.
 4. Each task builds suffix arrays and Burrows-Wheeler transforms of shards of its segments and merges them by
-   interleave refinement: the order of all suffixes by their first h symbols gives that by h + 1 symbols, by one
-   stable pass over the transforms, and the round in which two neighbours part is their common prefix. No
-   suffix is sorted again. Intervals with a common prefix of ``length`` are the repeated strings; all but an
-   interval's first place are marked. Chunks of one hash meet once more on the contents of their first places.
+   interleave refinement: the transforms lead from each suffix to the one that is h symbols longer, so the
+   interleave of the shards by the first h symbols gives that by 2 h in one stable pass, and two neighbours that
+   part in a round have a common prefix shorter than that round's. No suffix is compared or sorted again. Intervals
+   with a common prefix of ``length`` are the repeated strings; all but an interval's first place are marked. Chunks of one key meet once more on the contents of their first places.
 5. The marks of a document, as ranges of windows, cut its bytes.
 """
 
@@ -25,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +38,12 @@ from .common import small, whole_text
 GRAM = 32
 #: Bytes that are hashed at once, and bytes of segments that one merge holds and one of its shards.
 HASH_BLOCK, MERGE_BLOCK, SHARD = 1 << 20, 1 << 21, 1 << 19
-#: Segments of one anchor hash in one task.
+#: Segments of one key in one task.
 CHUNK = 8192
 POS_BITS = 40
 NO_ID = (1 << 63) - 1
 U = np.uint64
+MASK, HIGH = (1 << 64) - 1, 1 << 63
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -221,20 +226,17 @@ class Transform:
         text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         stop = np.repeat(end, sizes)  # the end mark after each place
         place = np.arange(n)
-        key, known = text.copy(), 1
-        for k in range(1, 7):
+        key, known = text.copy(), 5
+        for k in range(1, known):
             key = key * 257 + np.where(place + k <= stop, text[np.minimum(place + k, n - 1)], 0)
-            known += 1
         longest = int(sizes.max(initial=1))
-        order = np.argsort(key, kind="stable")
+        order = _stable_order(key, 257 ** known)
         rank = _dense(key, order)
         while known < longest and rank.max(initial=0) + 1 < n:
-            further = np.where(place + known <= stop, rank[np.minimum(place + known, n - 1)] + 1, 0)
-            key = rank * (n + 1) + further
-            order = np.argsort(key, kind="stable")
+            key = rank * (n + 1) + np.where(place + known <= stop, rank[np.minimum(place + known, n - 1)] + 1, 0)
+            order = _stable_order(key, (n + 1) ** 2)
             rank = _dense(key, order)
             known *= 2
-        self.order = order
         start = end - sizes + 1
         before = np.concatenate(([0], text[:-1]))
         before[start] = 0
@@ -243,6 +245,21 @@ class Transform:
         self.offset = order - start[self.string]
         self.n_strings = len(strings)
 
+    def longer(self) -> np.ndarray:
+        """For each row the row of the suffix that is one symbol longer (-1: the suffix is a whole string)."""
+        out = np.full(len(self.bwt), -1, np.int64)
+        real = np.flatnonzero(self.bwt)
+        out[real[np.argsort(self.bwt[real], kind="stable")]] = self.n_strings + np.arange(len(real))
+        return out
+
+
+def _stable_order(key: np.ndarray, limit: int) -> np.ndarray:
+    """Places in the order of ``key`` (under ``limit``), equal keys in the order of places."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if limit << bits >= 1 << 63:
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
 
 def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
     sorted_ = key[order]
@@ -253,41 +270,52 @@ def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def interleave(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges transforms: the rows of all shards (numbered shard after shard) in the order of their suffixes' first
-    ``depth`` symbols, and each one's common prefix with the row before it (``depth`` if it is as long).
+    ``depth`` symbols, and for each whether it has less than these in common with the row before it.
 
-    Round h orders by h symbols. A stable pass over the symbols before the suffixes, in the order of round h,
-    puts the longer suffixes that begin with them into the order of round h + 1; rows of one shard never
-    change their order, so only the interleave of shards is refined. End marks stand first, all distinct.
+    Round h has all rows ordered by h symbols, in blocks of rows that agree on them. Taken in that order, each row
+    leads to that of the suffix that is ``step`` symbols longer; a stable pass puts these into their blocks, and so
+    into the order of h + step symbols. Rows of one shard never change their order: only the interleave is
+    refined. End marks stand first, all distinct, in the order of shards.
     """
     sizes = [len(s.bwt) for s in shards]
-    bwt = np.concatenate([s.bwt for s in shards])
-    n, n_marks = len(bwt), sum(s.n_strings for s in shards)
-    shard = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
-    marks = np.repeat(np.arange(len(shards)), [s.n_strings for s in shards]).astype(np.uint16)
-    block = np.zeros(n, np.int64)  # rows with equal first h symbols
-    common = np.full(n, depth, np.int64)
-    if n:
-        common[0] = 0
-    row = np.arange(n)
-    n_blocks = 1
-    for h in range(depth):
-        symbol = bwt[row]
-        real = np.flatnonzero(symbol)
-        go = real[np.argsort(symbol[real], kind="stable")]
-        s, b = symbol[go], block[go]
-        new = np.ones(n, bool)
-        if len(go):
-            new[n_marks + 1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        shard = np.concatenate((marks, shard[go]))
-        common[new & (common == depth) & (np.arange(n) > 0)] = h
-        block = np.cumsum(new)
-        row = np.empty(n, np.int64)
-        row[np.argsort(shard, kind="stable")] = np.arange(n)
-        # rows of a shard keep their order: the k-th of a shard in the interleave is its k-th row
-        if block[-1] == n_blocks:
-            break
-        n_blocks = int(block[-1])
-    return row, common
+    n = sum(sizes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    base = np.cumsum([0, *sizes[:-1]])
+    one = np.concatenate([np.where((x := s.longer()) >= 0, x + at, -1) for s, at in zip(shards, base)])
+    first = np.concatenate([np.concatenate((np.zeros(s.n_strings, np.uint16), np.sort(s.bwt[s.bwt > 0]))) for s in shards])
+    order = np.argsort(first, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (first[order][1:] == 0)
+    block = np.empty(n, np.int64)
+    block[order] = np.cumsum(new) - 1
+    h, jumps = 1, {1: one}
+
+    def jump(step: int) -> np.ndarray:
+        """Leads ``step`` symbols on, put together from the powers of two known so far."""
+        if step not in jumps:
+            power = 1 << (step.bit_length() - 1)
+            a, b = (jump(power // 2), jump(power // 2)) if power == step else (jump(power), jump(step - power))
+            jumps[step] = np.where(a >= 0, b[np.maximum(a, 0)], -1)
+        return jumps[step]
+
+    while h < depth and not new.all():
+        step = min(h, depth - h)
+        reached = jump(step)[order]
+        real = reached >= 0
+        # suffixes of fewer than ``step`` symbols are led to by none; an end mark has set each apart
+        short = np.ones(n, bool)
+        short[reached[real]] = False
+        go = np.concatenate((np.flatnonzero(short), reached[real]))
+        rest = np.concatenate((np.full(len(go) - int(real.sum()), -1), block[order][real]))
+        into = _stable_order(block[go], n)
+        order, rest = go[into], rest[into]
+        b = block[order]
+        new[1:] = (b[1:] != b[:-1]) | (rest[1:] != rest[:-1])
+        block = np.empty(n, np.int64)
+        block[order] = np.cumsum(new) - 1
+        h += step
+    return order, new
 
 
 def repeated_windows(strings: list[bytes], windows: np.ndarray, ids: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -303,10 +331,10 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, ids: np.ndarray,
         size += len(s) + 1
     cut.append(len(strings))
     shards = [Transform(strings[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    row, common = interleave(shards, length)
+    row, parts = interleave(shards, length)
     string = np.concatenate([s.string + a for s, a in zip(shards, cut)])[row]
     offset = np.concatenate([s.offset for s in shards])[row]
-    interval = np.cumsum(common < length)
+    interval = np.cumsum(parts)
     real = offset < windows[string]
     string, offset, interval = string[real], offset[real], interval[real]
     order = np.lexsort((pos[string] + offset, ids[string], interval))
@@ -316,38 +344,29 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, ids: np.ndarray,
     return string[again], offset[again], string[~again], offset[~again]
 
 
-def _comparable(h: np.ndarray, part: np.ndarray, lead: np.ndarray, n: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
-    """Segments that share with another one under their hash half of what a window has beside the anchor.
-
-    A window has ``length - GRAM`` bytes beside its anchor, so at least half of them on one side. A segment whose
-    bytes on neither side equal another's has no window in common with any.
-    """
+def _sides(h: int, pos: int, n: int, lead: int, data: bytes, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """``(key, position, windows, bytes)`` of the windows of a segment with at least half of what is beside the anchor to its left, and of the others."""
     half = (length - GRAM) // 2
-    seen: dict[tuple, int] = {}
-    keys = []
-    for x, p, at, k, s in zip(h.tolist(), part.tolist(), lead.tolist(), n.tolist(), strings):
-        mine = []
-        if at >= half:
-            mine.append((x, p, 0, s[at - half:at]))
-        if length - GRAM - (at - k + 1) >= half:
-            mine.append((x, p, 1, s[at + GRAM:at + GRAM + half]))
-        keys.append(mine)
-        for key in mine:
-            seen[key] = seen.get(key, 0) + 1
-    return np.array([any(seen[key] > 1 for key in mine) for mine in keys], bool)
+    left = min(lead - half + 1, n)  # windows 0 ... left - 1 have at least half on the left
+    if left > 0:
+        yield xxhash.xxh64_intdigest(data[lead - half:lead], (2 * h) & MASK) - HIGH, pos, left, data[:left + length - 1]
+    left = max(left, 0)
+    if left < n:
+        yield xxhash.xxh64_intdigest(data[lead + GRAM:lead + GRAM + half], (2 * h + 1) & MASK) - HIGH, pos + left, n - left, data[left:]
 
 
 def _compare_block(b: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Marks of the repeated windows of a block, and for hashes dealt to chunks the first places with a digest of their content."""
-    ids, pos, n = (b[c].to_numpy(np.int64) for c in ("id", "pos", "n"))
-    strings = [bytes(s) for s in b["data"]]
-    chunked = b["chunks"].to_numpy() > 1
-    live = _comparable(b["h"].to_numpy(), b["part"].to_numpy(), b["lead"].to_numpy(), n, strings, length) | chunked
-    keep = np.flatnonzero(live)
+    """Marks of the repeated windows of a block, and for keys dealt to chunks the first places with a digest of their content."""
     out = pd.DataFrame({"id": pd.Series(dtype="int64"), "pos": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "digest": pd.Series(dtype=object)})
+    # sorted by key: who is alone under a key of one chunk has nothing in common with any
+    key, part = b["key"].to_numpy(), b["part"].to_numpy()
+    same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    keep = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])) | (b["chunks"].to_numpy() > 1))
     if not len(keep):
         return out
-    strings, ids, pos, n, chunked = [strings[i] for i in keep], ids[keep], pos[keep], n[keep], chunked[keep]
+    b = b.iloc[keep]
+    ids, pos, n = (b[c].to_numpy(np.int64) for c in ("id", "pos", "n"))
+    strings, chunked = [bytes(s) for s in b["data"]], b["chunks"].to_numpy() > 1
     s, o, fs, fo = repeated_windows(strings, n, ids, pos, length)
     i, p, k = merged(ids[s], pos[s] + o, np.ones(len(s), np.int64))
     parts = [pd.DataFrame({"id": i, "pos": p, "n": k, "digest": None})]
@@ -401,8 +420,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     # the bytes of the segments to compare, from their documents
     place = F.shiftright("pos", POS_BITS)
     wanted = met.filter("lead >= 0")
-    sizes = wanted.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > chunk)
-    sizes = materialize(sizes.select(F.col("h").alias("hot"), F.ceil(F.col("size") / chunk).alias("of")), "suffix-hot")
     per_doc = wanted.groupBy(F.col("id").alias("id_"), place.alias("part_")).agg(F.collect_list(F.struct("h", "pos", "n", "lead")).alias("ws"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,14 +430,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 data = t.encode("utf-8", "replace")
                 for w in ws:
                     at = w["pos"] & low
-                    out.append((w["h"], i, w["pos"], w["n"], w["lead"], data[at:at + w["n"] + length - 1]))
-            yield pd.DataFrame(out, columns=["h", "id", "pos", "n", "lead", "data"])
+                    for key, pos, n, part in _sides(w["h"], w["pos"], w["n"], w["lead"], data[at:at + w["n"] + length - 1], length):
+                        out.append((key, i, pos, n, part))
+            yield pd.DataFrame(out, columns=["key", "id", "pos", "n", "data"])
 
     fetched = (distinct.select("id", "part", "text").join(per_doc, (F.col("id") == F.col("id_")) & (F.col("part") == F.col("part_")))
-               .select("id", "text", "ws").mapInPandas(fetch, "h bigint, id bigint, pos bigint, n bigint, lead int, data binary"))
+               .select("id", "text", "ws").mapInPandas(fetch, "key bigint, id bigint, pos bigint, n bigint, data binary"))
+    fetched = materialize(fetched, "suffix-segments")
+    sizes = fetched.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > chunk)
+    sizes = materialize(sizes.select(F.col("key").alias("hot"), F.ceil(F.col("size") / chunk).alias("of")), "suffix-hot")
     chunks = F.coalesce("of", F.lit(1)).cast("bigint")
-    dealt = fetched.join(small(sizes), F.col("h") == F.col("hot"), "left").select(
-        "h", "id", "pos", "n", "lead", "data", chunks.alias("chunks"), F.pmod(F.xxhash64("id", "pos"), chunks).alias("part"))
+    dealt = fetched.join(small(sizes), F.col("key") == F.col("hot"), "left").select(
+        "key", "id", "pos", "n", "data", chunks.alias("chunks"), F.pmod(F.xxhash64("id", "pos"), chunks).alias("part"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -430,8 +451,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
             size += int(b["data"].str.len().sum())
             if size >= MERGE_BLOCK:
                 whole = pd.concat(held, ignore_index=True)
-                last = ((whole["h"] == whole["h"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])).to_numpy()
-                first = int(np.argmax(last))  # a hash's segments stay together
+                last = ((whole["key"] == whole["key"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])).to_numpy()
+                first = int(np.argmax(last))  # a key's segments stay together
                 if first:
                     yield _compare_block(whole.iloc[:first].reset_index(drop=True), length)
                 held = [whole.iloc[first:]]
@@ -439,7 +460,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         if held:
             yield _compare_block(pd.concat(held, ignore_index=True), length)
 
-    compared = (dealt.repartition("h", "part").sortWithinPartitions("h", "part", "id", "pos")
+    compared = (dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id", "pos")
                 .mapInPandas(compare, "id bigint, pos bigint, n bigint, digest binary"))
     compared = materialize(compared, "suffix-compared")
     marks.append(compared.filter("digest is null").select("id", "pos", "n"))
