@@ -5,7 +5,7 @@ the next stage's docs. All but the last return the columns of documents; rows th
 the stages after it.
 
 Defined results: null texts are empty texts; empty tables pass through as empty tables; columns that
-documents does not have, and repeated rows, are carried along (near-duplicates keep one row of an id).
+documents does not have, and repeated rows, are carried along (near-duplicates keep one row of a group).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from vecshift.llm.decontaminate import remove_leaks
 from vecshift.llm.mixing import mix_sources
 from vecshift.llm.pii import find_personal_data, redact
 from vecshift.llm.quality import fit_quality, not_held_out, score_quality
-from vecshift.llm.simhash import keep_one
+from vecshift.llm.simhash import keep_one_row
 from vecshift.session import checkpoint_dir, scratch_path
 
 #: Documents that score less are rejected: the threshold of the quality classifier's contract.
@@ -37,8 +37,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    return keep_one(docs, shingle=SHINGLE, radius=RADIUS).select(*docs.columns)
+    """The row of the smallest id of each group; rows near no other stay, whatever their ids."""
+    return keep_one_row(docs, shingle=SHINGLE, radius=RADIUS).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

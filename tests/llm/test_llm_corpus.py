@@ -88,6 +88,29 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_of_every_group_stays_whatever_its_id(spark):
+    a, b, c, d = "a b c d", "e f g h", "i j k l", "m n o p"
+    rows = [(1, a, 0), (1, a, 1), (None, a, 0), (2, b, 0), (None, c, 0), (None, d, 0), (None, d, 0),  # null ids: c and one d stay
+            (3, "q r s t", 0), (3, "u v w x", 0), (4, "q r s t", 0)]  # an id of two unrelated texts; 4 repeats one of them
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ int")
+    want = Counter([(1, a), (2, b), (None, c), (None, d), (3, "q r s t"), (3, "u v w x")])
+    for n in (1, 5):
+        got = simhash.keep_one_row(df.repartition(n)).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == want
+        staged = corpus_pipeline.near_duplicates(spark, df.repartition(n), SF_SMALL)
+        assert staged.columns == df.columns and sorted(staged.collect(), key=str) == sorted(got, key=str)
+    # an id of two unrelated texts, one near a smaller id: only that row goes
+    df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_one_row(df).collect()} == {(1, a), (2, b)}
+    # several texts of the least id in one group
+    near = [" ".join(["w%d" % i for i in range(300)] + [x]) for x in ("y", "z")]
+    df = spark.createDataFrame([(7, near[0]), (7, near[1]), (8, near[1])], "doc_id long, text string")
+    if len(set(brute_components({i: brute_code(t) for i, t in enumerate(near)}).values())) == 1:
+        got = [[tuple(r) for r in simhash.keep_one_row(df.repartition(n)).collect()] for n in (1, 3)]
+        assert got[0] == got[1] and len(got[0]) == 1 and got[0][0][0] == 7
+    assert simhash.keep_one_row(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     random.Random(0).shuffle(path)

@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for t in texts:
             yield pd.Series([fingerprint(x, shingle) for x in t], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(whole_text(text_col)).alias("code"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("digest"), of(whole_text(text_col)).alias("code"))
 
 
 def links(codes: DataFrame, radius: int = 3, bucket_rows: int = 2048) -> DataFrame:
@@ -184,6 +184,18 @@ def links(codes: DataFrame, radius: int = 3, bucket_rows: int = 2048) -> DataFra
     return buckets.repartition(*key).sortWithinPartitions(*key).mapInPandas(join, "a bigint, b bigint")
 
 
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """``code, root, component_id`` of every distinct ``code``: the component's least code, and its least doc_id."""
+    codes = materialize(rows.groupBy("code").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    stars = connected_components(links(codes.select("code"), radius))
+    members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    reached = members.join(codes, F.col("node") == F.col("code")).select("node", "root", "least")
+    best = reached.groupBy("root").agg(F.min("least").alias("best"))
+    grouped = materialize(reached.join(best, "root").select("node", "root", "best"), "simhash-groups")
+    return codes.join(small(grouped), F.col("code") == F.col("node"), "left").select(
+        "code", F.coalesce("root", "code").alias("root"), F.coalesce("best", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -191,14 +203,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_co
     fingerprint 0, linked like any other; a text of fewer words than a shingle is one shingle. Rows that
     repeat an id stay rows; a null id is never the least. An empty table gives an empty result.
     """
-    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-codes")
-    codes = materialize(rows.groupBy("code").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    stars = connected_components(links(codes.select("code"), radius))
-    members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    reached = members.join(codes, F.col("node") == F.col("code")).select("node", "root", "least")
-    best = reached.groupBy("root").agg(F.min("least").alias("best"))
-    grouped = materialize(reached.join(best, "root").select("node", "best"), "simhash-groups")
-    named = codes.join(small(grouped), F.col("code") == F.col("node"), "left").select("code", F.coalesce("best", "least").alias("component_id"))
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col).drop("digest"), "simhash-codes")
+    named = _components(rows, radius).drop("root")
     return rows.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -221,3 +227,34 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
         return kept
     repeated, same = small(again, n_again), docs["doc_id"].eqNullSafe(F.col(mine))
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def keep_one_row(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every group of near-duplicates; a row that is near no other always stays.
+
+    Decided by row, not by id: of a group the row of the least id stays (null ids last), of several texts of that
+    id the one of the least hash, of rows that repeat id and text the one whose columns hash least. Unrelated
+    rows that share an id, null ids too, are groups of their own.
+    """
+    other_id, other_digest, mine, order = (fresh(docs, c) for c in ("id_", "digest_", "mine_", "order_"))
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-codes")
+    found = materialize(rows.join(_components(rows, radius), "code").select("doc_id", "digest", "root", "component_id"), "simhash-found")
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # the groups in which more than one row has the least id
+    several = found.filter(leads).groupBy(F.col("root").alias("several")).agg(F.min("digest").alias("first"), F.count("*").alias("n"))
+    several = materialize(several.filter("n > 1").drop("n"), "simhash-several")
+    leaders = found.filter(leads).join(small(several), F.col("root") == F.col("several"))
+    key = [F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest)]
+    gone = found.filter(~leads).select(*key).unionByName(leaders.filter("digest != first").select(*key)).distinct()
+    again = leaders.filter("digest = first").groupBy(*key).count().filter("count > 1").drop("count")
+    gone, again = materialize(gone, "simhash-gone"), materialize(again, "simhash-again")
+    same = F.col(id_col).eqNullSafe(F.col(other_id)) & (F.xxhash64(whole_text(text_col)) == F.col(other_digest))
+    kept = docs.join(small(gone), same, "left_anti")
+    n_again = again.count()
+    if not n_again:
+        return kept
+    repeated = small(again, n_again)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.join(repeated, same, "left_semi").select(row.alias(mine), F.xxhash64(F.to_json(row)).alias(order))
+    one = one.groupBy(F.col(f"{mine}.{id_col}"), F.xxhash64(whole_text(f"{mine}.{text_col}"))).agg(F.min_by(mine, order).alias(mine))
+    return kept.join(repeated, same, "left_anti").unionByName(one.select(f"{mine}.*"))
