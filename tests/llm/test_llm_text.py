@@ -42,6 +42,31 @@ def test_links_and_stop_words_decide_outside_articles():
     assert [html.classify(b, html.Rules()) for b in html.blocks(linked + names)] == [html.BAD, html.AMBIGUOUS]
 
 
+PROSE = ("This is a long paragraph of the text and it has all the words that are in such a text of a page, so that it is for the rules to say "
+         "what it is; they have its length and the share of the words that are in the list, and the links that it has.")
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body class='home has-sidebar search'><article><p>One.</p><p>{PROSE}</p></article></body>", f"One.\n{PROSE}"),
+    (f"<body class=search><div><p>{PROSE}</p></div></body>", PROSE),
+    (f"<div class='content no-sidebar'><p>{PROSE}</p></div>", PROSE),
+    ("<article class='post category-search tag-social'><p>One.</p></article>", "One."),
+    ("<article class='post social'><p>One.</p></article>", "One."),
+    ("<main role=form class=dialog><p>One.</p></main>", "One."),
+    # what holds an article is not marked, also before it
+    ("<div class=search><h1>Title</h1><article><p>One.</p></article><p>Two.</p></div>", "Title\nOne.\nTwo."),
+    # readers' comments are no articles of the page
+    ("<article><p>One.</p></article><div class=comments><article class=comment><p>Me too.</p></article></div>", "One."),
+    ("<article><p>One.</p><article class=comment><p>Me too.</p></article></article>", "One."),
+    # the block rules decide inside marked elements
+    (f"<div class=related><p>{PROSE}</p><p>Short one.</p></div>", PROSE),
+    (f"<div class=related><p><a href=x>{PROSE}</a></p></div><article>One.</article>", "One."),
+    ("<div id=site-footer><p>All of it is ours.</p></div><article>One.<div class=ad-slot-300x250>buy</div></article>", "One."),
+])
+def test_words_of_a_class_mark_no_article(page, text):
+    assert html.main_text(page)[0] == text
+
+
 def test_extract_html_edges(spark):
     rows = [(1, None, "keep"), (2, "", "keep"), (3, "<article><p>x é</p></article>", "keep"), (3, "<article><p>x é</p></article>", "keep")]
     df = spark.createDataFrame(rows, "page_id long, html string, extracted_ string").withColumn("text", F.lit("old"))

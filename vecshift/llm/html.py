@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass classifies each by where it stands (menu,
 advert, form, article and the like, from tag names and the words of class, id and role), by its share of
 link text, its length and its share of stop words; short blocks and blocks with few stop words outside an
-article stay ambiguous. In the second pass an ambiguous block takes the class of its nearest decided
+article stay ambiguous. Words of class, id and role never mark the page, its articles or what holds them, and
+in what they mark a long block that is rich in stop words and poor in links is good. In the second pass an ambiguous block takes the class of its nearest decided
 neighbour. The text of the good blocks is the page's text.
 """
 
@@ -47,6 +48,11 @@ MARKS = frozenset("ad ads adbox adslot adunit adsense advert advertisement adver
                   "comment comments disqus discussion reply replies respond responses toolbar pagination pager copyright legal disclaimer skip paywall contentinfo "
                   "complementary dialog form".split())
 HEADER_MARKS = frozenset(("header", "topbar", "top"))
+#: Words beside a mark in one class token that leave it a mark (site-footer, ad-slot); any other does not (has-sidebar, tag-social).
+BESIDE = frozenset("area bar block blocks body bottom box btn button buttons container content global icon icons inner item items left link links list main "
+                   "outer page panel post posts primary right row secondary section site slot title top unit wrap wrapper".split())
+#: Marks of readers' comments, which are often articles of their own.
+COMMENTS = frozenset("comment comments disqus discussion reply replies respond responses".split())
 #: Function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = frozenset(
     "a an and are as at be been but by can for from had has have he her his i if in is it its not of on or she so that the their "
@@ -61,11 +67,14 @@ GOOD, BAD, AMBIGUOUS = 1, 0, None
 
 @dataclass
 class Rules:
-    """Limits of the first pass: link share of a bad block, length in characters and stop-word share of a good one."""
+    """Limits of the first pass: link share of a bad block, length in characters and stop-word share of a good one;
+    the last two also for blocks in an element that a class, id or role marks."""
 
     link_share: float = 0.4
     length: int = 70
     stop_share: float = 0.15
+    marked_length: int = 200
+    marked_stop_share: float = 0.3
 
 
 @dataclass
@@ -75,28 +84,48 @@ class Block:
     marked: bool
     in_article: bool
     heading: bool
+    wrapped: bool = False
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
+class Wrap:
+    """An element marked by the words of its class, id or role, and the one around it; an article inside lifts the mark."""
+
+    __slots__ = ("comments", "lifted", "around")
+
+    def __init__(self, comments: bool, around: Wrap | None) -> None:
+        self.comments, self.lifted, self.around = comments, False, around
+
+
+def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+    return tag in DROPPED or (tag == "header" and not in_article) or bool(attributes and HIDDEN.search(attributes))
+
+
+def _marks(attributes: str, in_article: bool) -> set[str]:
+    """The marks among the whole tokens of class, id and role."""
+    out: set[str] = set()
     for _, value in ATTRIBUTE.findall(attributes):
-        found = set(SPLIT.split(value.lower()))
-        if found & MARKS or (not in_article and found & HEADER_MARKS):
-            return True
-    return False
+        for token in value.lower().strip("\"'").split():
+            pieces = [w for w in SPLIT.split(token) if len(w) > 1]
+            found = {w for w in pieces if w in MARKS or (not in_article and w in HEADER_MARKS)}
+            if found and all(w in found or w in BESIDE for w in pieces):
+                out |= found
+    return out
+
+
+def _wrapped(wrap: Wrap | None) -> bool:
+    while wrap is not None and wrap.lifted:
+        wrap = wrap.around
+    return wrap is not None
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that have text, in page order, with references decoded and blanks collapsed."""
     out: list[Block] = []
-    # tag, what it is in (0: nothing marked, 1: something marked, 2: something marked inside a line), in an article, in a link
-    stack: list[tuple[str, int, bool, bool]] = []
-    parts: list[tuple[str, bool, bool, bool]] = []
+    wraps: list[Wrap | None] = []
+    # tag, what it is in (0: nothing left out, 1: something left out, 2: the same inside a line, 3: something marked inside a line),
+    # in an article, in a link, the innermost marked element
+    stack: list[tuple[str, int, bool, bool, Wrap | None]] = []
+    parts: list[tuple[str, bool, bool, bool, Wrap | None]] = []
     heading = False
 
     def end_block() -> None:
@@ -104,20 +133,21 @@ def blocks(html: str) -> list[Block]:
             text = " ".join("".join(t for t, *_ in parts).split())
             if text:
                 linked = len(" ".join("".join(t for t, a, *_ in parts if a).split()))
-                _, _, marked, in_article = next(x for x in parts if x[0].strip())
+                _, _, marked, in_article, wrap = next(x for x in parts if x[0].strip())
                 out.append(Block(text, linked, marked, in_article, heading))
+                wraps.append(wrap)
             parts.clear()
 
     def pop_to(at: int) -> None:
         outside = bool(at) and stack[at - 1][1] == 1
-        if any(t in BLOCKS or (m == 1) != outside for t, m, _, _ in stack[at:]):
+        if any(t in BLOCKS or (m == 1) != outside for t, m, *_ in stack[at:]):
             end_block()
         del stack[at:]
 
     def add(text: str) -> None:
-        _, marked, in_article, link = stack[-1] if stack else ("", 0, False, False)
-        if text and marked != 2:
-            parts.append((unescape(text), link, marked == 1, in_article))
+        _, marked, in_article, link, wrap = stack[-1] if stack else ("", 0, False, False, None)
+        if text and marked < 2:
+            parts.append((unescape(text), link, marked == 1, in_article, wrap))
 
     at = 0
     while True:
@@ -158,10 +188,24 @@ def blocks(html: str) -> list[Block]:
             add(" ")
         if tag in VOID:
             continue
-        _, marked, in_article, link = stack[-1] if stack else ("", 0, False, False)
-        now = marked
-        if not marked and _marked(tag, m[3] or "", in_article):
-            now = 1 if tag in BLOCKS else 2  # inside a line its text is left out and the line goes on
+        _, marked, in_article, link, wrap = stack[-1] if stack else ("", 0, False, False, None)
+        now, attributes = marked, m[3] or ""
+        if marked in (0, 3):
+            if _left_out(tag, attributes, in_article):
+                now = 1 if tag in BLOCKS else 2  # inside a line its text is left out and the line goes on
+            else:
+                now = 0 if tag in BLOCKS else marked
+                found = _marks(attributes, in_article) if attributes and tag not in ("html", "body", "main") else ()
+                # an article in an article is marked like any element; of the others only one of comments is
+                own = tag == "article" and not any(x[0] == "article" for x in stack)
+                if found and (not own or found & COMMENTS):
+                    wrap = Wrap(not found.isdisjoint(COMMENTS), wrap)
+                    now = 0 if tag in BLOCKS else 3
+                if tag == "main" or own:
+                    around = wrap
+                    while around is not None:
+                        around.lifted |= tag == "main" or not around.comments
+                        around = around.around
         elif marked == 2 and tag in BLOCKS:
             now = 1
         if tag in RAW:
@@ -170,11 +214,18 @@ def blocks(html: str) -> list[Block]:
             continue
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
-        stack.append((tag, now, in_article or tag in ("article", "main"), link or tag == "a"))
+        stack.append((tag, now, in_article or tag in ("article", "main"), link or tag == "a", wrap))
     end_block()
+    for b, wrap in zip(out, wraps):
+        b.wrapped = _wrapped(wrap)
     return out
 
 
+def _stop_share(text: str) -> float:
+    found = text.lower().split()
+    return sum(w.strip(punctuation) in STOP_WORDS for w in found) / len(found)
+
+
 def classify(block: Block, rules: Rules) -> int | None:
     """First pass."""
     if block.marked:
@@ -182,13 +233,13 @@ def classify(block: Block, rules: Rules) -> int | None:
     n = len(block.text)
     if block.linked > rules.link_share * n and not (block.in_article and block.heading):
         return BAD
+    if block.wrapped:
+        return GOOD if n >= rules.marked_length and _stop_share(block.text) >= rules.marked_stop_share else BAD
     if block.in_article:
         return GOOD
     if block.heading or n < rules.length:
         return AMBIGUOUS
-    found = block.text.lower().split()
-    stops = sum(w.strip(punctuation) in STOP_WORDS for w in found)
-    return GOOD if stops >= rules.stop_share * len(found) else AMBIGUOUS
+    return GOOD if _stop_share(block.text) >= rules.stop_share else AMBIGUOUS
 
 
 def inherit(classes: list[int | None], headings: list[bool]) -> list[int]:
