@@ -67,6 +67,27 @@ def test_words_of_a_class_mark_no_article(page, text):
     assert html.main_text(page)[0] == text
 
 
+@pytest.mark.parametrize("text", [
+    "Il governo italiano presenta oggi una proposta nuova: secondo gli esperti, questa riforma cambia molto nella vita quotidiana degli abitanti.",
+    "De regering heeft vandaag nieuwe maatregelen gepresenteerd waarmee gemeenten volgend jaar hun begroting kunnen aanpassen.",
+    "Правительство сегодня представило новый проект бюджета, который предусматривает увеличение расходов на образование и науку.",
+    "政府今天公布了新的预算方案，计划在明年增加教育和科学研究方面的支出，并减少行政费用。",
+    " ".join(f"Name{i} Place{i}" for i in range(20)), "x1 = load(path); y1 = solve(x1, steps=10); assert len(y1) == 10, repr(y1); save(y1, path)",
+])
+def test_long_blocks_of_any_language_need_no_article(text):
+    page = f"<body><nav><a href=a>Home</a></nav><div><p>{text}</p><p>{text}</p></div><footer>x</footer></body>"
+    assert html.main_text(page)[0] == f"{text}\n{text}"
+    few = f"<body><nav>Home</nav><p>{text[:8]}</p><p>{text} <a href=x>{text[:len(text) // 2]}</a></p><footer>x</footer></body>"
+    assert html.main_text(few)[0] == ""  # short, or a third of links: as their neighbours
+
+
+def test_stop_words_are_a_rule():
+    text = "questo è il testo della pagina che non ha parole di altre lingue e che per questo è da tenere"
+    block = html.blocks(f"<div>{text}</div>")[0]
+    assert html.classify(block, html.Rules()) is html.AMBIGUOUS
+    assert html.classify(block, html.Rules(stop_words=frozenset("questo è il della che non di e per da".split()))) == html.GOOD
+
+
 def test_extract_html_edges(spark):
     rows = [(1, None, "keep"), (2, "", "keep"), (3, "<article><p>x é</p></article>", "keep"), (3, "<article><p>x é</p></article>", "keep")]
     df = spark.createDataFrame(rows, "page_id long, html string, extracted_ string").withColumn("text", F.lit("old"))

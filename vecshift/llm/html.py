@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each by where it stands (menu,
 advert, form, article and the like, from tag names and the words of class, id and role), by its share of
-link text, its length and its share of stop words; short blocks and blocks with few stop words outside an
-article stay ambiguous. Words of class, id and role never mark the page, its articles or what holds them, and
+link text, its length and its share of stop words; a long block with few stop words is good if it is poor in
+links, whatever its language; short blocks outside an article stay ambiguous. Words of class, id and role never mark the page, its articles or what holds them, and
 in what they mark a long block that is rich in stop words and poor in links is good. In the second pass an ambiguous block takes the class of its nearest decided
 neighbour. The text of the good blocks is the page's text.
 """
@@ -53,7 +53,9 @@ BESIDE = frozenset("area bar block blocks body bottom box btn button buttons con
                    "outer page panel post posts primary right row secondary section site slot title top unit wrap wrapper".split())
 #: Marks of readers' comments, which are often articles of their own.
 COMMENTS = frozenset("comment comments disqus discussion reply replies respond responses".split())
-#: Function words of English, French, German and Spanish (fixed values).
+#: Letters of scripts that write a word in one or two of them, without blanks between words.
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Function words of English, French, German and Spanish: the default of ``Rules.stop_words``.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by can for from had has have he her his i if in is it its not of on or she so that the their "
     "they this to was we were which will with would you "
@@ -68,13 +70,15 @@ GOOD, BAD, AMBIGUOUS = 1, 0, None
 @dataclass
 class Rules:
     """Limits of the first pass: link share of a bad block, length in characters and stop-word share of a good one;
-    the last two also for blocks in an element that a class, id or role marks."""
+    the marked ones are for blocks in an element that a class, id or role marks. Stop words are those of the pages'
+    languages; blocks in others are decided by length and link share."""
 
     link_share: float = 0.4
     length: int = 70
     stop_share: float = 0.15
     marked_length: int = 200
     marked_stop_share: float = 0.3
+    stop_words: frozenset[str] = STOP_WORDS
 
 
 @dataclass
@@ -221,25 +225,40 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def _stop_share(text: str) -> float:
+def _stop_share(text: str, stop_words: frozenset[str]) -> float:
     found = text.lower().split()
-    return sum(w.strip(punctuation) in STOP_WORDS for w in found) / len(found)
+    return sum(w.strip(punctuation) in stop_words for w in found) / len(found)
+
+
+def _length(text: str) -> int:
+    """Characters; a letter that stands for about half a word counts three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
 
 
 def classify(block: Block, rules: Rules) -> int | None:
-    """First pass."""
+    """First pass, of a block by itself."""
     if block.marked:
         return BAD
     n = len(block.text)
     if block.linked > rules.link_share * n and not (block.in_article and block.heading):
         return BAD
     if block.wrapped:
-        return GOOD if n >= rules.marked_length and _stop_share(block.text) >= rules.marked_stop_share else BAD
+        return GOOD if n >= rules.marked_length and _stop_share(block.text, rules.stop_words) >= rules.marked_stop_share else BAD
     if block.in_article:
         return GOOD
-    if block.heading or n < rules.length:
+    if block.heading or _length(block.text) < rules.length:
         return AMBIGUOUS
-    return GOOD if _stop_share(block.text) >= rules.stop_share else AMBIGUOUS
+    return GOOD if _stop_share(block.text, rules.stop_words) >= rules.stop_share else AMBIGUOUS
+
+
+def first_pass(found: list[Block], rules: Rules) -> list[int | None]:
+    """The classes of a page's blocks. A long block that has few stop words (another language, a table, code, names)
+    is good if it is poor in links, at most half the link share of a bad block; only other blocks may inherit."""
+    out = [classify(b, rules) for b in found]
+    for i, b in enumerate(found):
+        if out[i] is AMBIGUOUS and not b.heading and b.linked <= rules.link_share / 2 * len(b.text) and _length(b.text) >= rules.length:
+            out[i] = GOOD
+    return out
 
 
 def inherit(classes: list[int | None], headings: list[bool]) -> list[int]:
@@ -265,7 +284,7 @@ def inherit(classes: list[int | None], headings: list[bool]) -> list[int]:
 def main_text(html: str, rules: Rules = Rules()) -> tuple[str, int, int]:
     """The text of the good blocks joined by line ends, the number of good blocks and of all."""
     found = blocks(html)
-    kept = inherit([classify(b, rules) for b in found], [b.heading for b in found])
+    kept = inherit(first_pass(found, rules), [b.heading for b in found])
     good = [b.text for b, k in zip(found, kept) if k]
     return "\n".join(good), len(good), len(found)
 
