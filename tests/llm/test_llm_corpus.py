@@ -167,6 +167,23 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_every_text_of_an_item_is_searched_for_whatever_its_id(spark):
+    draw = random.Random(2)
+    text = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    items = [(None, text(30)), (None, text(30)), (None, text(3))] + [(1, text(40)) for _ in range(6)] + [(2, text(12)), (3, None)]
+    items += [(4, items[-2][1]), (None, items[-2][1])]  # a text of three ids
+    docs = [(d, f"{text(20)} {t or ''} {text(20)}") for d, (_, t) in enumerate(items)] + [(50, text(60)), (None, items[0][1])]
+    docs.append((51, f"{items[3][1]} {text(5)} {items[8][1]}"))  # two texts of an id in one document
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(df, bench).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    want = brute_leaks(docs, items)
+    assert len(found) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {r.doc_id for r in decontaminate.remove_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert [(r.start_word, r.n_words) for r in found if r.doc_id == 51] == [(0, 40)]
+
+
 def test_blocks_meet_every_code_within_the_radius():
     draw = random.Random(0)
     patterns = set(decontaminate._variants(20 // decontaminate.BLOCKS))

@@ -64,13 +64,17 @@ def _variants(bits: int) -> list[int]:
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``item_id, n, k, m, hs``: words, shingle length, number of shingles and their hashes. Items without a word are left out."""
+    """``item_id, item, n, k, m, hs``: key of the words, their number, shingle length, number of shingles and their hashes.
+
+    ``item`` depends on the text only, so an id (null too) may have several texts and a text several ids. Items
+    without a word are left out.
+    """
     rows = benchmark.select(F.col(id_col).alias("item_id"), _word_hashes(whole_text(text_col)).alias("w")).filter(F.size("w") > 0)
     rows = rows.withColumn("n", F.size("w")).withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
     hs = F.lit(None).cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         hs = F.when(F.col("k") == k, _shingles(F.col("w"), k)).otherwise(hs)
-    return rows.select("item_id", "n", "k", (F.col("n") - F.col("k") + 1).alias("m"), hs.alias("hs")).distinct()
+    return rows.select("item_id", F.xxhash64("w").alias("item"), "n", "k", (F.col("n") - F.col("k") + 1).alias("m"), hs.alias("hs")).distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -80,10 +84,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     ``digest`` hashes the text; rows that repeat an id and a text are one. Words are lower-cased and split at
     ASCII white space. An item of fewer than five words is one shingle, as is a window of its length; a text
     shorter than the item is one window. Null and empty texts and items leak nothing. Ties go to the first window.
+    Every distinct text of an item is searched for by itself; an ``item_id`` of several texts (null is one) gets the
+    best window of any.
     """
-    items = materialize(benchmark_items(benchmark, item_col, item_text_col), "leak-items")
+    named = materialize(benchmark_items(benchmark, item_col, item_text_col), "leak-named")
+    items = materialize(named.dropDuplicates(["item"]).drop("item_id"), "leak-items")
     ks = [r["k"] for r in items.select("k").distinct().collect()]  # at most five numbers
-    places = materialize(items.select("k", F.explode("hs").alias("h"), "item_id", "n", "m").distinct(), "leak-places")
+    places = materialize(items.select("k", F.explode("hs").alias("h"), "item", "n", "m").distinct(), "leak-places")
     n_places = places.count()
     text = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text_"))
     hashed = text.select("doc_id", F.xxhash64("text_").alias("digest"), _word_hashes(F.col("text_")).alias("w"))
@@ -91,12 +98,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     for k in ks:
         # the scan: one hash a word, looked up among the items' hashes
         runs = hashed.select("doc_id", "digest", F.size("w").alias("n_doc"), F.posexplode(_shingles(F.col("w"), k)).alias("p", "h"))
-        mine = runs.join(small(places.filter(F.col("k") == k), n_places), "h").select("doc_id", "digest", "n_doc", "k", "item_id", "n", "m", "p")
+        mine = runs.join(small(places.filter(F.col("k") == k), n_places), "h").select("doc_id", "digest", "n_doc", "k", "item", "n", "m", "p")
         found = mine if found is None else found.unionByName(mine)
     if found is None:  # no item has a word
-        empty = text.limit(0).select("doc_id", F.lit(0).cast("long").alias("digest"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+        empty = text.limit(0).select("doc_id", F.lit(0).cast("long").alias("digest"), F.lit(None).cast(named.schema["item_id"].dataType).alias("item_id"))
         return empty.withColumns({"start_word": F.lit(0), "n_words": F.lit(0), "similarity": F.lit(0.0)})
-    by_item = found.groupBy("doc_id", "digest", "n_doc", "k", "item_id", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    by_item = found.groupBy("doc_id", "digest", "n_doc", "k", "item", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("at"))
     # shared shingles that a window (of m2 <= m shingles) needs: s / (1 + s) of both together
     span = F.least(F.col("m"), F.col("n_doc") - F.col("k") + 1)
     need = F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + span) - 1e-9).cast("int"), F.lit(1))
@@ -117,30 +124,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     shingled = materialize(shingled, "leak-shingles")
     one = shingled.select(*window, F.explode("hs").alias("h"))
     codes = materialize(simhash(one, window), "leak-codes")
-    item_codes = simhash(items.select("item_id", "n", "k", F.explode("hs").alias("h")), ["item_id", "n", "k"])
+    item_codes = simhash(items.select("item", "n", "k", F.explode("hs").alias("h")), ["item", "n", "k"])
     # every item under each block and every pattern within its share of the radius
     variants = F.array(*map(F.lit, _variants(min(radius // BLOCKS, BLOCK_BITS))))
     blocks = lambda: F.posexplode(F.array(*(_block(F.col("code"), b) for b in range(BLOCKS)))).alias("b", "v")
-    filed = item_codes.select("item_id", "n", "k", F.col("code").alias("item_code"), blocks())
-    filed = filed.select("item_id", "n", "k", "item_code", "b", F.explode(F.transform(variants, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    filed = item_codes.select("item", "n", "k", F.col("code").alias("item_code"), blocks())
+    filed = filed.select("item", "n", "k", "item_code", "b", F.explode(F.transform(variants, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
     filed = materialize(filed, "leak-index")
     met = codes.select(*window, "code", blocks()).join(small(filed), ["n", "k", "b", "v"])
-    near = met.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius).select(*window, "item_id").distinct()
+    near = met.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius).select(*window, "item").distinct()
     near = materialize(near, "leak-near")
     # exact weighted similarity
-    weights = items.select("item_id", "m", F.explode("hs").alias("h")).groupBy("item_id", "m", "h").agg(F.count("*").alias("c"))
-    mine = one.join(small(near.select(*(F.col(c).alias(f"{c}_") for c in window), "item_id")),
+    weights = items.select("item", "m", F.explode("hs").alias("h")).groupBy("item", "m", "h").agg(F.count("*").alias("c"))
+    mine = one.join(small(near.select(*(F.col(c).alias(f"{c}_") for c in window), "item")),
                     F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("digest") == F.col("digest_")) & (F.col("k") == F.col("k_"))
                     & (F.col("n") == F.col("n_")) & (F.col("start") == F.col("start_")))
-    mine = mine.groupBy(*window, "item_id", "h").agg(F.count("*").alias("d"))
+    mine = mine.groupBy(*window, "item", "h").agg(F.count("*").alias("d"))
     sizes = shingled.select(*window, F.size("hs").alias("m2"))
-    both = mine.join(weights, ["item_id", "h"]).groupBy(*window, "item_id", "m").agg(F.sum(F.least("c", "d")).alias("shared"))
+    both = mine.join(weights, ["item", "h"]).groupBy(*window, "item", "m").agg(F.sum(F.least("c", "d")).alias("shared"))
     exact = both.join(sizes.select(*(F.col(c).alias(f"{c}_") for c in window), "m2"),
                       F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("digest") == F.col("digest_")) & (F.col("k") == F.col("k_"))
                       & (F.col("n") == F.col("n_")) & (F.col("start") == F.col("start_")))
     exact = exact.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("m2") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.col("m2") + F.col("k") - 1).alias("n_words"))).alias("best")
-    return exact.groupBy("doc_id", "digest", "item_id").agg(best).select(
+    # the ids of the texts come back last
+    found = materialize(exact.groupBy("doc_id", "digest", "item").agg(best), "leak-best")
+    ids = materialize(named.select("item", "item_id").distinct(), "leak-ids")
+    return found.join(small(ids), "item").groupBy("doc_id", "digest", "item_id").agg(F.max("best").alias("best")).select(
         "doc_id", "digest", "item_id", (-F.col("best.s")).alias("start_word"), "best.n_words", "best.similarity")
 
 
