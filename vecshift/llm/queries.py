@@ -81,6 +81,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import corpus_variants
+    found = corpus_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
 #: Every window that begins at a shared shingle or ends with its text, against every item: the result without fingerprints.
@@ -142,3 +161,101 @@ SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM t LEFT JOIN r USING (doc_id)
 """.strip()
+
+SMALL_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every phrase of one to three words, counted by its text.
+ORACLE["op11_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({SMALL_SQL}, '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(list_slice(w, j, j + k - 1), ' '))) AS phrase
+        FROM w, (SELECT unnest(range(1, 4)) AS k) WHERE len(w) >= k)
+  GROUP BY ALL
+),
+d AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+u AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS first, array_to_string(list_slice(w, cut + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM d)
+),
+s AS (
+  SELECT u.lang, u.phrase, u.a, cut, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM u JOIN c x ON x.lang = u.lang AND x.phrase = u.first JOIN c y ON y.lang = u.lang AND y.phrase = u.rest
+),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS part FROM d WHERE k = 3)
+  GROUP BY lang, part
+)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS BIGINT) AS rank,
+       b.phrase, b.a, b.l, b.r, t.n, b.score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase
+WHERE i.a IS NULL OR 100 * i.a < 50 * b.a
+QUALIFY rank <= 2000
+""".strip()
+
+#: CRC-32 by its table of 256 steps; near words by words with one character left out or masked.
+ORACLE["op12_spelling_variants"] = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+),
+o AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(string_split_regex({SMALL_SQL}, '[^A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+),
+y AS (
+  SELECT run, c, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+         ELSE [(192 + unicode(x) // 64)::BIGINT, (128 + unicode(x) % 64)::BIGINT] END)) AS bytes
+  FROM o
+),
+h AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, b: xor(s >> 8, tab[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM y, tab
+),
+w AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+),
+g AS (
+  SELECT word, n, substr(word, 1, i::INT) || '*' || substr(word, i::INT + 2) AS masked, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS cut
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+),
+e AS (
+  SELECT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.cut
+  UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.cut
+),
+m AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS best_n FROM e GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.best_n >= 5 * w.n THEN m.best END AS form, CASE WHEN m.best_n >= 5 * w.n THEN m.best_n END AS form_n
+  FROM w LEFT JOIN m ON m.word = w.word
+),
+r AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+""".strip()
+
+#: Every pair of rows of one label.
+ORACLE["op13_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+""".strip()
