@@ -85,7 +85,7 @@ def test_counts_of_tiles_are_those_of_unique():
 
 def test_products_past_64_bits_stay_exact(spark):
     big = 7_000_000_000_003
-    levels = [collocations.Level(None, spark.createDataFrame([("en", "a", big + 2), ("en", "b", big + 10)], "lang string, phrase string, f bigint"), True, {})]
+    levels = [collocations.Level(None, spark.createDataFrame([("en", "a", big + 2), ("en", "b", big + 10)], "lang string, phrase string, f bigint"), {}, None)]
     found = collocations.scored(spark.createDataFrame([("en", "a b", big)], "lang string, phrase string, f bigint"), levels).first()
     assert found["score"] == 1000000 * big * big // ((big + 2) * (big + 10))
 
@@ -95,6 +95,15 @@ def test_words_keep_their_pieces_over_slices():
     assert words.to_pylist() == ["aé", "b", "c", "d", "e"] and len(set(piece[:2])) == 1 and len(set(piece)) == 3 and piece[3] == piece[4]
 
 
+def test_filter_holds_all_that_went_in(spark):
+    phrases = [f"{a} x{a * b}" for a in range(60) for b in range(20)]
+    bits = collocations.phrase_filter(spark.createDataFrame([(p,) for p in phrases], "phrase string").repartition(3), 2)
+    words, _ = collocations.tokenise(pa.array(phrases))
+    assert collocations.holds(bits, collocations.phrase_hashes(collocations.hashes(words), 2)[::2]).all()
+    other, _ = collocations.tokenise(pa.array([f"y{i} z" for i in range(5_000)]))
+    assert collocations.holds(bits, collocations.phrase_hashes(collocations.hashes(other), 2)[::2]).sum() < 50
+
+
 # ---------------------------------------------------------------- spelling
 def brute_counts(rows, length=6, least=5):
     seen = Counter()

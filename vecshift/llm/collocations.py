@@ -9,7 +9,8 @@ rank and its last word; longer ones go on that way.
 
 What the tables of ids do not hold is counted exactly by its text in the same job: phrases with a frequent word (or
 beginning with a frequent phrase) outside the first ``HEAD``, or with a word of over ``LONGEST`` bytes. A phrase with a part that is not
-frequent can't be frequent; where a table holds all frequent phrases of its length, such phrases are passed over.
+frequent can't be frequent and is passed over: parts are looked up in the tables of ids and, for what is outside of them, in a Bloom
+filter of fixed size, whose false hits cost a count and change nothing.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ HEAD_BITS, LONGEST = 18, 64
 HEAD = 1 << HEAD_BITS
 SIDE_BITS = 10
 #: Addresses counted at a time, and the share of a tile's cells from which its addresses are dense.
-BUFFER, DENSE = 1 << 22, 1 / 32
+BUFFER, DENSE = 1 << 20, 1 / 32
 #: Bytes of text taken at a time.
-TEXT_BYTES = 1 << 24
+TEXT_BYTES = 1 << 22
+#: Bits of a Bloom filter.
+FILTER_BITS = 25
 # the kinds of bytes: of words, blanks, ends of pieces
 WORD, BLANK, END = 0, 1, 2
 KINDS = np.zeros(256, np.uint8)
@@ -49,21 +52,93 @@ def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
     kind = KINDS[data]
-    ends = kind == END
-    begins = np.zeros(len(data) + 1, bool)
-    begins[at - at[0]] = True  # of texts
-    begins = begins[:-1]
+    breaks = kind == END
+    first = at[:-1][at[:-1] < at[-1]] - at[0]  # of each text
     letter = kind == WORD
-    starts = letter & (begins | ~np.concatenate(([False], letter[:-1])))
-    first = np.flatnonzero(starts)
-    piece = np.cumsum(ends | begins, dtype=np.int64)[first]
-    offsets = np.append(np.cumsum(letter, dtype=np.int64)[first] - 1, np.count_nonzero(letter))
-    words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(SMALL[data[letter]]))
+    starts = letter.copy()
+    starts[1:] &= ~letter[:-1]
+    starts[first] = letter[first]
+    stops = letter.copy()
+    stops[:-1] &= ~letter[1:]
+    stops[first[1:] - 1] = letter[first[1:] - 1]
+    breaks[first] = True
+    starts = np.flatnonzero(starts)
+    piece = np.searchsorted(np.flatnonzero(breaks), starts, side="right")
+    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(stops) + 1 - starts)))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(SMALL[data[letter]]))
     return words, piece
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit number for each word: a polynomial of its bytes, mixed."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[:at[-1] if len(at) else 0].astype(np.uint64)
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.full(len(data) + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:-1])))
+    return mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a filter that stand for a number."""
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return (h & low).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def phrase_hashes(one: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the phrases of ``size`` words, one begun at each word, from those of the words."""
+    out = one
+    for k in range(1, size):
+        out = mix(out[:-1] * np.uint64(3) + one[k:])
+    return out
+
+
+def filter_bits(size: int):
+    """Bits of the phrases of ``size`` words in ``phrase``, as rows ``slot, mask``."""
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, piece = tokenise(batch["phrase"])
+            if len(words):
+                begin = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))  # each phrase is a text of one piece
+                bit = np.concatenate(places(phrase_hashes(hashes(words), size)[begin]))
+                yield pa.record_batch({"slot": pa.array(bit >> 6), "mask": pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))})
+
+    return bits
+
+
+def phrase_filter(phrases: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of ``phrases``, 64 bits a number; the driver gets at most 2 ** FILTER_BITS bits."""
+    found = phrases.select("phrase").mapInArrow(filter_bits(size), "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    found = found.toPandas()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    return bits
+
+
+def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for bit in places(h):
+        out &= (bits[bit >> 6] >> (bit & 63) & 1).astype(bool)
+    return out
+
+
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """Texts of one language at a time, some megabytes of them together; at the end what is left of each."""
+    """Texts of one language at a time, some megabytes of them together."""
+    def slices(parts: list[pa.Array]) -> Iterator[pa.Array]:
+        texts = pa.concat_arrays(parts)
+        upto = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            done = upto[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, done + TEXT_BYTES, side="right")))
+            yield texts[at:stop]
+            at = stop
+
     held, size = defaultdict(list), 0
     for batch in batches:
         coded = pc.dictionary_encode(batch["lang"])
@@ -73,10 +148,10 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arr
         size += batch.nbytes
         if size >= TEXT_BYTES:
             for lang, parts in held.items():
-                yield lang, pa.concat_arrays(parts)
+                yield from ((lang, t) for t in slices(parts))
             held, size = defaultdict(list), 0
     for lang, parts in held.items():
-        yield lang, pa.concat_arrays(parts)
+        yield from ((lang, t) for t in slices(parts))
 
 
 def count_tiles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +181,14 @@ def count_tiles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Level:
-    """Frequent phrases of one length: ``counts`` (lang, phrase, f) all of them, ``head`` those with a rank; whether these are all."""
+    """Frequent phrases of one length: ``counts`` (lang, phrase, f) all of them, ``head`` those with a rank."""
 
     counts: DataFrame
     head: DataFrame
-    complete: bool
     #: Of each language: words in order of rank, or addresses in order and their ranks.
     table: dict
+    #: A filter of the frequent phrases without a rank; None if there is none.
+    others: np.ndarray | None
 
 
 def rows_of(lang: str, codes: np.ndarray | None, phrases: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
@@ -137,46 +213,41 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                           np.append(seen.field("counts").to_numpy(), len(words)))
 
 
-def addresses(words: pa.Array, piece: np.ndarray, tables: list, lang: str, complete: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Addresses of the phrases one longer than the last of ``tables``; where phrases begin that must be counted by text."""
-    size = len(tables) + 1
-    last = max(len(words) - size + 1, 0)
-    vocabulary = tables[0].get(lang)
+def addresses(words: pa.Array, piece: np.ndarray, known: list[tuple], lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Addresses of the phrases one longer than the last of ``known``; where phrases begin that must be counted by text."""
+    vocabulary = known[0][0].get(lang)
     if vocabulary is None:
         ids = np.full(len(words), -1, np.int64)
     else:
         ids = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy().astype(np.int64)
+    one = hashes(words) if any(others is not None for _, others in known) else None
     rank = ids
-    for k, table in enumerate(tables[1:], 2):
-        known = (rank[:-1] >= 0) & (ids[k - 1:] >= 0) & (piece[:len(piece) - k + 1] == piece[k - 1:])
-        code = np.where(known, rank[:-1] << HEAD_BITS | ids[k - 1:], -1)
+    for k, (table, _) in enumerate(known[1:], 2):
+        whole = (rank[:-1] >= 0) & (ids[k - 1:] >= 0) & (piece[:len(piece) - k + 1] == piece[k - 1:])
+        code = np.where(whole, rank[:-1] << HEAD_BITS | ids[k - 1:], -1)
         codes, ranks = table.get(lang, (np.zeros(1, np.int64), np.full(1, -1)))
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        rank = np.where(known & (codes[at] == code), ranks[at], -1)
-    whole = piece[:last] == piece[size - 1:]
-    begin, end = rank[:last], ids[size - 1:]
-    coded = whole & (begin >= 0) & (end >= 0)
-    by_text = whole & ~coded
-    if complete[0]:  # every word that matters has an id
-        for k in range(size):
-            by_text &= ids[k:k + last] >= 0
-    if complete[-1]:  # and so does every phrase one shorter
-        frequent = (begin >= 0) & (rank[1:1 + last] >= 0)
-        by_text &= frequent
-        coded &= frequent
-    return begin[coded] << HEAD_BITS | end[coded], np.flatnonzero(by_text)
-
-
-def count_phrases(tables: list, complete: list[bool]):
-    """A task's counts of the phrases one longer than the last of ``tables`` (a broadcast each)."""
+        rank = np.where(whole & (codes[at] == code), ranks[at], -1)
+    frequent = rank >= 0
+    if known[-1][1] is not None:
+        frequent |= holds(known[-1][1], phrase_hashes(one, len(known)))
+    size = len(known) + 1
+    able = frequent[:-1] & frequent[1:] & (piece[:len(piece) - size + 1] == piece[size - 1:])
+    begin, end = rank[:-1], ids[size - 1:]
+    coded = able & (begin >= 0) & (end >= 0)
+    return begin[coded] << HEAD_BITS | end[coded], np.flatnonzero(able & ~coded)
+
+
+def count_phrases(sent: list):
+    """A task's counts of the phrases one longer than the last of ``sent``: a broadcast of tables and filter for each length."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [t.value for t in tables]
+        known = [t.value for t in sent]
         held, size = defaultdict(list), 0
         for lang, texts in by_language(batches):
             words, piece = tokenise(texts)
             if len(words) <= len(known):
                 continue
-            codes, rest = addresses(words, piece, known, lang, complete)
+            codes, rest = addresses(words, piece, known, lang)
             if len(rest):
                 parts = [words.take(pa.array(rest + k)) for k in range(len(known) + 1)]
                 seen = pc.value_counts(pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())))
@@ -195,8 +266,8 @@ def count_phrases(tables: list, complete: list[bool]):
     return count
 
 
-def most_frequent(counts: DataFrame, name: str, fit: Column, most_ids: int) -> tuple[DataFrame, bool]:
-    """Up to ``most_ids`` of the rows that ``fit``, from a frequency on, with their ``rank`` in their language; whether these are all rows."""
+def most_frequent(counts: DataFrame, name: str, fit: Column, most_ids: int, size: int) -> tuple[DataFrame, np.ndarray | None]:
+    """Up to ``most_ids`` of the rows that ``fit``, from a frequency on, with their ``rank`` in their language; a filter of the other rows."""
     level = F.floor(F.log2("f") * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.count_if(fit).alias("fit")).collect()  # 8 for each doubling at most
     n, least = 0, None
@@ -205,10 +276,13 @@ def most_frequent(counts: DataFrame, name: str, fit: Column, most_ids: int) -> t
         if n > most_ids:
             break
         least = r["level"]
-    chosen = counts.filter(fit & (level >= (least if least is not None else 1 << 30)))
+    within = fit & (level >= (least if least is not None else 1 << 30))
+    chosen = counts.filter(within)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "phrase")) - 1
     head = materialize(chosen.withColumn("rank", rank.cast("long")), name)
-    return head, n <= most_ids and n == sum(r["n"] for r in levels)
+    if n <= most_ids and n == sum(r["n"] for r in levels):
+        return head, None
+    return head, phrase_filter(counts.filter(~within), size)
 
 
 def text_rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -222,14 +296,14 @@ def phrase_levels(texts: DataFrame, most_words: int, least: int, most_ids: int)
     counted = materialize(counted.filter(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
     totals = counted.filter("phrase is null").select("lang", F.col("f").alias("n"))
     words = counted.filter("phrase is not null")
-    head, complete = most_frequent(words, "words-head", F.octet_length("phrase") <= LONGEST, most_ids)
+    head, others = most_frequent(words, "words-head", F.octet_length("phrase") <= LONGEST, most_ids, 1)
     rows = head.select("lang", "rank", "phrase").toPandas().sort_values(["lang", "rank"])
     table = {lang: pa.array(part["phrase"], pa.large_string()) for lang, part in rows.groupby("lang")}
-    levels, sent, found = [Level(words, head, complete, table)], [], []
+    levels, sent, found = [Level(words, head, table, others)], [], []
     try:
         for size in range(2, most_words + 1):
-            sent.append(sc.broadcast(levels[-1].table))
-            counted = texts.mapInArrow(count_phrases(list(sent), [x.complete for x in levels]), SCHEMA)
+            sent.append(sc.broadcast((levels[-1].table, levels[-1].others)))
+            counted = texts.mapInArrow(count_phrases(list(sent)), SCHEMA)
             counted = counted.groupBy("lang", "code", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
             counted = materialize(counted, f"phrases{size}")
             begin = levels[-1].head.select(F.col("lang").alias("l1"), F.col("rank").alias("r1"), F.col("phrase").alias("p1"))
@@ -241,10 +315,10 @@ def phrase_levels(texts: DataFrame, most_words: int, least: int, most_ids: int)
             phrases = materialize(named.unionByName(counted.filter("code is null")), f"phrases{size}-named")
             found.append(phrases.drop("code"))
             if size < most_words:
-                head, complete = most_frequent(phrases, f"phrases{size}-head", F.col("code").isNotNull(), most_ids)
+                head, others = most_frequent(phrases, f"phrases{size}-head", F.col("code").isNotNull(), most_ids, size)
                 rows = head.select("lang", "code", "rank").toPandas().sort_values(["lang", "code"])
                 table = {lang: (part["code"].to_numpy(np.int64), part["rank"].to_numpy(np.int64)) for lang, part in rows.groupby("lang")}
-                levels.append(Level(phrases, head, complete, table))
+                levels.append(Level(phrases, head, table, others))
     finally:
         for b in sent:
             b.unpersist()
@@ -265,7 +339,7 @@ def scored(phrases: DataFrame, levels: list[Level]) -> DataFrame:
         head = head.unionByName(h)
     same = (F.col("lang") == F.col("of")) & (F.col("part") == F.col("is"))
     seen = cut.join(F.broadcast(head), same, "left").drop("of", "is")  # at most HEAD rows a level
-    if not all(x.complete for x in levels):
+    if any(x.others is not None for x in levels):
         seen = materialize(seen, "phrase-parts")
         every = levels[0].counts.select("lang", "phrase", "f")
         for x in levels[1:]:
