@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ HEAD = 1 << HEAD_BITS
 SIDE_BITS = 10
 #: Addresses counted at a time, and the share of a tile's cells from which its addresses are dense.
 BUFFER, DENSE = 1 << 20, 1 / 32
-#: Bytes of text taken at a time.
-TEXT_BYTES = 1 << 22
+#: Bytes of text taken at a time, and rows.
+TEXT_BYTES, TEXT_ROWS = 1 << 21, 512
 #: Bits of a Bloom filter.
 FILTER_BITS = 25
 # the kinds of bytes: of words, blanks, ends of pieces
@@ -72,13 +73,22 @@ def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit number for each word: a polynomial of its bytes, mixed."""
     at = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[:at[-1] if len(at) else 0].astype(np.uint64)
-    base = 0x9E3779B97F4A7C15
-    up, down = (np.cumprod(np.full(len(data) + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:-1])))
+    sums = np.ones(at[-1] + 1 if len(at) else 1, np.uint64)
+    sums[1:] += np.frombuffer(words.buffers()[2] or b"", np.uint8)[:len(sums) - 1]
+    up, down = powers(max(20, (len(sums) - 1).bit_length()))
+    sums[1:] *= up[:len(sums) - 1]
+    sums[0] = 0
+    np.cumsum(sums, out=sums)
     return mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
 
 
+@lru_cache(1)
+def powers(bits: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, 2 ** bits of each."""
+    base = 0x9E3779B97F4A7C15
+    return [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64))), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
@@ -141,15 +151,16 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arr
 
     held, size = defaultdict(list), 0
     for batch in batches:
-        coded = pc.dictionary_encode(batch["lang"])
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        for i, lang in enumerate(coded.dictionary.to_pylist()):
-            held[lang].append(batch["text"].take(pa.array(np.flatnonzero(code == i))).cast(pa.large_string()))
-        size += batch.nbytes
-        if size >= TEXT_BYTES:
-            for lang, parts in held.items():
-                yield from ((lang, t) for t in slices(parts))
-            held, size = defaultdict(list), 0
+        for part in (batch.slice(at, TEXT_ROWS) for at in range(0, len(batch), TEXT_ROWS)):
+            coded = pc.dictionary_encode(part["lang"])
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            for i, lang in enumerate(coded.dictionary.to_pylist()):
+                held[lang].append(part["text"].take(pa.array(np.flatnonzero(code == i))).cast(pa.large_string()))
+                size += held[lang][-1].nbytes
+            if size >= TEXT_BYTES:
+                for lang, parts in held.items():
+                    yield from ((lang, t) for t in slices(parts))
+                held, size = defaultdict(list), 0
     for lang, parts in held.items():
         yield from ((lang, t) for t in slices(parts))
 
