@@ -1,5 +1,6 @@
 """HTML extraction, token counts, rules, language and quality: units, brute force and held-out accuracy."""
 
+import time
 import random
 import re
 
@@ -237,3 +238,35 @@ def test_held_out_labels_are_never_read(spark):
     flipped = labels.withColumn("quality", F.when(quality.not_held_out(), F.col("quality")).otherwise(1 - F.col("quality")))
     a, b = (quality.fit_quality(docs, x, allowed=quality.not_held_out()) for x in (labels, flipped))
     assert np.array_equal(a.weight, b.weight) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+
+
+# ---------------------------------------------------------------- pages as servers send them
+PROSE = "The river runs through the town and it is said that the old bridge was built by a man who had never seen it before, in the days of the king."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm action=/><div><article><p>{PROSE}</p></article></div></form></body>",
+    f"<body><form><div><p>{PROSE}</p><p>{PROSE}</p></div></form><footer>x</footer></body>",
+    f"<article data-headline='The hidden cost of water'><p>{PROSE}</p></article>",
+    f"<body><p title='a hidden gem here'>{PROSE}</p></body>",
+    f"<div class='big hidden wide' data-x=display:none><p>{PROSE}</p></div>",
+])
+def test_forms_round_the_page_and_words_of_attributes_hide_nothing(page):
+    assert set(html.main_text(page)[0].split("\n")) == {PROSE}
+
+
+@pytest.mark.parametrize("more", [
+    f"<div hidden><p>{PROSE}</p></div>", f"<div HIDDEN=''>{PROSE}</div>", f"<div style='color:red; display : none'><p>{PROSE}</p></div>", f"<div aria-hidden=true><p>{PROSE}</p></div>",
+    f"<div class='cookie-notice'><p>{PROSE * 3}</p></div>", f"<div class=comments><p>{PROSE * 3}</p></div>", "<form><p>Subscribe to our letter</p><input><button>Go</button></form>",
+])
+def test_what_is_hidden_or_beside_the_article_goes(more):
+    assert html.main_text(f"<article><p>{PROSE}</p></article>{more}")[0] == PROSE
+    assert html.main_text(f"<body><p>{PROSE}</p>{more}</body>")[0] == PROSE
+
+
+def test_tags_that_are_never_closed_take_linear_time():
+    begun = time.perf_counter()
+    n = 12_000
+    html.main_text("<b>x" * n + "</i>" * n + "</div>" * n)
+    html.main_text("<div class=ad>x" * n + "</i>" * n + "<main><article>" * n)
+    assert time.perf_counter() - begun < 5

@@ -4,13 +4,15 @@ A page is cut into blocks at block-level tags. The first pass classifies each by
 advert, form, article and the like, from tag names and the words of class, id and role), by its share of
 link text, its length and its share of stop words; a long block with few stop words is good if it is poor in
 links, whatever its language; short blocks outside an article stay ambiguous. Words of class, id and role never mark the page, its articles or what holds them, and
-in what they mark a long block that is rich in stop words and poor in links is good. In the second pass an ambiguous block takes the class of its nearest decided
+in what they mark a long block that is rich in stop words and poor in links is good (but for adverts, notices of cookies and
+comments). A form is marked like that, unless it holds an article or most of the page's text; its controls are dropped. In the second pass an ambiguous block takes the class of its nearest decided
 neighbour. The text of the good blocks is the page's text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -25,8 +27,10 @@ from .common import fresh, whole_text
 #: A comment, a declaration, or a tag with its attributes; at the end of the page a tag may be cut off.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
                      |<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)""", re.S | re.X)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["']""")
+#: What an element's attributes must hold somewhere before they are taken apart.
+SOME = re.compile("hidden|display|class|id|role", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never part of an article.
 DROPPED = frozenset("head script style noscript template svg math canvas object iframe audio video map select option button textarea "
-                    "title xmp noembed noframes nav footer aside form dialog menu label input datalist".split())
+                    "title xmp noembed noframes nav footer aside dialog menu label input datalist".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
                    "thead tr ul caption head title".split())
@@ -53,6 +57,8 @@ BESIDE = frozenset("area bar block blocks body bottom box btn button buttons con
                    "outer page panel post posts primary right row secondary section site slot title top unit wrap wrapper".split())
 #: Marks of readers' comments, which are often articles of their own.
 COMMENTS = frozenset("comment comments disqus discussion reply replies respond responses".split())
+#: Marks of what is never part of an article, however long its text, unless an article is inside.
+NEVER = COMMENTS | frozenset("cookie cookies consent gdpr newsletter ad ads adbox adslot adunit advert advertisement advertising sponsor sponsored".split())
 #: Letters of scripts that write a word in one or two of them, without blanks between words.
 DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Function words of English, French, German and Spanish: the default of ``Rules.stop_words``.
@@ -89,26 +95,49 @@ class Block:
     in_article: bool
     heading: bool
     wrapped: bool = False
+    never: bool = False
 
 
 class Wrap:
-    """An element marked by the words of its class, id or role, and the one around it; an article inside lifts the mark."""
-
-    __slots__ = ("comments", "lifted", "around")
-
-    def __init__(self, comments: bool, around: Wrap | None) -> None:
-        self.comments, self.lifted, self.around = comments, False, around
+    """An element marked by the words of its class, id or role, or a form, and the one around it. An article inside
+    lifts the mark, as does most of the page's text inside a form: some servers put one around the whole page."""
+
+    __slots__ = ("comments", "never", "form", "lifted", "around", "chars", "longest")
+
+    def __init__(self, marks: set[str], form: bool, around: Wrap | None) -> None:
+        self.comments, self.never, self.form = bool(marks & COMMENTS), bool(marks & NEVER), form and not marks
+        self.lifted, self.around, self.chars, self.longest = 0, around, 0, 0
+
+    def lift(self, by: int) -> None:
+        """An article (1) or a main element (2) is inside."""
+        wrap: Wrap | None = self
+        while wrap is not None and wrap.lifted < by:
+            if by == 2 or not wrap.comments:
+                wrap.lifted = by
+            wrap = wrap.around
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    """Names in small letters, and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    if attributes and SOME.search(attributes):
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name:
+                out.setdefault(name.lower(), value.strip("\"'"))
+    return out
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    return tag in DROPPED or (tag == "header" and not in_article) or bool(attributes and HIDDEN.search(attributes))
+def _left_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    if tag in DROPPED or (tag == "header" and not in_article) or "hidden" in attributes:
+        return True
+    return attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(attributes.get("style", "")))
 
 
-def _marks(attributes: str, in_article: bool) -> set[str]:
+def _marks(attributes: dict[str, str], in_article: bool) -> set[str]:
     """The marks among the whole tokens of class, id and role."""
     out: set[str] = set()
-    for _, value in ATTRIBUTE.findall(attributes):
-        for token in value.lower().strip("\"'").split():
+    for name in ("class", "id", "role"):
+        for token in attributes.get(name, "").lower().split():
             pieces = [w for w in SPLIT.split(token) if len(w) > 1]
             found = {w for w in pieces if w in MARKS or (not in_article and w in HEADER_MARKS)}
             if found and all(w in found or w in BESIDE for w in pieces):
@@ -116,13 +145,44 @@ def _marks(attributes: str, in_article: bool) -> set[str]:
     return out
 
 
-def _wrapped(wrap: Wrap | None) -> bool:
-    while wrap is not None and wrap.lifted:
-        wrap = wrap.around
-    return wrap is not None
-
-
-def blocks(html: str) -> list[Block]:
+def _place(found: list[Block], wraps: list[Wrap | None], length: int) -> None:
+    """Which blocks are in something marked, and in what never counts."""
+    total = 0
+    for b, wrap in zip(found, wraps):
+        if b.marked:
+            continue
+        total += len(b.text) - b.linked
+        if wrap is not None:
+            wrap.chars += len(b.text) - b.linked
+            wrap.longest = max(wrap.longest, len(b.text) - b.linked)
+    known: dict[int, Wrap] = {}
+    for wrap in wraps:
+        while wrap is not None and id(wrap) not in known:
+            known[id(wrap)] = wrap
+            wrap = wrap.around
+    depth: dict[int, int] = {}
+    for wrap in known.values():
+        chain = []
+        while wrap is not None and id(wrap) not in depth:
+            chain.append(wrap)
+            wrap = wrap.around
+        for w in reversed(chain):
+            depth[id(w)] = depth[id(w.around)] + 1 if w.around is not None else 0
+    order = sorted(known.values(), key=lambda w: depth[id(w)])
+    for w in reversed(order):  # what is inside counts for what is around
+        if w.around is not None:
+            w.around.chars += w.chars
+            w.around.longest = max(w.around.longest, w.longest)
+    state: dict[int, tuple[bool, bool]] = {}
+    for w in order:
+        held, never = state[id(w.around)] if w.around is not None else (False, False)
+        lifted = w.lifted or (w.form and 2 * w.chars >= total and w.longest >= length)
+        state[id(w)] = (held or not lifted, never or (w.never and not lifted))
+    for b, wrap in zip(found, wraps):
+        b.wrapped, b.never = state[id(wrap)] if wrap is not None else (False, False)
+
+
+def blocks(html: str, length: int = 70) -> list[Block]:
     """The blocks of a page that have text, in page order, with references decoded and blanks collapsed."""
     out: list[Block] = []
     wraps: list[Wrap | None] = []
@@ -131,6 +191,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, int, bool, bool, Wrap | None]] = []
     parts: list[tuple[str, bool, bool, bool, Wrap | None]] = []
     heading = False
+    n_open: Counter[str] = Counter()  # of each tag on the stack
 
     def end_block() -> None:
         if parts:
@@ -146,6 +207,7 @@ def blocks(html: str) -> list[Block]:
         outside = bool(at) and stack[at - 1][1] == 1
         if any(t in BLOCKS or (m == 1) != outside for t, m, *_ in stack[at:]):
             end_block()
+        n_open.subtract(x[0] for x in stack[at:])
         del stack[at:]
 
     def add(text: str) -> None:
@@ -167,9 +229,8 @@ def blocks(html: str) -> list[Block]:
                 add(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                pop_to(k)
+            if n_open[tag] > 0:
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             elif tag in BLOCKS:
                 end_block()
             heading = False if tag in HEADINGS else heading
@@ -193,23 +254,20 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID:
             continue
         _, marked, in_article, link, wrap = stack[-1] if stack else ("", 0, False, False, None)
-        now, attributes = marked, m[3] or ""
+        now, attributes = marked, _attributes(m[3])
         if marked in (0, 3):
             if _left_out(tag, attributes, in_article):
                 now = 1 if tag in BLOCKS else 2  # inside a line its text is left out and the line goes on
             else:
                 now = 0 if tag in BLOCKS else marked
-                found = _marks(attributes, in_article) if attributes and tag not in ("html", "body", "main") else ()
+                found = _marks(attributes, in_article) if attributes and tag not in ("html", "body", "main") else set()
                 # an article in an article is marked like any element; of the others only one of comments is
-                own = tag == "article" and not any(x[0] == "article" for x in stack)
-                if found and (not own or found & COMMENTS):
-                    wrap = Wrap(not found.isdisjoint(COMMENTS), wrap)
+                own = tag == "article" and not n_open["article"]
+                if (found and (not own or found & COMMENTS)) or tag == "form":
+                    wrap = Wrap(found, tag == "form", wrap)
                     now = 0 if tag in BLOCKS else 3
-                if tag == "main" or own:
-                    around = wrap
-                    while around is not None:
-                        around.lifted |= tag == "main" or not around.comments
-                        around = around.around
+                if wrap is not None and (tag == "main" or own):
+                    wrap.lift(2 if tag == "main" else 1)
         elif marked == 2 and tag in BLOCKS:
             now = 1
         if tag in RAW:
@@ -218,10 +276,10 @@ def blocks(html: str) -> list[Block]:
             continue
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
+        n_open[tag] += 1
         stack.append((tag, now, in_article or tag in ("article", "main"), link or tag == "a", wrap))
     end_block()
-    for b, wrap in zip(out, wraps):
-        b.wrapped = _wrapped(wrap)
+    _place(out, wraps, length)
     return out
 
 
@@ -237,7 +295,7 @@ def _length(text: str) -> int:
 
 def classify(block: Block, rules: Rules) -> int | None:
     """First pass, of a block by itself."""
-    if block.marked:
+    if block.marked or block.never:
         return BAD
     n = len(block.text)
     if block.linked > rules.link_share * n and not (block.in_article and block.heading):
@@ -283,7 +341,7 @@ def inherit(classes: list[int | None], headings: list[bool]) -> list[int]:
 
 def main_text(html: str, rules: Rules = Rules()) -> tuple[str, int, int]:
     """The text of the good blocks joined by line ends, the number of good blocks and of all."""
-    found = blocks(html)
+    found = blocks(html, rules.length)
     kept = inherit(first_pass(found, rules), [b.heading for b in found])
     good = [b.text for b, k in zip(found, kept) if k]
     return "\n".join(good), len(good), len(found)
