@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -405,3 +406,27 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_SMALL).count() == 0
+
+
+# ---------------------------------------------------------------- one text with very many matches
+def test_very_many_numbers_and_spans_of_one_text(spark):
+    numbers = spark.createDataFrame([(1, " ".join(str(i * 7919 % 99991) for i in range(100_000)))], "doc_id bigint, text string")
+    begun = time.perf_counter()
+    assert pii.find_personal_data(numbers).select(F.size("spans").alias("n")).first()["n"] == 0
+    rows = [" and ".join(f"é a{i}@b.com" for i in range(n)) for n in (0, 1, 2, 3, 10, 30_000)]
+    found = spark.createDataFrame([(t,) for t in rows], "text string").withColumn("spans", pii.base_spans("text"))
+    assert [r.text for r in pii.redact(found).collect()] == [re.sub("a[0-9]+@b.com", "[EMAIL]", t) for t in rows]
+    assert time.perf_counter() - begun < 90
+
+
+def test_matches_stand_where_they_are(spark):
+    draw = random.Random(4)
+    rows = ["".join(draw.choices("12 aé.", k=draw.randrange(0, 400))) for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in rows], "text string").select(pii.matches("text", "[0-9]+").alias("m")).collect()
+    assert [[(m.start, m.end, m.value) for m in r.m] for r in got] == [[(*m.span(), m[0]) for m in re.finditer("[0-9]+", t)] for t in rows]
+
+
+def test_overlapping_spans_go_with_the_first(spark):
+    spans = [(0, 1, 4, "ip"), (2, 0, 6, "email"), (5, 1, 7, "ip"), (9, 2, 12, "card"), (12, 3, 13, "phone")]
+    df = spark.createDataFrame([("abcdefghijklmnop", spans)], f"text string, spans array<{pii.SPAN}>")
+    assert pii.redact(df).first()["text"] == "[IP]hi[CARD][PHONE]nop"

@@ -27,7 +27,8 @@ LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # from 12 digits on: shorter matches fail in any case
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -39,19 +40,34 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 CONTEXT = 80
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as an array of structs ``start, end, value, before, after``; the last two the text between them."""
-    def place(found: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            value, gap = F.get(found["hits"], i), F.get(found["gaps"], i)
-            start = acc["at"] + F.length(gap)
-            one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
-                           gap.alias("before"), F.get(found["gaps"], i + 1).alias("after"))
-            return F.struct((start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
-        places = F.when(F.size(found["hits"]) > 0, F.sequence(F.lit(0), F.size(found["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), place)
+MATCH = "struct<start:int,end:int,value:string,before:string,after:string>"
+
+
+def stretches(array: str, reach: str) -> str:
+    """SQL: ``first, at`` of stretches of ``array``, about the root of its size of them and as long each.
+
+    An array that grows by one element is copied each time. What runs along ``n`` elements goes over stretches first, and
+    inside each over its own elements, so that no array longer than the root of ``n`` grows. ``at`` is what ``reach`` has
+    made of the stretches before: SQL of ``acc.at``, the first place ``i`` of a stretch and its length ``{step}``.
+    """
+    step = f"cast(greatest(ceil(sqrt(size({array}))), 1) as int)"
+    starts = f"if(size({array}) > 0, sequence(0, size({array}) - 1, {step}), cast(array() as array<int>))"
+    return f"""aggregate({starts}, named_struct('at', 0, 'out', cast(array() as array<struct<first:int,at:int>>)),
+        (acc, i) -> named_struct('at', {reach.format(step=step)}, 'out', concat(acc.out, array(named_struct('first', i, 'at', acc.at)))), acc -> acc.out)"""
+
+
+def matches(text: str, pattern: str) -> Column:
+    """All matches in ``text`` (SQL) as an array of structs ``start, end, value, before, after``; the last two the text between them."""
+    length = "aggregate(slice(f.{0}, i + 1, {{step}}), 0, (n, x) -> n + length(x))"
+    bases = stretches("f.hits", f"acc.at + {length.format('hits')} + {length.format('gaps')}")
+    start = "acc.at + length(get(f.gaps, i))"
+    stop = f"{start} + length(get(f.hits, i))"
+    return F.expr(f"""
+        transform(array(named_struct('hits', regexp_extract_all({text}, r'{pattern}', 0), 'gaps', split({text}, r'{pattern}', -1))), f -> flatten(transform({bases}, s ->
+            aggregate(sequence(s.first, least(s.first + cast(greatest(ceil(sqrt(size(f.hits))), 1) as int), size(f.hits)) - 1),
+                named_struct('at', s.at, 'out', cast(array() as array<{MATCH}>)),
+                (acc, i) -> named_struct('at', {stop}, 'out', concat(acc.out, array(named_struct('start', {start}, 'end', {stop},
+                    'value', get(f.hits, i), 'before', get(f.gaps, i), 'after', get(f.gaps, i + 1))))), acc -> acc.out))))[0]""")
 
 
 def _digits(value: Column) -> Column:
@@ -75,17 +91,18 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """Base entities of a text, sorted: an array of ``start, rank, end, kind``."""
+def base_spans(sql: str) -> Column:
+    """Base entities of a text (SQL), sorted: an array of ``start, rank, end, kind``."""
+    text = F.expr(sql)
     has_digit = text.rlike("[0-9]")
     worth = {"email": text.contains("@"), "ip": has_digit & text.contains("."), "card": has_digit, "phone": has_digit & text.contains("+")}
     parts = []
     for rank, kind in enumerate(KINDS):
-        parts.append(F.when(worth[kind], _spans_of_kind(text, rank, kind)).otherwise(F.array().cast(f"array<{SPAN}>")))
+        parts.append(F.when(worth[kind], _spans_of_kind(sql, rank, kind)).otherwise(F.array().cast(f"array<{SPAN}>")))
     return F.array_sort(F.concat(*parts))
 
 
-def _spans_of_kind(text: Column, rank: int, kind: str) -> Column:
+def _spans_of_kind(text: str, rank: int, kind: str) -> Column:
     good = F.filter(matches(text, PATTERNS[kind]), lambda m: _holds(kind, m["value"]))
     span = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
     return span.cast(f"array<{SPAN}>")
@@ -107,7 +124,7 @@ def _words_of(gap: Column, last: bool) -> Column:
 def occurrences(rows: DataFrame) -> DataFrame:
     """Identifier-like tokens of ``rows`` (``doc_id, digest, text_, base``): place, instance, patterns, and the kind if a base entity covers it."""
     worth = F.col("text_").rlike("[0-9@]")
-    found = rows.filter(worth).select("doc_id", "digest", "base", F.explode(matches(F.col("text_"), IDENTIFIER)).alias("m"))
+    found = rows.filter(worth).select("doc_id", "digest", "base", F.explode(matches("text_", IDENTIFIER)).alias("m"))
     lead = F.length(F.regexp_extract("m.value", r"^[^\p{L}0-9+]*", 0))
     core = F.regexp_replace(F.regexp_replace("m.value", r"^[^\p{L}0-9+]+", ""), r"[^\p{L}0-9]+$", "")
     found = found.select("doc_id", "digest", "base", (F.col("m.start") + lead).alias("start"), core.alias("instance"),
@@ -162,7 +179,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     text = whole_text(text_col)
     digest = F.xxhash64(text)
-    mine = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), text.alias("text_")).withColumn("base", base_spans(F.col("text_")))
+    mine = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), text.alias("text_")).withColumn("base", base_spans("text_"))
     found = materialize(occurrences(mine), "pii-tokens")
     more = discover(found, rounds, support, least)
     rank = reduce(lambda c, k: F.when(F.col("kind") == k[1], k[0]).otherwise(c), enumerate(KINDS), F.lit(len(KINDS)))
@@ -170,7 +187,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     other_id, other_digest, other = fresh(docs, "id_"), fresh(docs, "digest_"), fresh(docs, "added_")
     added = more.groupBy(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest)).agg(F.collect_list(span).alias(other))
     added = materialize(added, "pii-added")
-    out = docs.drop(base_col, spans_col).withColumn(base_col, base_spans(text))
+    out = docs.drop(base_col, spans_col).withColumn(base_col, base_spans(f"coalesce(`{text_col}`, '')"))
     out = out.join(small(added), F.col(id_col).eqNullSafe(F.col(other_id)) & (digest == F.col(other_digest)), "left")
     spans = F.array_sort(F.concat(F.col(base_col), F.coalesce(F.col(other), F.array().cast(f"array<{SPAN}>"))))
     return out.withColumn(spans_col, spans).drop(other_id, other_digest, other)
@@ -184,12 +201,16 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(found: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``found`` with every span of its text replaced by ``[KIND]``, overlapping spans by that of the first."""
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        head = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(head).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans_col, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans_col) > 0, clean).otherwise(text))
+    kept = "array<struct<from:int,to:int,kind:string>>"
+    bases = stretches("x.spans", "greatest(acc.at, array_max(transform(slice(x.spans, i + 1, {step}), s -> s.`end`)))")
+    # of each stretch the spans that begin behind all before them, and where the text kept before each begins; the text of a stretch is cut
+    # out of the whole once, its pieces out of that
+    parts = f"""transform({bases}, s -> aggregate(slice(x.spans, s.first + 1, cast(greatest(ceil(sqrt(size(x.spans))), 1) as int)),
+        named_struct('at', s.at, 'out', cast(array() as {kept})), (acc, e) -> named_struct('at', greatest(acc.at, e.`end`), 'out', if(e.start < acc.at, acc.out,
+            concat(acc.out, array(named_struct('from', acc.at, 'to', e.start, 'kind', e.kind))))), acc -> acc.out))"""
+    cut = "substring(x.text, p[0].`from` + 1, p[size(p) - 1].`to` - p[0].`from`)"
+    piece = "concat(substring(t, s.`from` - p[0].`from` + 1, s.`to` - s.`from`), '[', upper(s.kind), ']')"
+    whole = f"""array_join(transform(filter({parts}, p -> size(p) > 0), p -> transform(array({cut}), t -> array_join(transform(p, s -> {piece}), ''))[0]), '')"""
+    tail = "substring(x.text, array_max(transform(x.spans, s -> s.`end`)) + 1, length(x.text))"
+    both = f"named_struct('text', `{text_col}`, 'spans', `{spans_col}`)"
+    return found.withColumn(text_col, F.expr(f"transform(array({both}), x -> if(size(x.spans) > 0, concat({whole}, {tail}), x.text))[0]"))
