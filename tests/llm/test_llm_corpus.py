@@ -78,15 +78,14 @@ def test_near_duplicates_match_brute_force_also_in_chunks(spark):
     signed = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in set(codes.values())], "code long")
     whole, chunked = (components.connected_components(simhash.links(signed, 3, n)).orderBy("node").collect() for n in (2048, 2))
     assert whole == chunked
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(root.values())
+    assert {r.doc_id for r in simhash.keep_one_row(df).collect()} == set(root.values())
 
 
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "e f g h"), (None, "i j k l")], "doc_id long, text string").withColumn("id_", F.lit(1))
     got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == {(1, 1): 2, (None, 1): 1, (2, 2): 1, (None, None): 1}
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 2]
-    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one_row(df.limit(0)).count() == 0
 
 
 def test_one_row_of_every_group_stays_whatever_its_id(spark):
@@ -430,3 +429,18 @@ def test_overlapping_spans_go_with_the_first(spark):
     spans = [(0, 1, 4, "ip"), (2, 0, 6, "email"), (5, 1, 7, "ip"), (9, 2, 12, "card"), (12, 3, 13, "phone")]
     df = spark.createDataFrame([("abcdefghijklmnop", spans)], f"text string, spans array<{pii.SPAN}>")
     assert pii.redact(df).first()["text"] == "[IP]hi[CARD][PHONE]nop"
+
+
+# ---------------------------------------------------------------- rows that repeat an id
+def test_rows_that_repeat_an_id_have_choices_of_their_own(spark):
+    rows = [(None, "a", "one two three")] * 4_000 + [(None, "b", "one two three")] * 4_000 + [(7, "b", f"one two {i % 3}") for i in range(600)] + [(i, "b", "x y") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    runs = []
+    for n in (1, 7):
+        got = mixing.mix_sources(df.repartition(n)).select("doc_id", "source", "size", "target", "taken").collect()
+        runs.append(Counter(map(tuple, got)))
+        for source in "ab":
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 6
+            assert len({r.taken for r in mine if r.doc_id is None}) > 1 and all(r.taken <= 3 * r.size for r in mine)
+    assert runs[0] == runs[1]

@@ -93,19 +93,47 @@ def _coin(level: int) -> Column:
     return F.xxhash64("h", F.lit(level)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def row_hashes(sized: DataFrame, seed: int, salts: int = 64) -> DataFrame:
+    """``sized`` (``doc_id, size, source, content, salt``) with ``h``, a hash of id, size and seed that differs between rows.
+
+    Rows that repeat an id and a size also have the hash of their text, and rows that repeat that too an ordinal. Equal rows,
+    a third of the table perhaps, are counted in ``salts`` parts and numbered inside each; ordinals are 0, 1, 2 ... whatever
+    part a row is in, so reruns give the same rows.
+    """
+    plain = F.xxhash64("doc_id", "size", F.lit(seed))
+    tied = materialize(sized.groupBy(F.xxhash64("doc_id", "size").alias("tie")).agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "mix-ties")
+    n = tied.count()
+    if not n:
+        return sized.withColumn("h", plain)
+    marked = sized.withColumn("at", F.xxhash64("doc_id", "size")).join(small(tied, n), F.col("at") == F.col("tie"), "left")
+    once = marked.filter("tie is null").withColumn("h", plain)
+    again = marked.filter("tie is not null").withColumn("same", F.xxhash64("doc_id", "size", "source", "content"))
+    again = materialize(again, "mix-tied")
+    before = Window.partitionBy("same_").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy(F.col("same").alias("same_"), F.col("salt").alias("salt_")).agg(F.count("*").alias("times"))
+    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0))), "mix-tie-counts")
+    place = F.row_number().over(Window.partitionBy("same", "salt").orderBy("at"))
+    again = again.withColumn("place", place).join(small(counts), (F.col("same") == F.col("same_")) & (F.col("salt") == F.col("salt_")))
+    again = again.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed), "content", F.col("before") + F.col("place")))
+    return once.select(*sized.columns, "h").unionByName(again.select(*sized.columns, "h"))
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, fan_in: int = 32, large: int = 256) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
 
     ``taken`` is a whole number of copies (0 to ``cap``) times ``size``. Null texts and texts without a word
     have size 0 and take 0. Null sources are a source of their own, the last. Rows that repeat an id are
-    documents of their own. Reruns agree: every choice is a hash of id, size and ``seed``. Columns other
+    documents of their own, with choices of their own. Reruns agree: every choice is a hash of id, size and ``seed``, of rows that repeat both also of
+    text and number. Columns other
     than the three named are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     size = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
-    sized = sized.withColumn("cls", F.length(F.bin("size")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int").alias("salt")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+                                    F.xxhash64(whole_text(text_col)).alias("content"), salt), "mix-sizes")
+    sized = row_hashes(sized, seed).drop("content", "salt").withColumn("cls", F.length(F.bin("size")))
     cells = materialize(sized.groupBy("source", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), cap, weights)
     plan = (cells.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
@@ -115,7 +143,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     full = F.shiftleft(F.col("size"), UNIT_BITS)
     rows = (sized.join(small(plan), F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c")))
             .select("doc_id", "source", "size", "cls", "source_size", "target", F.floor(rate).alias("base"), "n_buckets",
-                    (rate - F.floor(rate)).alias("p"), full.alias("full"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h")))
+                    (rate - F.floor(rate)).alias("p"), full.alias("full"), "h"))
     key = ["source", "source_size", "target"]
     id_type = dict(sized.dtypes)["doc_id"]
     item_type = f"struct<order:bigint,doc_id:{id_type},size:bigint,base:bigint,y:bigint,full:bigint,h:bigint,u:double>"

@@ -208,27 +208,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_co
     return rows.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without the near-duplicates of a document of smaller id; of rows that repeat an id one stays.
-
-    Null ids count as one id. If any of its rows is in a group with an id, none of them stays.
-    """
-    mine = fresh(docs, "id_")
-    found = materialize(near_duplicates(docs, **options).select(F.col("doc_id").alias(mine), "component_id"), "simhash-found")
-    gone = materialize(found.filter(F.col(mine) != F.col("component_id")).select(mine).distinct(), "simhash-gone")
-    unnamed = found.filter(F.col(mine).isNull() & F.col("component_id").isNotNull()).limit(1).count()
-    again = found.filter(F.col(mine).eqNullSafe(F.col("component_id"))).groupBy(mine).count().filter("count > 1").select(mine)
-    again = materialize(again, "simhash-again")
-    kept = docs.join(small(gone), docs["doc_id"] == F.col(mine), "left_anti")
-    if unnamed:
-        kept = kept.filter("doc_id is not null")
-    n_again = again.count()
-    if not n_again:
-        return kept
-    repeated, same = small(again, n_again), docs["doc_id"].eqNullSafe(F.col(mine))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
-
-
 def keep_one_row(docs: DataFrame, *, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every group of near-duplicates; a row that is near no other always stays.
 
