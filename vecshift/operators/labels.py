@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.npy import read_npy
 from .ordering import key_rank
 
 #: Code tables of up to this many rows are broadcast; rows meet larger ones over this many tasks a target.
@@ -78,28 +75,15 @@ def label_mapping_json(codes: DataFrame, max_entries: int = MAX_MAPPING_ENTRIES)
     return codes.agg(F.to_json(F.map_from_entries(as_str)).alias("mapping"))
 
 
-def _npy_labels(spark, path: str, id_col: str) -> DataFrame:
-    """A one-dimensional ``.npy`` array as ``(row_id, label)`` by position; one small number a row, decoded by one task."""
-    def decode(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                arr = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.int64).ravel()
-                for at in range(0, len(arr), 1 << 20):
-                    part = arr[at:at + (1 << 20)]
-                    yield pd.DataFrame({id_col: np.arange(at, at + len(part)), "label": part})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, f"{id_col} LONG, label LONG")
-
-
 def load_labels(spark, path: str | None, rows: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Stored ``(row_id, label)`` or, when absent, each row its own class.
+    """Stored ``(row_id, label)`` (a table, or ``.npy`` by position: a file or a folder of shards) or, when absent, each row its own class.
 
     Raises when stored labels do not cover exactly the given rows.
     """
     if path is None:
         return rows.select(id_col, F.col(id_col).cast("long").alias("label"))
     if path.endswith(".npy"):
-        labels = _npy_labels(spark, path, id_col)
+        labels = read_npy(spark, path, "labels").withColumnRenamed("row_id", id_col)
     else:
         labels = spark.read.parquet(path).select(id_col, F.col("label").cast("long"))
     check = (rows.select(id_col).withColumn("_r", F.lit(1))

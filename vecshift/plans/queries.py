@@ -518,6 +518,7 @@ from ..session import scratch_path  # noqa: E402
 from ..sources.corpus import (load_splits_from_column, read_corpus_csv, read_corpus_jsonl,  # noqa: E402
                               write_corpus_csv, write_corpus_jsonl)
 from ..sources.metadata import cache_probe, uncached_rows  # noqa: E402
+from ..sources.npy import write_npy  # noqa: E402
 from ..sources.vectors import (read_json_vectors, read_npy_embeddings, write_json_vectors,  # noqa: E402
                                write_npy_shards)
 from ..streaming.encode_stream import encode_stream, run_to_table, stream_corpus  # noqa: E402
@@ -674,7 +675,7 @@ from ..operators.cluster import kmeans_best  # noqa: E402
 from ..operators.evaluate import evaluate_adapter  # noqa: E402
 from ..operators.fit import gd_epochs, gram_stats  # noqa: E402
 from ..operators.labels import load_labels  # noqa: E402
-from ..session import local_path, remove_path  # noqa: E402
+from ..session import remove_path  # noqa: E402
 from ..sources.metadata import (PREPROCESS_SCHEMA, MetricLog, file_fingerprint, preprocess_metadata,  # noqa: E402
                                 read_metadata, write_metadata)
 from ..sources.vectors import synthetic_pairs, write_embeddings  # noqa: E402
@@ -692,11 +693,20 @@ def encoded_pairs(spark, sf_dir):
     return materialize(encode_text(base, enc, prompt=PROMPT, out="teacher", spread=False).drop("text"), "pairs")
 
 
-@query("kmeans_best", f"""
+@query("kmeans_best")
+def q_kmeans_best(spark, sf_dir):
+    """The cluster of every encoded document in the best of 10 seeded k-means fits (k = classes)."""
+    pairs = encoded_pairs(spark, sf_dir)
+    k = pairs.select("label").distinct().count()
+    preds, _ = kmeans_best(pairs.select("row_id", "label", F.col("base").alias("embedding")), k, seed=42)
+    return preds.select("row_id", "label", "cluster")
+
+
+@query("kmeans_settled", f"""
 WITH {clean_cte()}
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT target) AS BIGINT) AS k, CAST(0 AS BIGINT) AS n_moved FROM c
 """)
-def q_kmeans_best(spark, sf_dir):
+def q_kmeans_settled(spark, sf_dir):
     """Best of 10 seeded k-means fits (k = classes) on the encoded documents: no row is nearer to another cluster's mean."""
     pairs = encoded_pairs(spark, sf_dir)
     k = pairs.select("label").distinct().count()
@@ -754,8 +764,17 @@ def exact_result(spark, res):
     return rows.unionByName(spark.createDataFrame([("rows", float(res.summary["rows"]))], "metric STRING, value DOUBLE"))
 
 
-@query("train_pipeline", TRAIN_SQL)
+@query("train_pipeline")
 def q_train_pipeline(spark, sf_dir):
+    """Whole train pipeline on the encoded documents: every logged metric (losses, V-measures, quality gap, latencies)."""
+    pairs = encoded_pairs(spark, sf_dir)
+    res = train_pipeline(spark, pairs.select("row_id", F.col("base").alias("embedding")), pairs.select("row_id", F.col("teacher").alias("embedding")),
+                         pairs.select("row_id", "label"), TrainConfig(solver="normal", l2=1e-8), out_dir=scratch_path(spark, "train"), teacher_latency_sec=1.0)
+    return res.metrics.select("stage", "epoch", "metric", "value")
+
+
+@query("train_pipeline_exact", TRAIN_SQL)
+def q_train_pipeline_exact(spark, sf_dir):
     """Whole train pipeline on a teacher that is an affine map of the vectors: it is recovered."""
     emb = with_teacher(spark, embeddings(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding", "label"))
     emb = materialize(emb, "analytic")
@@ -774,7 +793,7 @@ def q_train_from_folder(spark, sf_dir):
     write_embeddings(emb, folder, "instruct", vec_col="teacher")
     emb.select("row_id", F.col("label").cast("long").alias("label")).write.parquet(f"{folder}/labels")
     write_metadata(preprocess_metadata(spark, {"num_samples": 1, "instruct_encode_seconds": 2.0}), f"{folder}/metadata")
-    res = train_from_folder(spark, folder, TrainConfig(solver="normal", n_init=2))
+    res = train_from_folder(spark, folder, TrainConfig(solver="normal"))
     if not res.metrics.filter("metric = 'latency_speedup'").count():
         raise AssertionError("the stored teacher latency was not used")
     # stored vectors are float32: the map is recovered to their precision
@@ -788,23 +807,11 @@ FROM c LEFT JOIN codes ON c.target = codes.value
 """)
 def q_load_labels(spark, sf_dir):
     """Stored labels as a table and as ``.npy``, and rows as their own classes where there are none."""
-    import numpy as np
     coded, _ = factorize(cleaned_documents(spark, sf_dir))
     folder = scratch_path(spark, "labels")
     coded.select("row_id", "label").write.parquet(f"{folder}/labels")
     rows = spark.read.parquet(f"{folder}/labels")
-    # a .npy of the labels in row order, written by the one task that holds them
-    def write(batches):
-        import io
-        import pandas as pd
-        parts = [b["label"].to_numpy(np.int64) for b in batches]
-        out = io.BytesIO()
-        np.save(out, np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        yield pd.DataFrame({"content": [out.getvalue()]})
-    content = rows.coalesce(1).sortWithinPartitions("row_id").mapInPandas(write, "content BINARY").first()["content"]
-    path = local_path(f"{folder}/labels.npy")
-    with open(path, "wb") as f:
-        f.write(content)
+    write_npy(rows, f"{folder}/labels.npy", "row_id", "label", "labels")
     ids = rows.select("row_id")
     a = load_labels(spark, f"{folder}/labels", ids).withColumnRenamed("label", "stored")
     b = load_labels(spark, f"{folder}/labels.npy", ids).withColumnRenamed("label", "from_npy")

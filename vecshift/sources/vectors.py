@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import sorted_rank
 from ..session import local_path
+from .npy import read_npy, write_npy
 
 EMBEDDING_SCHEMA = "row_id LONG, embedding ARRAY<FLOAT>"
 
@@ -39,66 +39,17 @@ def _posix_folder(path: str) -> str:
     return local_path(path)
 
 
-def _file_offsets(per_file: DataFrame) -> DataFrame:
-    """Running row offset per file in file-name order; one row per file."""
-    w = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
-    return per_file.select("file_name", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("offset"))
-
-
-def write_npy_shards(df: DataFrame, path: str, order_col: str, vec_col: str = "embedding",
-                     shards: int | None = None) -> str:
-    """Write vectors as ``part-NNNNN.npy`` shards in ``order_col`` order (each task writes its own file).
-
-    ``path`` must be a folder every executor can write (the shared checkpoint folder or storage).
-    """
-    spark = df.sparkSession
-    shards = shards or spark.sparkContext.defaultParallelism
-    target = _posix_folder(path)
-    data = df.select(order_col, vec_col).repartitionByRange(shards, order_col).sortWithinPartitions(order_col)
-
-    def write(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        parts = [np.stack(pdf[vec_col].to_numpy()).astype(np.float32) for pdf in batches if len(pdf)]
-        if not parts:
-            return
-        arr = np.concatenate(parts, axis=0)
-        os.makedirs(target, exist_ok=True)
-        name = f"part-{pid:05d}.npy"
-        np.save(os.path.join(target, name), arr, allow_pickle=False)
-        yield pd.DataFrame({"file_name": [name], "rows": [arr.shape[0]]})
-
-    data.mapInPandas(write, "file_name STRING, rows LONG").collect()
-    return path
+def write_npy_shards(df: DataFrame, path: str, order_col: str, vec_col: str = "embedding", shards: int | None = None) -> str:
+    """Vectors as ``part-NNNNN.npy`` shards in ``order_col`` order, under a commit (:mod:`vecshift.sources.npy`)."""
+    return write_npy(df, path, order_col, vec_col, "vectors", shards)
 
 
 def read_npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """``(row_id, embedding)`` from all ``*.npy`` in a folder, sorted by name, stacked.
+    """``(row_id, embedding)`` from all ``*.npy`` in a folder, sorted by name, stacked (S6); a file is read by ranges of rows.
 
-    Each file is decoded by the task that reads it; row ids are the file's
-    offset (running count over the small per-file table) plus the position.
     Raises ``FileNotFoundError`` when the folder has no ``.npy`` files.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
-
-    def decode(batches):
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                arr = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
-                arr = arr.reshape(arr.shape[0], -1).astype(np.float32)
-                yield pd.DataFrame({"file_name": [p.rsplit("/", 1)[-1]] * arr.shape[0],
-                                    "pos": np.arange(arr.shape[0], dtype=np.int64),
-                                    "embedding": list(arr)})
-
-    rows = files.select("path", "content").mapInPandas(
-        decode, "file_name STRING, pos LONG, embedding ARRAY<FLOAT>")
-    if files.select("path").limit(1).count() == 0:
-        raise FileNotFoundError(f"{folder} holds no .npy file")
-    per_file = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
-    offsets = _file_offsets(per_file)
-    # one row per file: AQE broadcasts it once measured small, else it stays a shuffle join
-    return rows.join(offsets, "file_name") \
-        .select((F.col("offset") + F.col("pos")).alias("row_id"), "embedding")
+    return read_npy(spark, folder, "vectors")
 
 
 def write_json_vectors(df: DataFrame, path: str, name_col: str, vec_col: str = "embedding") -> str:
