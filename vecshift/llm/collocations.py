@@ -33,9 +33,9 @@ HEAD_BITS, LONGEST = 18, 64
 HEAD = 1 << HEAD_BITS
 SIDE_BITS = 10
 #: Addresses counted at a time, and the share of a tile's cells from which its addresses are dense.
-BUFFER, DENSE = 1 << 20, 1 / 32
+BUFFER, DENSE = 1 << 18, 1 / 32
 #: Bytes of text taken at a time, and rows.
-TEXT_BYTES, TEXT_ROWS = 1 << 21, 512
+TEXT_BYTES, TEXT_ROWS = 1 << 20, 256
 #: Bits of a Bloom filter.
 FILTER_BITS = 25
 # the kinds of bytes: of words, blanks, ends of pieces
