@@ -56,3 +56,12 @@ def test_clean_corpus_bucketed_path_equals_single_bucket(spark):
     b = [tuple(r) for r in many.select(*cols).orderBy("row_id").collect()]
     assert a == b
     assert [r[0] for r in a] == list(range(len(a)))
+
+
+def test_clean_corpus_head_equals_first_rows(spark):
+    from conftest import SF_MID
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    whole = clean_corpus(docs, "text", "lang", order_col="doc_id", rows_per_bucket=50).where("row_id < 123")
+    head = clean_corpus(docs, "text", "lang", order_col="doc_id", rows_per_bucket=50, head=123)
+    assert sorted(map(tuple, head.collect())) == sorted(map(tuple, whole.collect()))
+    assert clean_corpus(docs, "text", "lang", order_col="doc_id", head=0).count() == 0

@@ -4,7 +4,7 @@ from conftest import SF_MID
 from vecshift.operators.clean import dedup_first
 from vecshift.operators.encode import HashEncoder, encode_text
 from vecshift.operators.labels import encode_labels, factor_codes
-from vecshift.operators.split import assign_split
+from vecshift.operators.split import assign_split, split_rows
 
 
 def _plan(df) -> str:
@@ -31,6 +31,11 @@ def test_split_plans_carry_no_text(spark):
     assert plan.count("SinglePartition") == 1 and "HashAggregate" in plan.split("SinglePartition")[1]
 
 
+def test_split_by_selection_moves_no_row(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").withColumnRenamed("doc_id", "row_id")
+    assert "Exchange" not in _plan(split_rows(docs))
+
+
 def test_labels_of_a_small_code_table_leave_rows_where_they_are(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("target"))
     plan = _plan(encode_labels(docs, factor_codes(docs)).select("row_id", "label"))

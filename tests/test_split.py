@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vecshift.operators.split import assign_split, cut_ranks, split_ranges, split_sizes
+from vecshift.operators.split import assign_split, cut_ranks, split_ranges, split_rows, split_sizes
 
 
 @pytest.mark.parametrize("n,expected", [
@@ -85,3 +85,43 @@ def test_seeded_rank_paths_agree(spark):
     few = {r.row_id: r.rank for r in seeded_rank(df, seed=3, hex_digits=1).collect()}
     assert direct == bucketed == few
     assert sorted(direct.values()) == list(range(2000))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 50, 30_000])
+def test_split_rows_equals_ranked_split(spark, n):
+    df = spark.range(n).withColumnRenamed("id", "row_id")
+    a = sorted((r.row_id, r.split) for r in assign_split(df, seed=5).collect())
+    assert sorted((r.row_id, r.split) for r in split_rows(df, seed=5).collect()) == a
+    assert sorted((r.row_id, r.split) for r in split_rows(df.repartition(3), seed=5, n=n).collect()) == a
+
+
+def test_selected_keys_by_refined_histograms(spark, monkeypatch):
+    import hashlib
+    from vecshift.operators import ordering
+    monkeypatch.setattr(ordering, "SELECT_KEYS", 2)
+    ids = [f"k{i}" for i in range(2000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    order = sorted((hashlib.md5(f"s:{i}".encode()).hexdigest(), i) for i in ids)
+    ranks = [0, 1, 999, 1000, 1998, 1999, 2000, -1]
+    assert ordering.seeded_keys_at(df, ranks, "id", "s") == {r: order[r] for r in ranks if 0 <= r < 2000}
+    # an id repeated more often than the driver takes keys is one key
+    hot = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("id"))
+    order = sorted((hashlib.md5(f"s:{i}".encode()).hexdigest(), i) for i in [7] * 200 + list(range(200, 300)))
+    assert ordering.seeded_keys_at(hot, [0, 100, 150, 299], "id", "s") == {r: order[r] for r in (0, 100, 150, 299)}
+
+
+def test_split_rows_edges(spark):
+    assert split_rows(spark.range(0).withColumnRenamed("id", "row_id")).columns == ["row_id", "split"]
+    assert split_rows(spark.range(0).withColumnRenamed("id", "row_id")).count() == 0
+    df = spark.range(40).select(F.when(F.col("id") > 1, F.col("id")).alias("row_id"), F.col("id").alias("rank"))
+    rows = split_rows(df).collect()
+    assert len(rows) == 40 and all((r.split is None) == (r.row_id is None) for r in rows)
+
+
+def test_key_rank_takes_numbers_only_and_stops_at_first(spark):
+    from vecshift.operators.ordering import key_rank
+    with pytest.raises(TypeError, match="sorted_rank"):
+        key_rank(spark.createDataFrame([("a",)], "k string"), "k")
+    df = spark.range(5000).select((F.col("id") * 7 + 3).alias("k"))
+    got = key_rank(df, "k", rank_col="r", rows_per_bucket=100, first=321).orderBy("k").collect()
+    assert [(r.k, r.r) for r in got] == [(i * 7 + 3, i) for i in range(321)]

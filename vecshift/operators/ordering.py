@@ -11,21 +11,28 @@ broadcast up to a fixed number of buckets.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 MAX_BUCKETS = 65536
 ROWS_PER_BUCKET = 250_000  # rows one window task sorts (full rows)
+SELECT_KEYS = 4096  # keys that a selection ends with on the driver, a rank
+HASH_DIGITS = 32  # of md5
 
 
 def global_rank(df: DataFrame, order_cols: list, bucket_cols: list[str],
-                rank_col: str = "rank", n_buckets: int | None = None) -> DataFrame:
+                rank_col: str = "rank", n_buckets: int | None = None, first: int | None = None) -> DataFrame:
     """0-based dense position by ``order_cols``.
 
     ``bucket_cols`` must be non-decreasing in the order; ``order_cols`` must be
     unique per row. Offsets of more than ``MAX_BUCKETS`` buckets are not broadcast.
+    With ``first``, only the rows of the least ``first`` keys come out: buckets that
+    begin beyond them fall away before anything is sorted.
     """
     counts = df.groupBy(*bucket_cols).agg(F.count(F.lit(1)).alias("_bucket_rows"))
     running = Window.orderBy(*bucket_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -33,11 +40,14 @@ def global_rank(df: DataFrame, order_cols: list, bucket_cols: list[str],
         *bucket_cols,
         F.coalesce(F.sum("_bucket_rows").over(running), F.lit(0)).cast("long").alias("_bucket_offset"))
     within = Window.partitionBy(*bucket_cols).orderBy(*order_cols)
+    if first is not None:
+        offsets = offsets.where(F.col("_bucket_offset") < F.lit(int(first)))
     if n_buckets is None or n_buckets <= MAX_BUCKETS:
         offsets = F.broadcast(offsets)
-    return (df.join(offsets, bucket_cols)
-            .withColumn(rank_col, (F.col("_bucket_offset") + F.row_number().over(within) - 1).cast("long"))
-            .drop("_bucket_offset"))
+    ranked = (df.join(offsets, bucket_cols)
+              .withColumn(rank_col, (F.col("_bucket_offset") + F.row_number().over(within) - 1).cast("long"))
+              .drop("_bucket_offset"))
+    return ranked if first is None else ranked.where(F.col(rank_col) < F.lit(int(first)))
 
 
 def hash_order_key(id_col: str, seed: int | str) -> Column:
@@ -64,6 +74,47 @@ def seeded_rank(df: DataFrame, id_col: str = "row_id", seed: int | str = 42,
     return global_rank(keyed, ["_order_h", id_col], ["_order_b"], rank_col, 16 ** hex_digits).drop("_order_h", "_order_b")
 
 
+def seeded_keys_at(df: DataFrame, ranks: list[int], id_col: str = "row_id", seed: int | str = 42,
+                   n: int | None = None) -> dict[int, tuple[str, object]]:
+    """The keys ``(md5('<seed>:<id>'), id)`` at some 0-based ranks of the seeded order, by radix selection.
+
+    No row is ranked or sorted. A histogram of leading hash digits tells the prefix that holds each rank; the rows of
+    that prefix alone are counted by more digits, until at most ``SELECT_KEYS`` remain, whose distinct keys come to the
+    driver. A histogram has at most 16^4 counts a rank. Repeated ids are one key; null ids have none and must not occur.
+    """
+    keyed = df.select(F.col(id_col).alias("_id"), hash_order_key(id_col, seed).alias("_h"))
+    n = keyed.count() if n is None else n
+    # by rank: the prefix of its key, its place among the rows with that prefix, and their number
+    at = {r: ("", r, n) for r in ranks if 0 <= r < n}
+    while wide := sorted({p for p, _, rows in at.values() if rows > SELECT_KEYS and len(p) < HASH_DIGITS}):
+        most = max(rows for _, _, rows in at.values())
+        depth = min(HASH_DIGITS, len(wide[0]) + min(4, math.ceil(math.log(most / SELECT_KEYS, 16)) + 1))
+        counts = (keyed.where(F.substring("_h", 1, len(wide[0])).isin(wide))
+                  .groupBy(F.substring("_h", 1, depth).alias("prefix")).count().orderBy("prefix").collect())
+        for r, (p, place, _) in at.items():
+            if p in wide:
+                for c in counts:
+                    if c["prefix"].startswith(p):
+                        if place < c["count"]:
+                            at[r] = (c["prefix"], place, c["count"])
+                            break
+                        place -= c["count"]
+    prefixes = {p for p, _, _ in at.values()}
+    if not prefixes:
+        return {}
+    mine = reduce(or_, (F.col("_h").startswith(p) for p in sorted(prefixes)))
+    keys = sorted(tuple(r) for r in keyed.where(mine).groupBy("_h", "_id").count().collect())
+    found = {}
+    for r, (p, place, _) in at.items():
+        for h, key, rows in keys:
+            if h.startswith(p):
+                if place < rows:
+                    found[r] = (h, key)
+                    break
+                place -= rows
+    return found
+
+
 def key_boundaries(source: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Quantile boundaries of ``key`` so each bucket holds about ``rows_per_bucket`` rows.
 
@@ -89,8 +140,11 @@ def with_key_bucket(df: DataFrame, key: str, boundaries: list[float], out: str =
 
 def key_rank(df: DataFrame, key: str, rank_col: str = "row_id", prefix_cols: list[str] | None = None,
              bucket_source: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-             boundaries: list[float] | None = None) -> DataFrame:
-    """0-based dense rank by ``(*prefix_cols, key)`` (W1), ``key`` unique within a prefix.
+             boundaries: list[float] | None = None, first: int | None = None) -> DataFrame:
+    """0-based dense rank by ``(*prefix_cols, key)`` (W1), ``key`` unique within a prefix; the ``first`` rows alone if given.
+
+    ``key`` must be a number or a timestamp (its buckets are ranges of its value as a double): :func:`sorted_rank`
+    takes any other type.
 
     Bucket boundaries come from ``bucket_source`` (default ``df``): passing the
     raw table before a filter keeps the sketch a cheap one-column scan, and the
@@ -98,10 +152,14 @@ def key_rank(df: DataFrame, key: str, rank_col: str = "row_id", prefix_cols: lis
     computed by :func:`key_boundaries`.
     """
     prefix_cols = list(prefix_cols or [])
+    kind = df.schema[key].dataType
+    if not isinstance(kind, (NumericType, TimestampType)):
+        raise TypeError(f"{key} is {kind.simpleString()}: key_rank needs numbers or timestamps, other types take sorted_rank")
     bounds = boundaries if boundaries is not None else key_boundaries(
         bucket_source if bucket_source is not None else df.select(key), key, rows_per_bucket)
     keyed = with_key_bucket(df, key, bounds)
-    ranked = global_rank(keyed, prefix_cols + [key], prefix_cols + ["_key_b"], rank_col, None if prefix_cols else len(bounds) + 1)
+    ranked = global_rank(keyed, prefix_cols + [key], prefix_cols + ["_key_b"], rank_col,
+                         None if prefix_cols else len(bounds) + 1, first)
     return ranked.drop("_key_b")
 
 

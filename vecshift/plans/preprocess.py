@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import resolve_instruction
-from ..operators.clean import clean_corpus, head_rows
+from ..operators.clean import clean_corpus
 from ..operators.encode import Encoder, encode_text
 from ..operators.labels import encode_labels, factor_codes, label_mapping_json
 from ..session import materialize, remove_path
@@ -46,7 +46,7 @@ def corpus_state(spark: SparkSession, cleaned: DataFrame, emb_dir: str, encoder:
 def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, encoder: Encoder,
                       instruction: str | None, text_col: str = "text", target_col: str = "target",
                       order_col: str = "row_id", max_samples: int | None = None, dataset: str = "",
-                      bucket_source: DataFrame | None = None, default_instruction: str | None = None) -> dict:
+                      default_instruction: str | None = None) -> dict:
     """Clean, write CSV/JSONL, then encode base and instruct vectors of every row (of the first ``max_samples``, if given).
 
     ``corpus`` is any table with a text, a target and an order column (for a
@@ -55,9 +55,9 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     whether the cache was hit.
     """
     instruction = resolve_instruction(instruction, default_instruction)
-    cleaned = clean_corpus(corpus, text_col, target_col, order_col=order_col, bucket_source=bucket_source)
+    cleaned = clean_corpus(corpus, text_col, target_col, order_col=order_col, head=max_samples)
     # written once in row order; the files, the key, both encodings and the codes read it back
-    cleaned = materialize(head_rows(cleaned, max_samples).select("row_id", "text", "target"), "preprocess-input", order="row_id")
+    cleaned = materialize(cleaned.select("row_id", "text", "target"), "preprocess-input", order="row_id")
     processed = f"{out_dir}/processed"
     emb_dir = f"{out_dir}/embeddings"
     key, content, n, stored = corpus_state(spark, cleaned, emb_dir, encoder, instruction)

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import clean_corpus, head_rows
+from ..operators.clean import clean_corpus
 from ..operators.labels import factorize, label_mapping_json
 from ..operators.ordering import seeded_rank
-from ..operators.split import assign_split, with_split
+from ..operators.split import assign_split, split_rows
 from ..session import materialize
 from .oracle import (bounds_cte, clean_cte, codes_cte, register, seeded_rank_sql, split_case)
 
@@ -54,7 +54,7 @@ WITH {clean_cte()}
 SELECT row_id, doc_id, target, md5(text) AS text_md5 FROM c WHERE row_id < 200
 """)
 def q_corpus_head(spark, sf_dir):
-    head = head_rows(cleaned_documents(spark, sf_dir), 200)
+    head = clean_corpus(table(spark, sf_dir, "documents"), "text", "lang", order_col="doc_id", head=200)
     return head.select("row_id", "doc_id", "target", F.md5("text").alias("text_md5"))
 
 
@@ -72,8 +72,7 @@ def q_factorize_target(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     joined = docs.join(labels, "doc_id", "left")
-    corpus = clean_corpus(joined, "text", "quality", order_col="doc_id",
-                          bucket_source=table(spark, sf_dir, "documents"))
+    corpus = clean_corpus(joined, "text", "quality", order_col="doc_id")
     coded, _ = factorize(corpus)
     return coded.select("row_id", "doc_id", "target", "label")
 
@@ -120,6 +119,17 @@ def q_assign_split(spark, sf_dir):
     return assign_split(cleaned_documents(spark, sf_dir)).select("row_id", "rank", "split")
 
 
+@query("split_rows", f"""
+WITH n AS (SELECT count(*) AS n FROM events),
+{bounds_cte('n')},
+r AS (SELECT event_id, {seeded_rank_sql('event_id')} AS rank FROM events)
+SELECT r.event_id, {split_case()} AS split FROM r, b
+""")
+def q_split_rows(spark, sf_dir):
+    """The split of every event by selected boundary keys: no row is ranked or moved."""
+    return split_rows(table(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
 @query("assign_split_small", f"""
 WITH c AS (SELECT CAST(rank() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS row_id FROM region),
 n AS (SELECT count(*) AS n FROM c),
@@ -149,9 +159,7 @@ def q_split_label_counts(spark, sf_dir):
     """The minimum slice: rows of each class in train, val and test."""
     corpus = materialize(cleaned_documents(spark, sf_dir).select("row_id", "target"), "targets")
     coded, _ = factorize(corpus)
-    n = corpus.count()
-    ranked = seeded_rank(coded, "row_id", n=n)  # ids and codes only: the split needs no join back
-    return (with_split(ranked, n)
+    return (split_rows(coded, n=corpus.count())
             .groupBy("split", "label", "target")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -381,8 +389,7 @@ FROM s GROUP BY split
 """)
 def q_num_classes(spark, sf_dir):
     emb = embeddings(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "label")
-    splits = assign_split(emb)
-    return num_classes(emb.join(splits, "row_id"), "label", ["split"])
+    return num_classes(split_rows(emb), "label", ["split"])
 
 
 @query("best_epoch", """
@@ -732,8 +739,7 @@ def q_kmeans_v_measure(spark, sf_dir):
 def q_evaluate_adapter(spark, sf_dir):
     """Fit on the train split, then loss and V-measures on val (long metrics rows)."""
     pairs = encoded_pairs(spark, sf_dir)
-    splits = assign_split(pairs.select("row_id"))
-    data = pairs.join(splits.select("row_id", "split"), "row_id")
+    data = split_rows(pairs)
     model, _ = fit_adapter(data.where(F.col("split") == "train"), "base", "teacher", l2=1e-8)
     metrics = evaluate_adapter(data.where(F.col("split") == "val"), model, "val")
     return spark.createDataFrame([(k, v) for k, v in metrics.items()], "metric STRING, value DOUBLE")
@@ -743,8 +749,7 @@ def q_evaluate_adapter(spark, sf_dir):
 def q_fit_gd(spark, sf_dir):
     """Ten epochs of Adam (lr 1e-3, batch 64) from the one-pass statistics of the train split."""
     pairs = encoded_pairs(spark, sf_dir)
-    splits = assign_split(pairs.select("row_id"))
-    train = pairs.join(splits.where(F.col("split") == "train").select("row_id"), "row_id")
+    train = split_rows(pairs).where(F.col("split") == "train")
     stats = gram_stats(train, "base", "teacher")
     rows = [(e, float(loss), float(lr)) for e, _, loss, lr in
             gd_epochs(stats, 10, 64, {"name": "adam", "lr": 1e-3}, {"name": "cosine", "T_max": 10})]

@@ -14,7 +14,7 @@ from ..operators.fit import gd_epochs, gram_stats, solve_normal, theta_to_model
 from ..operators.labels import load_labels
 from ..operators.metrics import best_epoch
 from ..operators.project import AdapterModel
-from ..operators.split import assign_split
+from ..operators.split import assign_split, split_rows
 from ..operators.vectors import pair_embeddings, validate_alignment
 from ..session import materialize, path_exists
 from ..sources.metadata import PREPROCESS_SCHEMA, MetricLog, read_metadata
@@ -66,9 +66,14 @@ def train_pipeline(spark: SparkSession, base: DataFrame, teacher: DataFrame, lab
     if validate:
         validate_alignment(base, teacher, labels)
     # the split comes from the ids alone; the paired rows with it are written once and read by every later job
-    splits = assign_split(base.select("row_id"), "row_id", cfg.train_ratio, cfg.val_ratio, cfg.test_ratio,
-                          cfg.seed, cfg.shuffle, n)
-    data = materialize(pair_embeddings(base, teacher, labels).join(splits.select("row_id", "split"), "row_id"), "train-pairs")
+    ratios = cfg.train_ratio, cfg.val_ratio, cfg.test_ratio
+    data = pair_embeddings(base, teacher, labels)
+    if cfg.shuffle:
+        data = split_rows(data, "row_id", *ratios, cfg.seed, n, base)
+    else:
+        splits = assign_split(base.select("row_id"), "row_id", *ratios, cfg.seed, False, n)
+        data = data.join(splits.select("row_id", "split"), "row_id")
+    data = materialize(data, "train-pairs")
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
     test = data.where(F.col("split") == "test")
