@@ -136,6 +136,22 @@ def test_pre_tokens_cover_the_text_and_batches_may_be_cut(monkeypatch):
     assert tokens._batch_counts([text, "", text * 50, "end"], v) == whole and whole[1] == (0, 0) and whole[2][1] == 50 * whole[0][1]
 
 
+def test_long_pre_tokens_count_as_in_the_trie(monkeypatch):
+    import time
+    v = tokens.Vocabulary(tokens.read_vocabulary())
+    draw = random.Random(5)
+    words = [bytes(draw.choices(b"abeinrst \xc3\xa9", k=draw.randint(1, 300))) for _ in range(60)] + [b" " * 250, b"a" * 255]
+    words = sorted(set(words))
+    assert [v.count_long(w) for w in words] == v.counts(words).tolist()
+    texts = ["x" * 40_000, "\u6c34" * 20_000, " " * 100_000 + "a", "ab" * 300 + " c", "ab" * 20]
+    t0 = time.perf_counter()
+    got = tokens._batch_counts(texts, v)
+    assert time.perf_counter() - t0 < 10
+    assert [n for n, _ in got] == [1, 1, 2, 2, 1]
+    monkeypatch.setattr(tokens, "LONG", 10 ** 9)
+    assert tokens._batch_counts(texts[3:], v) == got[3:]
+
+
 def test_count_tokens_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
     got = {(r.doc_id, r.n_chars, r.n_pre_tokens, r.n_tokens) for r in tokens.count_tokens(df).collect()}

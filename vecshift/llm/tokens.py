@@ -4,7 +4,8 @@ A text is cut into pre-tokens (a word, signs or blanks, with the blank before it
 a batch form a trie of bytes, and the best unigram segmentation of every prefix is computed once, at its trie
 node: the best score of a node is the best over the vocabulary's pieces that end there of the score of the
 node where the piece begins plus the piece's. The node where a pre-token ends holds its token count, and a
-document's count is the sum over its pre-tokens.
+document's count is the sum over its pre-tokens. A pre-token of many bytes shares next to nothing of its path, so
+beyond ``LONG`` bytes the same scores are computed along its own path, in time that grows with its length.
 
 The vocabulary is a file of pieces and ranks (base64 and a number a line; every single byte is a piece, so
 every text has a segmentation). A piece's score is the logarithm of a Zipf probability of its rank, as such
@@ -27,6 +28,8 @@ from .common import whole_text
 PRE_TOKEN = re.compile(r" ?\w+| ?[^\w\s]+|\s+")
 #: Distinct pre-tokens of a batch beyond which it is cut: bounds the trie.
 TRIE_WORDS = 200_000
+#: Bytes of a pre-token from which it has a path of its own; the trie has no more levels than that.
+LONG = 256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -67,6 +70,27 @@ class Vocabulary:
             self.step[node, list(c)] = list(c.values())
         self.value = np.array(value)
         self.longest = max(map(len, pieces))
+        self.children = children
+        self.scores = [None if v == -np.inf else v for v in value]
+
+    def count_long(self, word: bytes) -> int:
+        """The token count of one word: every place, once settled, pushes its score to the ends of the pieces that begin there."""
+        children, scores = self.children, self.scores
+        reached: dict[int, list[tuple[float, int]]] = {0: [(0.0, 0)]}  # by place ahead, at most `longest` of them
+        used = 0
+        for i in range(len(word) + 1):
+            ways = reached.pop(i)
+            best = max(ways)[0]
+            used = min(n for s, n in ways if s >= best - 1e-9)
+            node = 1
+            for end in range(i + 1, min(i + self.longest, len(word)) + 1):
+                node = children[node].get(word[end - 1])
+                if node is None:
+                    break
+                score = scores[node]
+                if score is not None:
+                    reached.setdefault(end, []).append((best + score, used + 1))
+        return used
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The token count of each of ``words`` (distinct, not empty): forward scores over their trie, level by level."""
@@ -135,8 +159,16 @@ def _batch_counts(texts: list[str], vocabulary: Vocabulary) -> list[tuple[int, i
     out: list[tuple[int, int]] = []
 
     def settle() -> None:
-        words = list(fresh)
-        known.update(zip(words, vocabulary.counts([w.encode("utf-8", "replace") for w in words]).tolist()))
+        short: list[str] = []
+        data: list[bytes] = []
+        for w in fresh:
+            b = w.encode("utf-8", "replace")
+            if len(b) > LONG:
+                known[w] = vocabulary.count_long(b)
+            else:
+                short.append(w), data.append(b)
+        if short:
+            known.update(zip(short, vocabulary.counts(data).tolist()))
         fresh.clear()
     at = 0
     for i, found in enumerate(cut):
@@ -165,7 +197,8 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_chars, n_pre_tokens, n_tokens`` for every row of ``docs``, over the whole text.
 
     Null and empty texts count 0 of each. ``vocabulary`` is a path that every worker can read. Repeated rows
-    get equal counts; other columns are not read. No shuffle: a batch's distinct pre-tokens share a trie.
+    get equal counts; other columns are not read. Texts and pre-tokens may be of any length (a run of a million
+    letters takes seconds). No shuffle: a batch's distinct pre-tokens share a trie.
     """
     @F.pandas_udf("n_chars bigint, n_pre_tokens bigint, n_tokens bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
