@@ -217,6 +217,19 @@ def test_language_held_out_accuracy_and_edges(spark):
     odd = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "123 !?", "xx"), (None, "the", None)], "doc_id long, text string, lang string")
     found = langid.identify_language(docs.select("doc_id", "text", "lang").limit(60).unionByName(odd).withColumn("predicted_", F.lit(0)))
     assert {r.doc_id for r in found.filter("lang_pred = 'und'").collect()} >= {1, 2, 3} and "predicted_" in found.columns
+    assert found.filter("lang_pred = 'xx'").count() == 0
+    # signs that are no letters, in training as in prediction; an id that is repeated without end is learned once
+    net = langid.fit_language(docs.limit(60), F.lit(True))
+    signs = spark.createDataFrame([(1, "\u00b2 \u2460 \u00bd _"), (2, "\u2160"), (3, "\u00aa"), (4, "x")], "doc_id long, text string")
+    assert {r.doc_id for r in langid.predict_language(signs, net).filter("lang_pred = 'und'").collect()} == {1, 2}
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "train", lambda texts, langs, **fit: seen.extend(zip(texts, langs)))
+        long = "start " + "a" * 50_000 + " middle " + "b" * 50_000 + " end"
+        copies = spark.range(500).select(F.lit(7).alias("doc_id"), F.lit("xy " * 10).alias("text"), F.lit("en").alias("lang"))
+        langid.fit_language(copies.unionByName(spark.createDataFrame([(8, long, "fr")], copies.schema)), F.lit(True))
+    assert seen[0] == ("xy " * 10, "en") and len(seen) == 2
+    assert seen[1][0].startswith("start aaa") and seen[1][0].endswith("bbb end") and len(seen[1][0]) == 20_000 + 15
     nothing = langid.identify_language(docs.withColumn("lang", F.lit(None).cast("string")).limit(5))
     assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
 

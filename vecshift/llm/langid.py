@@ -10,7 +10,6 @@ labelled documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"  # one rule for training and prediction, both in the JVM
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 256
@@ -148,23 +147,27 @@ def train(texts: list[str], labels: list[str], epochs: int = 14, batch: int = 64
 
 
 def fit_language(docs: DataFrame, allowed: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-                 per_language: int = 400, most_chars: int = 20_000, **fit: object) -> Network:
+                 per_language: int = 400, most_chars: int = 20_000, stretches: int = 16, **fit: object) -> Network:
     """Train on up to ``per_language`` documents of each language (by hash of the id) where ``allowed`` holds.
 
-    A training text gives a bounded stretch from its middle (``most_chars``); predictions read whole texts.
+    A training text of over ``most_chars`` characters gives ``stretches`` pieces of equal length, spread evenly from its
+    start to its end; predictions read whole texts. Of documents that repeat an id and language, one is learned.
     """
     from pyspark.sql import Window
 
-    usable = docs.filter(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    usable = docs.filter(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(23)).alias("h"))
     shard = ids.withColumn("shard", F.pmod("h", F.lit(64)))
     # the first ones of each shard, then of them all: no language is sorted in one task
     first = shard.withColumn("r", F.row_number().over(Window.partitionBy("lang", "shard").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
     chosen = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id", "lang")
-    start = F.greatest(F.lit(1), (F.length(text_col) - most_chars) / 2 + 1).cast("int")
-    rows = (usable.select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), start, F.lit(most_chars)).alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").collect())
+    length, each = F.length(text_col), most_chars // stretches
+    spread = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda i: F.substring(
+        F.col(text_col), (1 + F.floor(i * (length - each) / max(stretches - 1, 1))).cast("int"), F.lit(each)))
+    text = F.when(length <= most_chars, F.col(text_col)).otherwise(F.array_join(spread, " "))
+    rows = (usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
+            .join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **fit)
 
@@ -181,7 +184,7 @@ def predict_language(docs: DataFrame, net: Network, text_col: str = "text", bloc
         model = shared.value
         tables = model.tables()
         for t in texts:
-            usable = np.array([bool(model.languages) and x is not None and LETTER.search(x) is not None for x in t], bool)
+            usable = t.notna().to_numpy() & bool(model.languages)
             total, n = np.zeros((len(t), max(len(model.languages), 1))), np.zeros(len(t))
             pending, owner = [], []
 
@@ -208,7 +211,7 @@ def predict_language(docs: DataFrame, net: Network, text_col: str = "text", bloc
                                 "score": np.where(usable, np.clip(mean.max(1), 0, 1), 0.0)})
 
     found = fresh(docs, "predicted_")
-    out = docs.drop("lang_pred", "score").withColumn(found, predict(F.col(text_col)))
+    out = docs.drop("lang_pred", "score").withColumn(found, predict(F.when(F.col(text_col).rlike(LETTER), F.col(text_col))))
     return out.withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score")}).drop(found)
 
 
