@@ -521,9 +521,10 @@ def q_truncate_tokens(spark, sf_dir):
 # ---------------------------------------------------------------- sources, sinks, cache, streaming
 from ..functions.text import fingerprint_long, resolve_instruction_col, row_fingerprint, truncate_tokens  # noqa: E402
 from ..operators.labels import decode_labels  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import input_bytes, scratch_path  # noqa: E402
 from ..sources.corpus import (load_splits_from_column, read_corpus_csv, read_corpus_jsonl,  # noqa: E402
                               write_corpus_csv, write_corpus_jsonl)
+from ..sources.csv_ranges import RANGE_BYTES  # noqa: E402
 from ..sources.metadata import cache_probe, uncached_rows  # noqa: E402
 from ..sources.npy import write_npy  # noqa: E402
 from ..sources.vectors import (read_json_vectors, read_npy_embeddings, write_json_vectors,  # noqa: E402
@@ -559,6 +560,42 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("doc_id", null_if_token("text").alias("text"), "lang")
 
 
+#: Some text of each document with everything that CSV quotes.
+QUOTED_TEXT = """concat(text, chr(10), '"', lang, '", ', source, chr(10), chr(10), text)"""
+
+
+@query("csv_ranges", f"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL OR lang IS NULL OR source IS NULL THEN NULL
+                               ELSE text || chr(10) || '"' || lang || '", ' || source || chr(10) || chr(10) || text END AS text FROM documents)
+SELECT CAST(rank() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id, doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM d
+""")
+def q_csv_ranges(spark, sf_dir):
+    """Documents as CSV with line ends, quotes and commas in every text, read back in 64 ranges or more, in input order."""
+    path = scratch_path(spark, "csv-ranges")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(QUOTED_TEXT).alias("text"))
+    write_corpus_csv(docs.orderBy("doc_id"), path)
+    size = input_bytes(spark.read.text(path))
+    rows = read_corpus_csv(spark, path, "doc_id LONG, text STRING", range_bytes=min(RANGE_BYTES, max(1, size // 64)))
+    rows = materialize(rows.select("_order", "doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")), "csv-rows")
+    return rows.join(key_rank(rows.select("_order"), "_order", rank_col="row_id"), "_order").drop("_order")
+
+
+@query("csv_typed", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS price
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag,
+             CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem)
+GROUP BY l_orderkey, l_linenumber, l_returnflag, l_quantity
+""")
+def q_csv_typed(spark, sf_dir):
+    """Line items written as CSV; their columns come back as the whole numbers, numbers and strings that they hold."""
+    path = scratch_path(spark, "csv-typed")
+    columns = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice"]
+    items = table(spark, sf_dir, "lineitem").select(*columns)
+    write_corpus_csv(items.select(*(F.col(c).cast("double") if c in columns[3:] else F.col(c) for c in columns)), path)
+    rows = read_corpus_csv(spark, path, typed=True)
+    return rows.groupBy(*columns[:4]).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
 @query("jsonl_roundtrip", """
 SELECT doc_id, text, lang, source, n_chars FROM documents
 """)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_exists
+from ..functions.text import null_if_token
+from ..session import input_bytes, path_exists
+from .csv_ranges import RANGE_BYTES, csv_records, parse_records
 
 CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 CSV_WRITE = {"header": "true", "escape": '"', "quote": '"',
@@ -30,12 +32,16 @@ MAX_FILES = 1 << (62 - POS_BITS)
 BROADCAST_FILES = 200_000
 
 
-def _with_order(df: DataFrame, files: list[str], first: int) -> DataFrame:
-    """``df``, just read from ``files`` (sorted), with ``_file``, ``_pos`` and ``_order``; the files' ordinals begin at ``first``."""
+def _listing(spark: SparkSession, files: list[str], first: int) -> DataFrame:
+    """``_file_ord, _file`` of the input files (sorted), from ``first``."""
     if first + len(files) > MAX_FILES:
         raise ValueError(f"more than {MAX_FILES} input files")
-    spark = df.sparkSession
-    listing = spark.createDataFrame([(first + i, f) for i, f in enumerate(files)], "_file_ord LONG, _file STRING")
+    return spark.createDataFrame([(first + i, f) for i, f in enumerate(files)], "_file_ord LONG, _file STRING")
+
+
+def _with_order(df: DataFrame, files: list[str], first: int) -> DataFrame:
+    """``df``, just read from ``files`` (sorted), with ``_file``, ``_pos`` and ``_order``; the files' ordinals begin at ``first``."""
+    listing = _listing(df.sparkSession, files, first)
     df = df.withColumn("_file", _norm_path(F.col("_metadata.file_path"))).withColumn("_pos", F.monotonically_increasing_id())
     # a multi-line CSV file is never split: the low bits of the id follow the file
     at = F.col("_pos").bitwiseAND(F.lit((1 << POS_BITS) - 1))
@@ -43,18 +49,68 @@ def _with_order(df: DataFrame, files: list[str], first: int) -> DataFrame:
     return df.withColumn("_order", F.shiftleft("_file_ord", POS_BITS) + at).drop("_file_ord")
 
 
-def read_corpus_csv(spark: SparkSession, path: str, schema: str | None = None, first_file: int = 0) -> DataFrame:
+def read_corpus_csv(spark: SparkSession, path: str, schema: str | None = None, first_file: int = 0, typed: bool = False,
+                    range_bytes: int = RANGE_BYTES) -> DataFrame:
     """CSV with a header and quoted multi-line fields.
 
-    Columns are read as strings unless a schema is given. ``_order`` is a LONG that follows input order: the file's
-    ordinal among the input files (by path, listed on the driver, from ``first_file``), then the row's position. The
-    pandas missing-value strings become nulls in :func:`vecshift.operators.clean.clean_corpus`.
+    Columns are read as strings unless a schema is given or ``typed`` asks for :func:`typed_columns`. ``_order`` is a LONG
+    that follows input order: the file's ordinal among the input files (by path, listed on the driver, from
+    ``first_file``), then the row's position. The pandas missing-value strings become nulls in
+    :func:`vecshift.operators.clean.clean_corpus`, and in typed columns.
+
+    Input of more than ``range_bytes`` is read by ranges (:mod:`vecshift.sources.csv_ranges`), many tasks a file; less is
+    one range anyway and read a file a task. The rows are the same.
     """
     reader = spark.read.options(**CSV_READ)
     if schema:
         reader = reader.schema(schema)
     df = reader.csv(path)
-    return _with_order(df, sorted(_plain(f) for f in df.inputFiles()), first_file)
+    files = sorted(_plain(f) for f in df.inputFiles())
+    own = [f"`{c}`" for c in df.columns]
+    size = input_bytes(df)
+    if size is not None and size <= range_bytes:
+        out = _with_order(df, files, first_file).select(*own, "_file", "_pos", "_order")
+    else:
+        listing = _listing(spark, files, first_file)
+        few = len(files) <= BROADCAST_FILES
+        rows = parse_records(csv_records(spark, path, listing, few, _norm_path, range_bytes), df.schema, CSV_READ)
+        order = F.shiftleft("_file_ord", POS_BITS) + F.col("_pos")
+        out = rows.join(F.broadcast(listing) if few else listing, "_file_ord").select(*own, "_file", "_pos", order.alias("_order"))
+    return typed_columns(out, df.columns) if typed else out
+
+
+# fixed values: the forms of numbers and truth values in a CSV file
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
+def column_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The narrowest of LONG, DOUBLE, BOOLEAN and STRING that holds every value of each string column, in one aggregate.
+
+    Missing-value strings count as nulls and fit any type; a column of nulls alone stays STRING. Whole numbers beyond 64
+    bits are DOUBLE.
+    """
+    def fits(value: Column) -> list[Column]:
+        number = value.rlike(DECIMAL)
+        whole = F.when(value.isNotNull(), value.rlike(INTEGER) & F.trim(value).try_cast("long").isNotNull())
+        return [whole, number, value.isin(*TRUTH)]
+    names = ("LONG", "DOUBLE", "BOOLEAN")
+    tests = [F.bool_and(t).alias(f"{i}_{k}") for i, c in enumerate(columns) for k, t in zip(names, fits(null_if_token(F.col(f"`{c}`"))))]
+    if not tests:
+        return {}
+    found = df.agg(*tests).first()
+    return {c: next((k for k in names if found[f"{i}_{k}"]), "STRING") for i, c in enumerate(columns)}
+
+
+def typed_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with its string ``columns`` as :func:`column_types` finds them; missing-value strings are nulls."""
+    types = column_types(df, [c for c in columns if df.schema[c].dataType.typeName() == "string"])
+
+    def cast(c: str) -> Column:
+        value = null_if_token(F.col(f"`{c}`"))
+        return value if types[c] == "STRING" else F.trim(value).cast(types[c])
+    return df.select(*(cast(c).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns))
 
 
 def write_corpus_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
