@@ -24,7 +24,7 @@ from ..session import ensure_parallelism
 
 
 class Encoder:
-    """Protocol: ``name``, ``dim``, ``load()`` once per worker, ``encode(texts)``."""
+    """Protocol: ``name``, ``dim``, ``load()`` once per worker, ``encode(texts)``; ``identity()`` where more settings count."""
 
     name = "encoder"
     dim = 0
@@ -32,6 +32,10 @@ class Encoder:
     def load(self) -> "Encoder":
         return self
 
+    def identity(self) -> list:
+        """Everything that a text's vector depends on; stored vectors are found by it."""
+        return [self.name, self.dim]
+
     def encode(self, texts: list[str]) -> np.ndarray:  # pragma: no cover - protocol
         raise NotImplementedError
 
@@ -51,6 +55,9 @@ class HashEncoder(Encoder):
         self.normalize = normalize
         self.name = f"hash-md5-{self.dim}"
 
+    def identity(self) -> list:
+        return [self.name, self.dim, self.max_tokens, self.normalize]
+
     def codes(self, text) -> Column:
         """``bucket * 2 + (1 if the sign is negative)`` of every token, in order; null texts have none."""
         hashes = F.transform(truncate_tokens(F.lower(text), self.max_tokens), lambda t: F.md5(t.cast("binary")))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import resolve_instruction
 from ..operators.clean import clean_corpus
-from ..operators.encode import Encoder, encode_text
+from ..operators.encode import Encoder
 from ..operators.labels import encode_labels, factor_codes, label_mapping_json
 from ..session import materialize, remove_path
 from ..sources.corpus import load_split_files, read_corpus_csv, write_corpus_csv, write_corpus_jsonl
 from ..sources.metadata import (PREPROCESS_SCHEMA, cache_key, content_fingerprint, is_cached, preprocess_metadata,
                                 write_metadata)
-from ..sources.vectors import write_embeddings
+from ..sources.vector_cache import write_encoded
 
 OUTPUTS = ("base", "instruct", "labels", "label_mapping")
 
@@ -46,13 +46,15 @@ def corpus_state(spark: SparkSession, cleaned: DataFrame, emb_dir: str, encoder:
 def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, encoder: Encoder,
                       instruction: str | None, text_col: str = "text", target_col: str = "target",
                       order_col: str = "row_id", max_samples: int | None = None, dataset: str = "",
-                      default_instruction: str | None = None) -> dict:
+                      default_instruction: str | None = None, vector_cache: str | None = None) -> dict:
     """Clean, write CSV/JSONL, then encode base and instruct vectors of every row (of the first ``max_samples``, if given).
 
     ``corpus`` is any table with a text, a target and an order column (for a
     CSV read with :func:`read_corpus_csv` that is ``_order``). ``instruction``
-    falls back to ``default_instruction``. Returns paths, the metadata dict and
-    whether the cache was hit.
+    falls back to ``default_instruction``. With ``vector_cache`` (a folder), only
+    texts that no earlier run encoded go to the encoder
+    (:mod:`vecshift.sources.vector_cache`). Returns paths, the metadata dict,
+    whether the run's outputs were there, and else the texts encoded for each kind.
     """
     instruction = resolve_instruction(instruction, default_instruction)
     cleaned = clean_corpus(corpus, text_col, target_col, order_col=order_col, head=max_samples)
@@ -68,10 +70,10 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     write_corpus_jsonl(cleaned.orderBy("row_id").select("text", "target"), f"{processed}/corpus_clean.jsonl")
 
     t0 = time.perf_counter()
-    write_embeddings(encode_text(cleaned.select("row_id", "text"), encoder), emb_dir, "base")
+    encoded = {"base": write_encoded(cleaned.select("row_id", "text"), encoder, None, emb_dir, "base", vector_cache, n)}
     base_s = time.perf_counter() - t0
     t0 = time.perf_counter()
-    write_embeddings(encode_text(cleaned.select("row_id", "text"), encoder, prompt=instruction), emb_dir, "instruct")
+    encoded["instruct"] = write_encoded(cleaned.select("row_id", "text"), encoder, instruction, emb_dir, "instruct", vector_cache, n)
     instruct_s = time.perf_counter() - t0
 
     # the code table is written once; labels and the JSON mapping read it back
@@ -89,7 +91,7 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     }
     meta_df = preprocess_metadata(spark, meta)
     write_metadata(meta_df, f"{emb_dir}/metadata")
-    return {"cached": False, "embeddings": emb_dir, "metadata": meta_df.first().asDict()}
+    return {"cached": False, "embeddings": emb_dir, "metadata": meta_df.first().asDict(), "encoded": encoded}
 
 
 def preprocess_splits(spark: SparkSession, split_paths: dict[str, str], requested: list[str] | None, out_dir: str,

@@ -526,6 +526,7 @@ from ..sources.corpus import (load_splits_from_column, read_corpus_csv, read_cor
                               write_corpus_csv, write_corpus_jsonl)
 from ..sources.csv_ranges import RANGE_BYTES  # noqa: E402
 from ..sources.metadata import cache_probe, uncached_rows  # noqa: E402
+from ..sources.vector_cache import VectorCache  # noqa: E402
 from ..sources.npy import write_npy  # noqa: E402
 from ..sources.vectors import (read_json_vectors, read_npy_embeddings, write_json_vectors,  # noqa: E402
                                write_npy_shards)
@@ -687,6 +688,31 @@ def q_cache_hit(spark, sf_dir):
     return loose.join(strict, "source")
 
 
+@query("vector_cache", """
+WITH d AS (SELECT text FROM documents), a AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations),
+c AS (SELECT (SELECT count(*) FROM d) AS n_d, (SELECT count(*) FROM a) AS n_a,
+             (SELECT count(DISTINCT coalesce('+' || text, '-')) FROM d) AS u_d, (SELECT count(DISTINCT coalesce('+' || text, '-')) FROM a) AS u_a)
+SELECT 'first' AS run, n_d AS n_rows, u_d AS encoded, n_d AS same FROM c
+UNION ALL SELECT 'appended', n_a, u_a - u_d, n_a FROM c
+UNION ALL SELECT 'again', n_a, 0, n_a FROM c
+UNION ALL SELECT 'other_prompt', n_a, u_a, n_a FROM c
+""")
+def q_vector_cache(spark, sf_dir):
+    """Texts encoded by runs over documents, over them with conversations, again, and with a prompt; rows whose vector is the encoder's own."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("row_id"), "text")
+    talks = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("row_id"), "text")
+    rows = materialize(docs.unionByName(talks), "cache-rows")
+    cache, encoder, out = VectorCache(spark, scratch_path(spark, "vector-cache")), HashEncoder(DIM), None
+    for run, data, prompt in (("first", rows.where(F.col("row_id").startswith("d")), None), ("appended", rows, None), ("again", rows, None),
+                              ("other_prompt", rows, PROMPT)):
+        got = cache.encode(data, encoder, prompt=prompt)
+        own = encode_text(got.rows, encoder, prompt=prompt, out="own")
+        counts = own.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_rows"), F.lit(got.encoded).cast("long").alias("encoded"),
+                         F.count_if(F.col("own") == F.col("embedding")).alias("same"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 @query("decode_labels", f"""
 WITH {clean_cte()},
 {codes_cte()}

@@ -75,6 +75,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, sorted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder, wherever it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
