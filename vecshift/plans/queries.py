@@ -573,8 +573,9 @@ SELECT CAST(rank() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id, doc_id, CAST
 def q_csv_ranges(spark, sf_dir):
     """Documents as CSV with line ends, quotes and commas in every text, read back in 64 ranges or more, in input order."""
     path = scratch_path(spark, "csv-ranges")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(QUOTED_TEXT).alias("text"))
-    write_corpus_csv(docs.orderBy("doc_id"), path)
+    # texts are put together after they are sorted: half the bytes to shuffle
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id")
+    write_corpus_csv(docs.select("doc_id", F.expr(QUOTED_TEXT).alias("text")), path)
     size = input_bytes(spark.read.text(path))
     rows = read_corpus_csv(spark, path, "doc_id LONG, text STRING", range_bytes=min(RANGE_BYTES, max(1, size // 64)))
     rows = materialize(rows.select("_order", "doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")), "csv-rows")
