@@ -707,8 +707,10 @@ def q_vector_cache(spark, sf_dir):
     for run, data, prompt in (("first", rows.where(F.col("row_id").startswith("d")), None), ("appended", rows, None), ("again", rows, None),
                               ("other_prompt", rows, PROMPT)):
         got = cache.encode(data, encoder, prompt=prompt)
-        own = encode_text(got.rows, encoder, prompt=prompt, out="own")
-        counts = own.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_rows"), F.lit(got.encoded).cast("long").alias("encoded"),
+        # vectors meet by id, so that no text is shuffled for the comparison
+        own = encode_text(data, encoder, prompt=prompt, out="own").select("row_id", "own")
+        both = got.rows.select("row_id", "embedding").join(own, "row_id")
+        counts = both.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_rows"), F.lit(got.encoded).cast("long").alias("encoded"),
                          F.count_if(F.col("own") == F.col("embedding")).alias("same"))
         out = counts if out is None else out.unionByName(counts)
     return out
