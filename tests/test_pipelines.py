@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from vecshift.operators.encode import HashEncoder
+from vecshift.plans.catalog import all_queries
 from vecshift.plans.infer import infer_corpus
 from vecshift.plans.oracle import PROMPT
 from vecshift.plans.preprocess import preprocess_corpus
@@ -74,3 +76,16 @@ def test_stream_encode(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT count(*) FROM enc_t").first()[0] == 200
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_query_reads_a_table_that_is_a_file_or_a_folder(spark, tmp_path, parts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "NA", None, "c", "a  a"])], "doc_id LONG, text STRING")
+    docs.repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    if parts == 1:
+        part = next((tmp_path / "documents.parquet").glob("part-*"))
+        (tmp_path / "one").mkdir()
+        part.rename(tmp_path / "one" / "documents.parquet")
+    sf_dir = str(tmp_path / "one") if parts == 1 else str(tmp_path)
+    got = all_queries()["stream_hash_encode"](spark, sf_dir)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {0, 3, 4}

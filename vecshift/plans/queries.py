@@ -734,11 +734,11 @@ WITH c AS (
 SELECT id AS doc_id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM enc
 """)
 def q_stream_hash_encode(spark, sf_dir):
-    """The documents file as a stream: null rule, prompt, encode — processed by a checkpointed query."""
-    stream = stream_corpus(spark, sf_dir, "doc_id LONG, text STRING", glob="documents.parquet")
-    out = scratch_path(spark, "stream-out")
-    run_to_table(encode_stream(stream, HashEncoder(DIM), prompt=PROMPT), out, scratch_path(spark, "stream-ckpt"))
-    enc = spark.read.parquet(out)
+    """The documents table (a file, or a folder of parts) as a stream: null rule, prompt, encode — processed by a checkpointed query."""
+    stream = stream_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "doc_id LONG, text STRING")
+    encoded = encode_stream(stream, HashEncoder(DIM), prompt=PROMPT)
+    out = run_to_table(encoded, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
+    enc = spark.read.schema(encoded.schema).parquet(out)
     long = enc.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
     return long.where(F.col("v") != 0).select("doc_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
 

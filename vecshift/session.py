@@ -75,6 +75,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is one file, not a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isFile())
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``, sorted."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

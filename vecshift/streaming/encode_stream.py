@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.text import null_if_token
 from ..operators.encode import Encoder, encode_text
 from ..operators.project import AdapterModel
+from ..session import is_file
 
 
 def stream_corpus(spark: SparkSession, folder: str, schema: str, glob: str | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files of ``folder`` as a stream; one file is taken from the folder that it is in, as a stream's path is a folder."""
+    if is_file(spark, folder):
+        folder, glob = folder.rsplit("/", 1)
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
