@@ -2,8 +2,8 @@
 
 The base statistics and limits are exact counts of the whole text. The forest isolates documents whose mix of
 rule statistics is rare: trees split random statistics at random places, and a document that few splits set
-apart (a short path) is anomalous. Trees grow on a bounded number of labelled documents drawn in their true
-class shares; the score at which a document goes is set from labelled rows. Every document is scored.
+apart (a short path) is anomalous. Every tree grows on all labelled documents; the score at which a document goes
+is set from all of them. Every document is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, whole_text
+from ..session import materialize
+from .common import whole_text
 
 SYMBOLS = b"#*$%&|<>"
 SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -88,51 +89,84 @@ class Forest:
     norm: float
     threshold: float = 1.0
 
+    def walk(self, t: int, x: np.ndarray, depth: int) -> np.ndarray:
+        """The node of each row in tree ``t``, ``depth`` splits down at most."""
+        node = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            f = self.feature[t][node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            right = x[np.arange(len(x)), np.maximum(f, 0)] >= self.cut[t][node]
+            node = np.where(inner, self.child[t][node] + right, node)
+        return node
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        """2 ** -(mean path length / its expectation): near 1 isolated at once, under 0.5 ordinary."""
+        """2 ** -(mean path length / its expectation), to four decimals: near 1 isolated at once, under 0.5 ordinary."""
         total = np.zeros(len(x))
         for t in range(len(self.feature)):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(int(np.ceil(np.log2(max(self.feature.shape[1], 2)))) + 1):
-                f = self.feature[t][node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = x[np.arange(len(x)), np.maximum(f, 0)] >= self.cut[t][node]
-                node = np.where(inner, self.child[t][node] + right, node)
-            total += self.depth[t][node]
-        return 2.0 ** -(total / max(len(self.feature), 1) / self.norm)
-
-
-def _unsplit(n: int) -> float:
-    """Mean path length of a search tree of n rows."""
-    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-
-def grow(x: np.ndarray, weight: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 3) -> Forest:
-    """A forest on rows ``x``, drawn for each tree with odds ``weight``."""
-    draw = np.random.default_rng(seed)
-    size = min(subsample, max(len(x), 1))
+            total += self.depth[t][self.walk(t, x, int(np.log2(self.feature.shape[1] + 1)))]
+        return np.round(2.0 ** -(total / max(len(self.feature), 1) / self.norm), 4)
+
+
+def _unsplit(n: float) -> float:
+    """Mean path length of a search tree of n rows; n is an expected number, so between whole ones too."""
+    return max(n - 1, 0.0) if n < 2 else max(2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n, 1.0)
+
+
+def _node_ranges(forest: Forest, depth: int):
+    """A pass that gives, for each tree's nodes of ``depth``, the rows of each class there and the range of each share."""
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, first, nodes = len(forest.feature), 2 ** depth - 1, 2 ** depth
+        low = np.full((trees, nodes, N_SHARES), np.inf)
+        high, count = -low, np.zeros((trees, nodes, 2), np.int64)
+        for b in batches:
+            x, y = np.array(b["shares"].tolist()).reshape(len(b), N_SHARES), b["label"].to_numpy()
+            for t in range(trees):
+                node = forest.walk(t, x, depth) - first
+                here = np.flatnonzero(node >= 0)
+                here = here[np.argsort(node[here], kind="stable")]
+                at, starts = np.unique(node[here], return_index=True)
+                if len(at):
+                    low[t, at] = np.minimum(low[t, at], np.minimum.reduceat(x[here], starts))
+                    high[t, at] = np.maximum(high[t, at], np.maximum.reduceat(x[here], starts))
+                    count[t] += np.bincount(node[here] * 2 + y[here], minlength=nodes * 2).reshape(nodes, 2)
+        t, node = np.nonzero(count.sum(axis=2))
+        yield pd.DataFrame({"t": t, "node": node + first, "n0": count[t, node, 0], "n1": count[t, node, 1],
+                            **{f"low{f}": low[t, node, f] for f in range(N_SHARES)}, **{f"high{f}": high[t, node, f] for f in range(N_SHARES)}})
+    return ranges
+
+
+def grow(rows: DataFrame, trees: int = 100, size: int = 256, rare: float = 0.02, seed: int = 3) -> Forest:
+    """A forest of trees that each grow on all of ``rows`` (``label, shares``), level by level, one pass a level for all trees.
+
+    A node splits a random share between the least and greatest of all its rows. Its rows count as those that ``size``
+    rows would be expected to have there if class 0 made up ``rare`` of them; a node of one of those or less is set apart.
+    """
     most = int(np.ceil(np.log2(max(size, 2))))
-    width = 2 ** (most + 1)
-    shape = (trees, width)
-    forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape), max(_unsplit(size), 1e-9))
-    for t in range(trees if len(x) else 0):
-        rows = x[draw.choice(len(x), size, p=weight / weight.sum())]
-        free, todo = 1, [(0, rows, 0)]
-        while todo:
-            node, part, depth = todo.pop()
-            spread = part.max(0) - part.min(0)
-            usable = np.flatnonzero(spread > 0)
-            if depth >= most or len(part) < 2 or not len(usable):
-                forest.depth[t, node] = depth + _unsplit(len(part))
+    shape = (trees, 2 ** (most + 1) - 1)
+    heap = np.broadcast_to(2 * np.arange(shape[1]) + 1, shape)
+    forest = Forest(np.full(shape, -1), np.zeros(shape), heap, np.zeros(shape), max(_unsplit(size), 1e-9))
+    bounds = [f"{side}{f}" for side in ("low", "high") for f in range(N_SHARES)]
+    schema = "t int, node int, n0 bigint, n1 bigint, " + ", ".join(f"{c} double" for c in bounds)
+    total = None
+    for depth in range(most + 1):
+        merged = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in bounds]
+        # at most trees x 2 ** depth rows come back, whatever the input
+        found = rows.mapInPandas(_node_ranges(forest, depth), schema).groupBy("t", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *merged).collect()
+        if depth == 0:
+            total = np.array([found[0]["n0"], found[0]["n1"]]) if found else np.zeros(2)
+            weight = size * np.array([rare, 1 - rare]) / np.maximum(total, 1)
+        for r in found:
+            low, high = np.array([r[c] for c in bounds]).reshape(2, N_SHARES)
+            n, usable = float(weight @ (r["n0"], r["n1"])), np.flatnonzero(high > low)
+            if depth >= most or n <= 1 or not len(usable):
+                forest.depth[r["t"], r["node"]] = depth + _unsplit(n)
                 continue
+            draw = np.random.default_rng([seed, r["t"], r["node"]])
             f = draw.choice(usable)
-            cut = part[:, f].min() + spread[f] * (1 - draw.random())  # never the least value: both sides have rows
-            right = part[:, f] >= cut
-            forest.feature[t, node], forest.cut[t, node], forest.child[t, node] = f, cut, free
-            todo += [(free, part[~right], depth + 1), (free + 1, part[right], depth + 1)]
-            free += 2
+            forest.feature[r["t"], r["node"]] = f
+            forest.cut[r["t"], r["node"]] = high[f] - (high[f] - low[f]) * draw.random()  # never the least value: both sides have rows
     return forest
 
 
@@ -152,28 +186,39 @@ def calibrate(score: np.ndarray, label: np.ndarray, weight: np.ndarray, most_los
     return (at + float(below.max())) / 2 if len(below) else at
 
 
-def _statistic_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [statistics(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "label": b["label"], "counts": [c for c, _ in found], "shares": [s for _, s in found]})
+def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for t in texts:
+        found = [statistics(x) for x in t]
+        yield pd.DataFrame({"n_words": [c[0] for c, _ in found], "n_repeat_words": [c[4] for c, _ in found], "shares": [s for _, s in found]})
 
 
 def fit_forest(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-               per_class: int = 2000, trees: int = 100, subsample: int = 256, rare: float = 0.02) -> Forest:
-    """Forest and threshold from up to ``per_class`` labelled documents of each class, by hash of the id.
+               trees: int = 100, subsample: int = 256, rare: float = 0.02) -> Forest:
+    """Forest and threshold from all labelled documents.
 
-    Rows that fail the base limits go anyway and take no part. Class 0 makes up ``rare`` of what a tree
-    draws: few enough to be set apart by few splits, enough that the trees split where it differs. Without
-    labels of both classes the forest rejects nothing.
+    Rows that fail the base limits go anyway and take no part. Every tree grows on all the others (:func:`grow`), with
+    class 0 as ``rare`` of what ``subsample`` rows would be. Scores have four decimals, so the threshold comes from the
+    counts of all rows by score and class. Without labels of both classes the forest rejects nothing.
     """
-    chosen = bounded_labels(labels, label, per_class)
-    rows = (docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-            .mapInPandas(_statistic_rows, "doc_id string, label int, counts array<bigint>, shares array<double>").collect())
-    rows = [r for r in sorted(rows, key=lambda r: (r["doc_id"], r["shares"])) if not base_failed(r["counts"][0], r["counts"][4])]
-    x, y = np.array([r["shares"] for r in rows]).reshape(len(rows), N_SHARES), np.array([r["label"] for r in rows])
-    share = {0: rare, 1: 1 - rare}
-    forest = grow(x, np.array([share[c] / (y == c).sum() for c in y]), trees, subsample)
-    forest.threshold = calibrate(forest.score(x), y, np.ones(len(y)))
+    known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
+             .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label")))
+    # the numbers meet the labels, not the texts
+    numbers = F.pandas_udf(_statistics, "n_words bigint, n_repeat_words bigint, shares array<double>")
+    stats = docs.select(F.col(id_col).alias("doc_id"), numbers(whole_text(text_col)).alias("r"))
+    rows = materialize(stats.join(known, "doc_id").select("label", "r.*"), "rule-statistics")
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
+    rows = rows.filter(~failed).select("label", "shares")
+    forest = grow(rows, trees, subsample, rare)
+    forest.threshold = NO_THRESHOLD
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"score": forest.score(np.array(b["shares"].tolist()).reshape(len(b), N_SHARES)), "label": b["label"]})
+
+    # two rows for each of 10,001 scores at most
+    found = rows.mapInPandas(scores, "score double, label int").groupBy("score", "label").count().orderBy("score", "label").collect()
+    if found:
+        forest.threshold = calibrate(*(np.array([r[c] for r in found]) for c in ("score", "label", "count")))
     return forest
 
 
