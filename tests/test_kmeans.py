@@ -42,3 +42,33 @@ def test_nearest_is_the_first_of_equals_at_any_number_of_centres(spark, blobs, k
     centres = np.concatenate([CENTRES, CENTRES[2:], np.full((max(k - 4, 0), 3), 1e6)])[:k]
     got = assign_nearest(df, centres).select("label", "cluster").distinct().collect()
     assert {(r.label, r.cluster) for r in got} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_all_fits_share_the_job_of_a_step(spark):
+    """Ten fits of up to 30 steps: jobs for the first centres of each, then one a step for all (a job a step and fit before)."""
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id LONG, embedding ARRAY<DOUBLE>").repartition(2)
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    kmeans_best(df, 6, n_init=10, max_iter=30, tol=0.0)
+    assert len(set(tracker.getJobIdsForGroup()) - before) <= 10 * 13 + 30 + 5
+
+
+def test_steps_are_those_of_each_fit_alone(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(200, 3)), np.zeros((40, 3))])
+    far = np.full((1, 3), 1e3)
+    starts = [x[:4], np.concatenate([x[10:12], far]), x[20:26]]
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "embedding ARRAY<DOUBLE>").repartition(3)
+    for most in (1, 3, 300):
+        for start, (got, cost) in zip(starts, cluster.lloyd_steps(df, starts, "embedding", most, 1e-4)):
+            want = np.array(start)
+            for _ in range(most):
+                dist = ((x[:, None] - want[None]) ** 2).sum(axis=2)
+                near, was = dist.argmin(axis=1), want.copy()
+                for j in set(near.tolist()):
+                    want[j] = x[near == j].mean(axis=0)
+                if (((want - was) ** 2).sum(axis=1) <= 1e-8).all():
+                    break
+            assert got == pytest.approx(want, abs=1e-9) and cost == pytest.approx(dist.min(axis=1).sum())
+    assert (cluster.lloyd_steps(df, starts, "embedding", 5)[1][0][2] == 1e3).all()

@@ -6,6 +6,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -69,27 +71,104 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding
 MAX_CLASSES = 10_000
 
 
+#: Distances that a task holds at a time (rows × centres); a move below this share of a centre's length is rounding.
+STEP_CELLS, ROUNDING = 2_000_000, 1e-13
+#: Bytes of totals that one task of a step adds up before each set gets its own.
+STEP_BYTES = 64 * 1024 * 1024
+
+
+def _centre_sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per centre: sum of the rows nearest to it (lowest index on ties), their number, their squared distances."""
+    k, d = centers.shape
+    out = np.zeros((k, d + 2))
+    half, step = (centers * centers).sum(axis=1) / 2, max(1, STEP_CELLS // k)
+    for lo in range(0, len(x), step):
+        part = x[lo:lo + step]
+        dist = half - part @ centers.T
+        idx = dist.argmin(axis=1)
+        cost = np.maximum((part * part).sum(axis=1) + 2 * dist[np.arange(len(part)), idx], 0.0)
+        order = np.argsort(idx, kind="stable")
+        found, starts = np.unique(idx[order], return_index=True)
+        out[found, :d] += np.add.reduceat(part[order], starts, axis=0)
+        out[:, d] += np.bincount(idx, minlength=k)
+        out[:, d + 1] += np.bincount(idx, weights=cost, minlength=k)
+    return out
+
+
+def lloyd_steps(vectors: DataFrame, starts: list[np.ndarray], vec_col: str, max_iter: int = 300,
+                tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """Lloyd's steps from several sets of centres side by side: ``(centres, cost)`` of each.
+
+    The vectors are kept as blocks, one an Arrow batch. A step is one job for all sets that still move: every task sums
+    its rows by nearest centre, the sums are added up by set, and only those totals (sets × k × d) reach the driver. A
+    set stops when no centre with rows moved by more than ``tol``; a centre without rows stays. The cost is that of the
+    last step, before its move.
+    """
+    fits, costs, moving = [np.array(c, dtype=np.float64) for c in starts], [0.0] * len(starts), list(range(len(starts)))
+    d = fits[0].shape[1]
+
+    def pack(batches):
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["block"])
+
+    blocks = (vectors.select(F.col(vec_col).cast("array<double>")).mapInArrow(pack, "block BINARY").rdd
+              .map(lambda r: np.frombuffer(r[0]).reshape(-1, d)).persist(StorageLevel.MEMORY_AND_DISK))
+    sc, parts = vectors.sparkSession.sparkContext, blocks.getNumPartitions()
+    for _ in range(max_iter):
+        if not moving:
+            break
+        bc = sc.broadcast({i: fits[i] for i in moving})
+
+        def sums(arrays):
+            total = {}
+            for x in arrays:
+                for i, centers in bc.value.items():
+                    more = _centre_sums(x, centers)
+                    total[i] = total[i] + more if i in total else more
+            return total.items()
+
+        # small totals meet in one task, large ones in a task a set
+        adders = min(len(moving), 1 + parts * sum(fits[i].nbytes for i in moving) // STEP_BYTES)
+        totals = dict(blocks.mapPartitions(sums).reduceByKey(np.add, adders).collect())
+        bc.destroy()
+        moved = []
+        for i in moving:
+            used = totals[i][:, d] > 0
+            to = totals[i][used, :d] / totals[i][used, d:d + 1]
+            move, length = ((to - fits[i][used]) ** 2).sum(axis=1), (to * to).sum(axis=1)
+            fits[i][used], costs[i] = to, float(totals[i][:, d + 1].sum())
+            if (move > np.maximum(tol * tol, ROUNDING * ROUNDING * length)).any():
+                moved.append(i)
+        moving = moved
+    blocks.unpersist()
+    return list(zip(fits, costs))
+
+
 def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 42, n_init: int = 10,
                 max_iter: int = 300, tol: float = 1e-4, out: str = "cluster") -> tuple[DataFrame, dict]:
-    """Spark ML k-means from ``n_init`` seeds (``seed``, ``seed + 1``, ...); the lowest cost is kept (M5).
+    """Best of ``n_init`` k-means fits (seeds ``seed``, ``seed + 1``, ...); the lowest cost is kept (M5).
 
-    The vectors are written once and cached for all fits, which run as concurrent jobs. Returns the assignments and
+    The vectors are written once and cached. Spark ML draws the first centres of every seed (k-means||, as concurrent
+    jobs); all fits then take their steps together, one job a step (:func:`lloyd_steps`). Returns the assignments and
     ``{"k", "cost", "seed"}`` of the kept fit. ``k`` is checked against ``MAX_CLASSES`` first.
     """
     if k > MAX_CLASSES:
         raise ValueError(f"k = {k} is over {MAX_CLASSES}: are the labels missing, so that every row is its own class?")
-    data = materialize(df.withColumn("_features", array_to_vector(vec_col)), "kmeans-input").persist()
+    data = materialize(df.withColumn("_features", array_to_vector(vec_col)), "kmeans-input")
+    features = data.select("_features").persist()
 
-    def fit(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_features", predictionCol=out).fit(data)
-        return model.summary.trainingCost, seed + i, model
+    def first_centres(i):
+        model = KMeans(k=k, seed=seed + i, maxIter=0, featuresCol="_features", predictionCol=out).fit(features)
+        return np.array(model.clusterCenters(), dtype=np.float64)
 
     with ThreadPoolExecutor(max_workers=max(1, n_init)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    cost, used, model = min(fits, key=lambda f: (f[0], f[1]))
-    data.unpersist()
-    preds = model.transform(data).drop("_features").withColumn(out, F.col(out).cast("long"))
-    return preds, {"k": k, "cost": float(cost), "seed": used}
+        starts = list(pool.map(first_centres, range(n_init)))
+    features.unpersist()
+    fits = lloyd_steps(data, starts, vec_col, max_iter, tol)
+    best = min(range(n_init), key=lambda i: (fits[i][1], i))
+    preds = assign_nearest(data.drop("_features"), fits[best][0], vec_col, out)
+    return preds, {"k": k, "cost": float(fits[best][1]), "seed": seed + best}
 
 
 def kmeans_v_measure(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
