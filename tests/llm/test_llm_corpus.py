@@ -366,7 +366,8 @@ def test_contract_columns(spark):
             "op5": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
             "op6": ["doc_id", "held_out", "lang_pred", "score"], "op7": ["doc_id", "fingerprint", "component_id"],
             "op8": ["doc_id", "size", "source_size", "target", "taken"], "op9": ["doc_id", "held_out", "score", "predicted"],
-            "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]}
+            "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op11": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+            "op12": ["word", "form", "root", "n", "n_near", "form_n"], "op13": ["vec_id", "n_links", "component_id", "kept"]}
     assert {n.split("_")[0] for n in QUERIES} == set(want)
     for name in ("op1_html_extraction", "op5_quality_rules", "op9_quality_classifier"):
         got = QUERIES[name](spark, SF_SMALL)
