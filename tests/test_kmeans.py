@@ -72,3 +72,26 @@ def test_steps_are_those_of_each_fit_alone(spark):
                     break
             assert got == pytest.approx(want, abs=1e-9) and cost == pytest.approx(dist.min(axis=1).sum())
     assert (cluster.lloyd_steps(df, starts, "embedding", 5)[1][0][2] == 1e3).all()
+
+
+def test_a_step_has_no_more_tasks_than_slots_however_rows_are_dealt(spark, monkeypatch):
+    """120 rows in 60 partitions: a step had 60 tasks, whose results all reach the driver; a task a slot now, and more by bytes alone."""
+    df = spark.range(120).repartition(60).select(F.array(*[F.sin(F.col("id") * i) for i in (1, 2, 3)]).alias("embedding"))
+    x = np.sin(np.arange(10)[:, None] * np.array([1.0, 2.0, 3.0]))
+    slots, tracker = spark.sparkContext.defaultParallelism, spark.sparkContext.statusTracker()
+    assert slots < 60
+
+    def most_tasks():
+        before = set(tracker.getJobIdsForGroup())
+        fits = cluster.lloyd_steps(df, [x[:4], x[5:9]], "embedding", 2)
+        stages = {s for j in set(tracker.getJobIdsForGroup()) - before for s in tracker.getJobInfo(j).stageIds}
+        # the deal of the rows itself (60 tasks at most) is a stage before; steps are those of Python's sums
+        return fits, [i.numTasks for i in map(tracker.getStageInfo, stages) if i and "cluster.py" in i.name]
+
+    fits, tasks = most_tasks()
+    assert tasks and max(tasks) <= slots
+    monkeypatch.setattr(cluster, "TASK_BYTES", 1)
+    wide, tasks = most_tasks()
+    assert max(tasks) == 60
+    for (a, cost), (b, other) in zip(fits, wide):
+        assert a == pytest.approx(b) and cost == pytest.approx(other)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import input_bytes, materialize
 
 MAX_CENTERS_BYTES = 256 * 1024 * 1024
 
@@ -75,6 +75,16 @@ MAX_CLASSES = 10_000
 STEP_CELLS, ROUNDING = 2_000_000, 1e-13
 #: Bytes of totals that one task of a step adds up before each set gets its own.
 STEP_BYTES = 64 * 1024 * 1024
+#: Bytes of input a task takes before a step has more tasks than there are task slots.
+TASK_BYTES = 512 * 1024 * 1024
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in a task a slot, or one for each ``TASK_BYTES``: hundreds of steps each send every task's result to the driver."""
+    size = input_bytes(df)
+    if size is None:
+        return df
+    return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES), 2**31 - 1))
 
 
 def _centre_sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -99,9 +109,9 @@ def lloyd_steps(vectors: DataFrame, starts: list[np.ndarray], vec_col: str, max_
                 tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Lloyd's steps from several sets of centres side by side: ``(centres, cost)`` of each.
 
-    The vectors are kept as blocks, one an Arrow batch. A step is one job for all sets that still move: every task sums
-    its rows by nearest centre, the sums are added up by set, and only those totals (sets × k × d) reach the driver. A
-    set stops when no centre with rows moved by more than ``tol``; a centre without rows stays. The cost is that of the
+    The vectors are kept as blocks, one an Arrow batch, in a bounded number of tasks (:func:`_few_tasks`). A step is one
+    job for all sets that still move: every task sums its rows by nearest centre, the sums are added up by set, and only
+    those totals (sets × k × d) reach the driver. A set stops when no centre with rows moved by more than ``tol``; a centre without rows stays. The cost is that of the
     last step, before its move.
     """
     fits, costs, moving = [np.array(c, dtype=np.float64) for c in starts], [0.0] * len(starts), list(range(len(starts)))
@@ -112,7 +122,7 @@ def lloyd_steps(vectors: DataFrame, starts: list[np.ndarray], vec_col: str, max_
             x = b.column(0).flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["block"])
 
-    blocks = (vectors.select(F.col(vec_col).cast("array<double>")).mapInArrow(pack, "block BINARY").rdd
+    blocks = (_few_tasks(vectors.select(F.col(vec_col).cast("array<double>"))).mapInArrow(pack, "block BINARY").rdd
               .map(lambda r: np.frombuffer(r[0]).reshape(-1, d)).persist(StorageLevel.MEMORY_AND_DISK))
     sc, parts = vectors.sparkSession.sparkContext, blocks.getNumPartitions()
     for _ in range(max_iter):
@@ -156,7 +166,7 @@ def kmeans_best(df: DataFrame, k: int, vec_col: str = "embedding", seed: int = 4
     if k > MAX_CLASSES:
         raise ValueError(f"k = {k} is over {MAX_CLASSES}: are the labels missing, so that every row is its own class?")
     data = materialize(df.withColumn("_features", array_to_vector(vec_col)), "kmeans-input")
-    features = data.select("_features").persist()
+    features = _few_tasks(data.select("_features")).persist()
 
     def first_centres(i):
         model = KMeans(k=k, seed=seed + i, maxIter=0, featuresCol="_features", predictionCol=out).fit(features)
