@@ -11,8 +11,8 @@ from ..functions.text import resolve_instruction
 from ..operators.clean import clean_corpus
 from ..operators.encode import Encoder
 from ..operators.labels import encode_labels, factor_codes, label_mapping_json
-from ..session import materialize, remove_path
-from ..sources.corpus import load_split_files, read_corpus_csv, write_corpus_csv, write_corpus_jsonl
+from ..session import materialize, remove_table
+from ..sources.corpus import jsonl_in_order, load_split_files, read_corpus_csv, write_corpus_csv, write_corpus_jsonl
 from ..sources.metadata import (PREPROCESS_SCHEMA, cache_key, content_fingerprint, is_cached, preprocess_metadata,
                                 write_metadata)
 from ..sources.vector_cache import write_encoded
@@ -47,7 +47,7 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
                       instruction: str | None, text_col: str = "text", target_col: str = "target",
                       order_col: str = "row_id", max_samples: int | None = None, dataset: str = "",
                       default_instruction: str | None = None, vector_cache: str | None = None) -> dict:
-    """Clean, write CSV/JSONL, then encode base and instruct vectors of every row (of the first ``max_samples``, if given).
+    """Clean, write JSONL, encode base and instruct vectors of every row (of the first ``max_samples``, if given), write CSV.
 
     ``corpus`` is any table with a text, a target and an order column (for a
     CSV read with :func:`read_corpus_csv` that is ``_order``). ``instruction``
@@ -58,15 +58,14 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     """
     instruction = resolve_instruction(instruction, default_instruction)
     cleaned = clean_corpus(corpus, text_col, target_col, order_col=order_col, head=max_samples)
-    # written once in row order; the files, the key, both encodings and the codes read it back
+    # written once in row order; the JSON lines, the key, both encodings and the codes read it back
     cleaned = materialize(cleaned.select("row_id", "text", "target"), "preprocess-input", order="row_id")
     processed = f"{out_dir}/processed"
     emb_dir = f"{out_dir}/embeddings"
     key, content, n, stored = corpus_state(spark, cleaned, emb_dir, encoder, instruction)
     if stored:
-        remove_path(spark, cleaned.inputFiles()[0].rsplit("/", 1)[0]) if n else None
+        remove_table(cleaned)
         return {"cached": True, "embeddings": emb_dir, "metadata": stored}
-    write_corpus_csv(cleaned.orderBy("row_id").select("text", "target"), f"{processed}/corpus_clean.csv")
     write_corpus_jsonl(cleaned.orderBy("row_id").select("text", "target"), f"{processed}/corpus_clean.jsonl")
 
     t0 = time.perf_counter()
@@ -82,6 +81,10 @@ def preprocess_corpus(spark: SparkSession, corpus: DataFrame, out_dir: str, enco
     encode_labels(cleaned.select("row_id", "target"), codes).select("row_id", "label").write.mode("overwrite").parquet(f"{emb_dir}/labels")
     label_mapping_json(codes).coalesce(1).write.mode("overwrite").text(f"{emb_dir}/label_mapping_json")
 
+    # both plain files take 3 x the table: the CSV comes last, from the JSON lines, with neither the table nor a shuffle beside it
+    remove_table(cleaned)
+    write_corpus_csv(jsonl_in_order(spark, f"{processed}/corpus_clean.jsonl", "text STRING, target STRING"), f"{processed}/corpus_clean.csv")
+
     dim = spark.read.parquet(f"{emb_dir}/base").agg(F.max(F.size("embedding"))).first()[0]
     meta = {
         "dataset": dataset, "instruction": instruction, "model": encoder.name, "num_samples": n,

@@ -748,7 +748,7 @@ from ..operators.cluster import kmeans_best  # noqa: E402
 from ..operators.evaluate import evaluate_adapter  # noqa: E402
 from ..operators.fit import gd_epochs, gram_stats  # noqa: E402
 from ..operators.labels import load_labels  # noqa: E402
-from ..session import remove_path  # noqa: E402
+from ..session import dropping_shuffles, remove_path, remove_table  # noqa: E402
 from ..sources.metadata import (PREPROCESS_SCHEMA, MetricLog, file_fingerprint, preprocess_metadata,  # noqa: E402
                                 read_metadata, write_metadata)
 from ..sources.vectors import synthetic_pairs, write_embeddings  # noqa: E402
@@ -991,34 +991,42 @@ CACHE_SCENARIOS = {"same": True, "reordered": False, "changed_target": False, "s
 @query("cache_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in CACHE_SCENARIOS.items())
        + ") AS t(scenario, hit) WHERE (SELECT count(*) FROM documents) > 0")
 def q_cache_rules(spark, sf_dir):
-    """What the two pipelines take for already done, after a run over documents: nothing but the very same run."""
+    """What the two pipelines take for already done, after a run over documents: nothing but the very same run.
+
+    Only the answers are kept: the runs' files and every variant's table go as soon as no later probe reads them.
+    """
     docs, enc, found = table(spark, sf_dir, "documents"), HashEncoder(16), {}
     out = scratch_path(spark, "cache-rules")
-    emb = preprocess_corpus(spark, docs, out, enc, PROMPT, "text", "lang", order_col="doc_id")["embeddings"]
-    variants = {"same": (docs, "lang", PROMPT, enc), "reordered": (docs.withColumn("doc_id", -F.col("doc_id")), "lang", PROMPT, enc),
-                "changed_target": (docs, "source", PROMPT, enc), "other_instruction": (docs, "lang", PROMPT + "?", enc),
-                "other_encoder": (docs, "lang", PROMPT, HashEncoder(32))}
-    for name, (rows, target, prompt, encoder) in variants.items():
-        cleaned = materialize(clean_corpus(rows, "text", target, order_col="doc_id").select("row_id", "text", "target"), "cache-rules")
-        found[name] = corpus_state(spark, cleaned, emb, encoder, prompt)[3] is not None
-    # the first two rows alike, once with either text: a hash of their difference would not see it
-    cleaned = clean_corpus(docs, "text", "lang", order_col="doc_id").select("row_id", "text", "target")
-    first = {r["row_id"]: r["text"] for r in cleaned.filter("row_id < 2").collect()}
-    alike = [cleaned.withColumn("text", F.when(F.col("row_id") < 2, F.lit(first[i])).otherwise(F.col("text"))) for i in (0, 1)]
-    keys = [corpus_state(spark, a, emb, enc, PROMPT)[0] for a in alike]
-    found["swapped_duplicates"] = keys[0] == keys[1]
-
-    model = analytic_teacher_model(16)
-    ckpt = model.save(spark, f"{out}/adapter")
-    run = lambda: infer_corpus(spark, "documents", f"{out}/infer", ckpt, enc, PROMPT, corpus=docs, order_col="doc_id", teacher=False)
-    run()
-    rows = materialize(clean_corpus(docs, "text", None, order_col="doc_id", deduplicate=False).select("row_id", "text"), "cache-rules")
-    state = lambda m, teacher: inference_state(spark, rows, f"{out}/infer", m, enc, PROMPT, teacher, text_column="text")[3] is not None
-    found["infer_same"], found["teacher_on"] = state(model, False), state(model, True)
-    analytic_teacher_model(16, 0.5).save(spark, ckpt)
-    found["adapter_resaved"] = state(type(model).load(spark, ckpt), False)
-    remove_path(spark, f"{out}/infer/adapter")
-    found["output_removed"] = state(model, False)
+    with dropping_shuffles(spark):
+        emb = preprocess_corpus(spark, docs, out, enc, PROMPT, "text", "lang", order_col="doc_id")["embeddings"]
+        remove_path(spark, f"{out}/processed")  # no probe looks at the corpus files
+        variants = {"same": (docs, "lang", PROMPT, enc), "reordered": (docs.withColumn("doc_id", -F.col("doc_id")), "lang", PROMPT, enc),
+                    "changed_target": (docs, "source", PROMPT, enc), "other_instruction": (docs, "lang", PROMPT + "?", enc),
+                    "other_encoder": (docs, "lang", PROMPT, HashEncoder(32))}
+        for name, (rows, target, prompt, encoder) in variants.items():
+            cleaned = materialize(clean_corpus(rows, "text", target, order_col="doc_id").select("row_id", "text", "target"), "cache-rules")
+            found[name] = corpus_state(spark, cleaned, emb, encoder, prompt)[3] is not None
+            remove_table(cleaned)
+        # the first two rows alike, once with either text: a hash of their difference would not see it
+        cleaned = clean_corpus(docs, "text", "lang", order_col="doc_id").select("row_id", "text", "target")
+        first = {r["row_id"]: r["text"] for r in cleaned.filter("row_id < 2").collect()}
+        alike = [cleaned.withColumn("text", F.when(F.col("row_id") < 2, F.lit(first[i])).otherwise(F.col("text"))) for i in (0, 1)]
+        keys = [corpus_state(spark, a, emb, enc, PROMPT)[0] for a in alike]
+        found["swapped_duplicates"] = keys[0] == keys[1]
+
+        model = analytic_teacher_model(16)
+        ckpt = model.save(spark, f"{out}/adapter")
+        run = lambda: infer_corpus(spark, "documents", f"{out}/infer", ckpt, enc, PROMPT, corpus=docs, order_col="doc_id", teacher=False)
+        run()
+        rows = materialize(clean_corpus(docs, "text", None, order_col="doc_id", deduplicate=False).select("row_id", "text"), "cache-rules")
+        state = lambda m, teacher: inference_state(spark, rows, f"{out}/infer", m, enc, PROMPT, teacher, text_column="text")[3] is not None
+        found["infer_same"], found["teacher_on"] = state(model, False), state(model, True)
+        analytic_teacher_model(16, 0.5).save(spark, ckpt)
+        found["adapter_resaved"] = state(type(model).load(spark, ckpt), False)
+        remove_path(spark, f"{out}/infer/adapter")
+        found["output_removed"] = state(model, False)
+        remove_table(rows)
+        remove_path(spark, out)
     return spark.createDataFrame([(k, found[k]) for k in CACHE_SCENARIOS], "scenario STRING, hit BOOLEAN")
 
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -120,6 +123,33 @@ def materialize(df, name: str = "table", order: str | None = None):
     return df.sparkSession.read.parquet(path)
 
 
+def remove_table(df) -> None:
+    """Delete the files of a table that :func:`materialize` gave, once nothing that was read from it is needed any more."""
+    for folder in {unquote(f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
+        remove_path(df.sparkSession, folder)
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends.
+
+    Else they stay until the driver happens to collect garbage, so those of many jobs in a row lie on the disks at once.
+    A frame that is run again shuffles again.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this session, once nothing that was read from them is needed any more."""
     remove_path(spark, f"{checkpoint_dir(spark).rstrip('/')}/scratch")
